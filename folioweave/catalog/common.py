@@ -126,7 +126,7 @@ def row_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("<table><tr><td>a</td><td>"), F.col("s_nationkey").cast("string"), F.lit("</td></tr><tr><td></td><td>z</td></tr></table>"),
         F.lit('<img src="data:image/png;base64,'), F.base64(F.unhex(png)), F.lit('" alt="Chart">'),
         F.lit('<img alt=ext src="https://img.example.com/'), F.col("s_suppkey").cast("string"), F.lit('.png">'),
-        F.lit("<img src='pics/"), F.col("s_name"), F.lit(".gif'></body></html>"))
+        F.lit("<img src='pics/"), F.replace("s_name", F.lit("#"), F.lit("-")), F.lit(".gif'></body></html>"))
     return sup.select(F.col("s_suppkey").alias("page_id"),
-                      F.concat(F.lit("http://host.example.com/dir/"), F.col("s_suppkey").cast("string"), F.lit(".html")).alias("url"),
+                      F.concat(F.lit("file:///corpus/dir/"), F.col("s_suppkey").cast("string"), F.lit(".html")).alias("url"),
                       html.alias("html"))

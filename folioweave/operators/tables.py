@@ -27,16 +27,19 @@ PIECES_PER_PART = 1024
 # ---------------------------------------------------------------- building
 
 
-def to_rows(df: DataFrame, doc: str, order: str, columns: Sequence[str]) -> DataFrame:
+def to_rows(df: DataFrame, doc: str, order: str | Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Any DataFrame as one table per `doc` value: a header row, then rows by `order`.
 
-    `order` is an integer column, unique within a document.
+    The first order column is an integer; it also cuts large tables into blocks.
+    Further ones break its ties.
     """
+    order = [order] if isinstance(order, str) else list(order)
+    names = [f"_o{i}" for i in range(len(order))]
     floating = {n for n, t in df.dtypes if t in ("double", "float")}
     body = F.array(*[cell_text(c, c in floating) for c in columns])
     numbered = running_number(
-        df.select(F.col(doc).alias("doc_id"), F.col(order).alias("_order"), body.alias("values")),
-        ["doc_id"], ["_order"], [block_of("_order")], "_n",
+        df.select(F.col(doc).alias("doc_id"), *[F.col(o).alias(n) for o, n in zip(order, names)], body.alias("values")),
+        ["doc_id"], names, [block_of(names[0])], "_n",
     )
     row = F.struct((F.col("_n") + 1).alias("row_index"), F.lit(False).alias("is_header"), F.col("values"))
     head = F.struct(F.lit(0).cast("bigint").alias("row_index"), F.lit(True).alias("is_header"),
@@ -60,7 +63,7 @@ def rows_of(cells: DataFrame) -> DataFrame:
         F.max("is_header").alias("is_header"), texts.alias("values"))
 
 
-def to_cells(df: DataFrame, doc: str, order: str, columns: Sequence[str]) -> DataFrame:
+def to_cells(df: DataFrame, doc: str, order: str | Sequence[str], columns: Sequence[str]) -> DataFrame:
     return cells_of(to_rows(df, doc, order, columns))
 
 

@@ -1,7 +1,7 @@
 """The batch job: a folder of mixed files to one result table.
 
-detect -> route -> reuse or convert once -> union -> report. Each converter
-reads only the files routed to it; a file that fails becomes an error row.
+detect -> write by type -> convert per type -> union. Each converter reads only
+the files of its type; a file that fails becomes an error row.
 """
 
 from __future__ import annotations
@@ -16,7 +16,10 @@ from folioweave.operators.tables import render_table, workbook_markdown
 from folioweave.options import Options
 from folioweave.plans.pages import pages_to_results
 from folioweave.sources.files import csv_cells
-from folioweave.sources.packages import explode_archive, package_subtype, scan_docx_blocks, scan_xlsx_cells
+from folioweave.session import shared_dir
+from folioweave.sources.packages import (
+    TYPE_PARTS, explode_archive, package_subtype, scan_docx_blocks, scan_xlsx_cells,
+)
 
 BLOCKS_PER_PART = 4096
 
@@ -41,12 +44,20 @@ def xlsx_markdown(members: DataFrame, options: Options) -> DataFrame:
         F.col("table_index").alias("sheet_index"), "sheet", "part", "markdown"), options.xlsx_mode)
 
 
+def type_corpus(corpus: DataFrame, options: Options, folder: str) -> DataFrame:
+    """Detect types once and write the files by type, so that each converter reads only its own."""
+    zips = corpus.where(F.substring("content", 1, 4) == F.lit(b"PK\x03\x04"))
+    subtypes = package_subtype(explode_archive(zips, read=TYPE_PARTS))
+    typed = detect_type(corpus, "path", "content", subtypes=subtypes, text_passthrough=options.text_passthrough)
+    typed = typed.withColumn("file_type", F.coalesce("file_type", F.lit("unknown")))
+    typed.select("path", "content", "error", "file_type").write.partitionBy("file_type").parquet(folder)
+    return corpus.sparkSession.read.parquet(folder)
+
+
 def convert_corpus(corpus: DataFrame, options: Options | None = None) -> DataFrame:
-    """(path, part, file_type, converter, markdown, total_words, error) for files (path, content)."""
+    """(path, part, file_type, markdown, total_words, error) for files (path, content)."""
     opts = options or Options()
-    subtypes = package_subtype(explode_archive(
-        corpus.where(F.substring("content", 1, 4) == F.lit(b"PK\x03\x04"))))
-    typed = detect_type(corpus, "path", "content", subtypes=subtypes, text_passthrough=opts.text_passthrough)
+    typed = type_corpus(corpus, opts, shared_dir(corpus.sparkSession, "typed"))
     of = lambda kind: typed.where(F.col("file_type") == kind)
     parts = []
 
@@ -71,7 +82,7 @@ def convert_corpus(corpus: DataFrame, options: Options | None = None) -> DataFra
     missing = F.when(F.col("markdown").isNull(), F.coalesce(
         "_error", F.concat(F.lit("Failed to read "), F.upper("_type"))))
     return joined.select(
-        "path", F.coalesce("part", F.lit(0).cast("bigint")).alias("part"), F.coalesce("_type", F.lit("unknown")).alias("file_type"),
+        "path", F.coalesce("part", F.lit(0).cast("bigint")).alias("part"), F.col("_type").cast("string").alias("file_type"),
         "markdown", F.coalesce("total_words", F.lit(0).cast("bigint")).alias("total_words"), missing.alias("error"))
 
 

@@ -15,9 +15,12 @@ def scan_json(df: DataFrame, key: str, col: str, levels: int = JSON_LEVELS) -> D
     `value`. Invalid JSON gives one row with an error.
     """
     spark = df.sparkSession
-    parsed = F.try_parse_json(col)
-    out = df.select(key, F.lit("").alias("path"), parsed.alias("v"),
-                    F.when(parsed.isNull(), F.lit("invalid JSON")).alias("error"))
+    # inside brackets the parser also sees what follows the first value
+    wrapped = df.select(key, F.try_parse_json(F.concat(F.lit("["), F.col(col), F.lit("]"))).alias("w"))
+    single = F.try_variant_get("w", "$[1]", "variant").isNull()
+    out = wrapped.select(key, F.lit("").alias("path"),
+                         F.when(single, F.try_variant_get("w", "$[0]", "variant")).alias("v"))
+    out = out.withColumn("error", F.when(F.col("v").isNull(), F.lit("invalid JSON")))
     for _ in range(levels):
         step = out.lateralJoin(spark.tvf.variant_explode_outer(F.col("v").outer()))
         inner = F.when(

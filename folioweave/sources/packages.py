@@ -22,16 +22,20 @@ MEMBER_SCHEMA = "path string, member_no bigint, member string, size bigint, cont
 _ARROW = pa.schema([("path", pa.string()), ("member_no", pa.int64()), ("member", pa.string()),
                     ("size", pa.int64()), ("content", pa.binary()), ("error", pa.string())])
 _FLUSH_BYTES = 16 << 20
+TYPE_PARTS = r"^(mimetype|\[Content_Types\]\.xml)$"
 _MEMBER_LIMIT = (1 << 31) - (1 << 20)
 _XML = {"ignoreNamespace": "true", "mode": "PERMISSIVE", "ignoreSurroundingSpaces": "false"}
 
 
-def _members(path: str, data: bytes, wanted: re.Pattern | None) -> Iterator[tuple]:
+def _members(path: str, data: bytes, wanted: re.Pattern | None, read: re.Pattern | None) -> Iterator[tuple]:
     try:
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             for no, info in enumerate(z.infolist()):
                 if info.is_dir() or (wanted and not wanted.search(info.filename)):
                     continue
+                if read and not read.search(info.filename):
+                    yield path, no, info.filename, info.file_size, None, None
+                    continue
                 if info.file_size > _MEMBER_LIMIT:
                     yield path, no, info.filename, info.file_size, None, "member too large"
                     continue
@@ -43,18 +47,20 @@ def _members(path: str, data: bytes, wanted: re.Pattern | None) -> Iterator[tupl
         yield path, None, None, None, None, f"not a ZIP archive: {e}"
 
 
-def explode_archive(corpus: DataFrame, only: str | None = None) -> DataFrame:
+def explode_archive(corpus: DataFrame, only: str | None = None, read: str | None = None) -> DataFrame:
     """One row per member of each archive (path, content).
 
-    `only` is a pattern on member names; other members are not decompressed. Where
-    several jobs read the members, write this table once and pass it around.
+    `only` is a pattern on member names that drops the others; `read` keeps all
+    members but decompresses the matching ones alone. Where several jobs read the
+    members, write this table once and pass it around.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = re.compile(only) if only else None
+        opened = re.compile(read) if read else None
         rows, held = [], 0
         for batch in batches:
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for row in _members(path, data.as_py() or b"", wanted):
+                for row in _members(path, data.as_py() or b"", wanted, opened):
                     rows.append(row)
                     held += len(row[4] or b"")
                     if held >= _FLUSH_BYTES:
