@@ -46,7 +46,7 @@ def scan_xml(df: DataFrame, key: str, col: str, row_tag: str | None = None) -> D
     Element names are compared without their prefix. Malformed XML gives one row
     with an error.
     """
-    scope = f"//*[local-name()='{row_tag}']" if row_tag else "/"
+    scope = f"//*[local-name()='{row_tag}']" if row_tag else ""
     nodes = F.xpath(col, F.lit(f"{scope}//text()[normalize-space()]"))
     ok = xml_is_well_formed(col)
     tagged = df.select(key, ok.alias("_ok"), F.col(col))
