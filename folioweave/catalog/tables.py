@@ -136,7 +136,7 @@ def md_table_cells(s, d):
 def table_or_note(s, d):
     listed = line_rows(s, d).select("doc_id", "table_index").distinct().unionByName(
         table(s, d, "supplier").select((F.col("s_suppkey") + 1000).alias("doc_id"), F.lit(0).cast("bigint").alias("table_index")))
-    return tb.table_or_note(tb.cells_of(line_rows(s, d)), 4, tables=listed)
+    return tb.table_or_note(line_rows(s, d), 4, tables=listed)
 
 
 SQL_NOTE = f"""WITH {SQL_LINES}, t AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, row_index // 4096 AS part,

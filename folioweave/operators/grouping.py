@@ -26,14 +26,21 @@ def with_group_stats(
     keys: Sequence[str],
     block: Column,
     stats: dict[str, tuple[Callable[[Column], Column], Column]],
+    keep: str | None = None,
 ) -> DataFrame:
-    """Add per-group values; each stat is (decomposable aggregate, expression)."""
-    tagged = df.withColumn("_block", block)
-    cut = [*keys, "_block"]
+    """Add per-group values; each stat is (decomposable aggregate, expression).
+
+    With `keep` the block stays as a column of that name, and an aggregate over
+    (keys, block) that follows needs no shuffle of its own.
+    """
+    name_of = keep or "_block"
+    tagged = df.withColumn(name_of, block)
+    cut = [*keys, name_of]
     partial = tagged.groupBy(*cut).agg(*[fn(e).alias(name) for name, (fn, e) in stats.items()])
     w = Window.partitionBy(*keys)
     totals = partial.select(*cut, *[fn(F.col(n)).over(w).alias(n) for n, (fn, _) in stats.items()])
-    return tagged.join(totals, cut).drop("_block")
+    joined = tagged.join(totals, cut)
+    return joined if keep else joined.drop(name_of)
 
 
 def with_group_count(df: DataFrame, keys: Sequence[str], block: Column, name: str) -> DataFrame:

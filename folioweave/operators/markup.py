@@ -37,34 +37,44 @@ def drop_noise(html) -> Column:
     return F.regexp_replace(h, r"(?s)<!--.*?(?:-->|\z)", "")
 
 
-def attribute(tag, name: str) -> Column:
-    """Unescaped value of an attribute in tag text, null when absent."""
+def raw_attribute(tag, name: str) -> Column:
+    """Value of an attribute as written, '' when absent."""
     value = F.regexp_extract(
         _col(tag), rf"""(?is)(?:^|[\s"']){name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
-    return F.when(value != "", html_unescape(F.regexp_replace(value, r"""^["']|["']$""", "")))
+    return F.regexp_replace(value, r"""^["']|["']$""", "")
 
 
-def visible_text(html) -> Column:
-    """Text a reader sees: head dropped, inline tags vanish, other tags separate words."""
-    h = F.regexp_replace(drop_noise(html), r"(?is)<head\b[^>]*>.*?</head\s*>", " ")
+def has_attribute(tag, name: str) -> Column:
+    return _col(tag).rlike(rf"""(?is)(?:^|[\s"']){name}\s*=\s*(?:"|'|[^\s"'>])""")
+
+
+def attribute(tag, name: str) -> Column:
+    """Unescaped value of an attribute in tag text, null when absent."""
+    return F.when(has_attribute(tag, name), html_unescape(raw_attribute(tag, name)))
+
+
+def _markup_to_words(html: Column) -> Column:
+    """Noise-free markup with the head dropped and tags taken out; still escaped."""
+    h = F.regexp_replace(html, r"(?is)<head\b[^>]*>.*?</head\s*>", " ")
     h = F.regexp_replace(h, rf"(?i)</?(?:{_INLINE_TAGS})(?:\s[^>]*)?/?>", "")
-    return squeeze(html_unescape(F.regexp_replace(h, _TAG, " ")))
+    return F.regexp_replace(h, _TAG, " ")
 
 
 def _inner_text(markup: Column) -> Column:
     return squeeze(html_unescape(F.regexp_replace(markup, _TAG, "")))
 
 
-def _meta_content(html: Column, name: str) -> Column:
-    metas = F.regexp_extract_all(html, F.lit(r"(?i)<meta\s[^>]*>"), F.lit(0))
-    named = F.filter(metas, lambda m: m.rlike(rf"""(?i)[\s"']name\s*=\s*["']?{name}(?:["'\s/>])"""))
-    return attribute(F.get(named, 0), "content")
+def _first_meta(metas: Column, name: str) -> Column:
+    return F.get(F.filter(metas, lambda m: m.rlike(rf"""(?i)[\s"']name\s*=\s*["']?{name}(?:["'\s/>])""")), 0)
 
 
-def base_of(html, url, configured: str | None = None) -> Column:
-    """Configured base, else `<base href>`, else the page's own address."""
-    tag = F.regexp_extract(_col(html), r"(?i)<base\s[^>]*>", 0)
-    return F.coalesce(F.lit(configured).cast("string"), attribute(tag, "href"), _col(url))
+def with_base(pages: DataFrame, html: str, configured: str | None = None) -> DataFrame:
+    """Adds base: configured, else `<base href>`, else the page's own address."""
+    if configured is not None:
+        return pages.withColumn("base", F.lit(configured))
+    tagged = pages.withColumn("_base_tag", F.regexp_extract(html, r"(?i)<base\s[^>]*>", 0))
+    return tagged.withColumn("base", F.when(F.col("_base_tag") == "", F.col("url")).otherwise(
+        F.coalesce(attribute("_base_tag", "href"), F.col("url")))).drop("_base_tag")
 
 
 # ---------------------------------------------------------------- map-side operators
@@ -84,35 +94,50 @@ def page_facts(pages: DataFrame) -> DataFrame:
     """Adds title, author and subject read from `_h`, the noise-free markup."""
     title = F.regexp_extract("_h", r"(?is)<title[^>]*>(.*?)</title", 1)
     heading = F.regexp_extract("_h", r"(?is)<h1(?:\s[^>]*)?>(.*?)</h1", 1)
+    metas = F.regexp_extract_all("_h", F.lit(r"(?i)<meta\s[^>]*>"), F.lit(0))
     blank = F.lit("")
+    # each pass over the page is made once and referred to by name afterwards
     return (
-        pages.withColumn("_title", title).withColumn("_title", strip(html_unescape("_title")))
-        .withColumn("_heading", F.when(F.col("_title") == "", heading)).withColumn("_heading", _inner_text(F.col("_heading")))
-        .withColumn("title", F.coalesce(F.nullif("_title", blank), F.nullif("_heading", blank)))
-        .withColumn("author", _meta_content(F.col("_h"), "author"))
-        .withColumn("subject", _meta_content(F.col("_h"), "description"))
-        .drop("_title", "_heading")
+        pages.withColumns({"_title": title, "_metas": metas})
+        .withColumns({
+            "_title": strip(html_unescape("_title")),
+            "_author": _first_meta(F.col("_metas"), "author"), "_about": _first_meta(F.col("_metas"), "description"),
+        })
+        .withColumns({
+            "_heading": F.when(F.col("_title") == "", heading),
+            "author": attribute("_author", "content"), "subject": attribute("_about", "content"),
+        })
+        .withColumn("title", F.coalesce(F.nullif("_title", blank), F.nullif(_inner_text(F.col("_heading")), blank)))
+        .drop("_title", "_heading", "_metas", "_author", "_about")
     )
 
 
 def base_url(pages: DataFrame, configured: str | None = None) -> DataFrame:
-    return pages.select("page_id", base_of("html", "url", configured).alias("base_url"))
+    return with_base(pages, "html", configured).select("page_id", F.col("base").alias("base_url"))
+
+
+def _noise_free(pages: DataFrame, configured: str | None = None) -> DataFrame:
+    """(page_id, url, base, _h) with script, style and comments gone."""
+    return with_base(pages.select("page_id", "url", drop_noise("html").alias("_h")), "_h", configured)
 
 
 def extract_links(pages: DataFrame, configured: str | None = None) -> DataFrame:
     """One row per anchor: link_index, href as written, href resolved, text."""
-    h = drop_noise("html")
-    pieces = F.split(h, r"(?i)<a(?=[\s>])")
-    anchors = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
-    out = pages.select("page_id", base_of(h, "url", configured).alias("base"),
-                       F.posexplode(anchors).alias("link_index", "piece"))
+    pieces = _noise_free(pages, configured).select("page_id", "base", F.split("_h", r"(?i)<a(?=[\s>])").alias("ps"))
+    anchors = F.slice("ps", F.lit(2), F.greatest(F.size("ps") - 1, F.lit(0)))
+    out = pieces.select("page_id", "base", F.posexplode(anchors).alias("link_index", "piece"))
     # step by step, so that each value is computed once and then referred to
-    out = out.select("page_id", "link_index", "base",
-                     attribute(F.regexp_extract("piece", r"(?s)^([^>]*)", 1), "href").alias("href_raw"),
-                     F.regexp_extract("piece", r"(?is)^[^>]*>(.*?)(?:</a\s*>|\z)", 1).alias("inner"))
+    out = out.select(
+        "page_id", "link_index", "base",
+        F.regexp_extract("piece", r"(?s)^([^>]*)", 1).alias("attrs"),
+        F.regexp_replace(F.regexp_extract("piece", r"(?is)^[^>]*>(.*?)(?:</a\s*>|\z)", 1), _TAG, "").alias("inner"))
+    out = out.withColumns({
+        "href": F.when(has_attribute("attrs", "href"), raw_attribute("attrs", "href")),
+        "text": squeeze(html_unescape("inner"))})
+    out = out.withColumn("href_raw", html_unescape("href"))
     return out.select(
         "page_id", F.col("link_index").cast("bigint").alias("link_index"), "href_raw",
-        resolve_url("base", "href_raw").alias("href_resolved"), _inner_text(F.col("inner")).alias("text"))
+        resolve_url("base", "href_raw").alias("href_resolved"), "text")
 
 
 def extract_images(pages: DataFrame, configured: str | None = None) -> DataFrame:
@@ -121,9 +146,8 @@ def extract_images(pages: DataFrame, configured: str | None = None) -> DataFrame
     Data URIs are decoded here; external ones stay addresses; local ones get
     their bytes from `resolve_local_images`.
     """
-    h = drop_noise("html")
-    tags = F.regexp_extract_all(h, F.lit(r"(?i)<img\b[^>]*>"), F.lit(0))
-    out = pages.select("page_id", base_of(h, "url", configured).alias("base"), F.posexplode(tags).alias("n", "tag"))
+    tags = F.regexp_extract_all("_h", F.lit(r"(?i)<img\b[^>]*>"), F.lit(0))
+    out = _noise_free(pages, configured).select("page_id", "base", F.posexplode(tags).alias("n", "tag"))
     out = out.select("page_id", F.col("n").cast("bigint").alias("image_index"), "base",
                      attribute("tag", "src").alias("src"),
                      F.coalesce(attribute("tag", "alt"), F.lit("")).alias("alt_text"))
@@ -171,7 +195,9 @@ def apply_image_mode(images: DataFrame, mode: str, folder: str = "images") -> Da
 
 
 def html_to_text(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", visible_text("html").alias("text"))
+    """Text a reader sees: head dropped, inline tags vanish, other tags separate words."""
+    words = pages.select("page_id", _markup_to_words(drop_noise("html")).alias("_w"))
+    return words.select("page_id", squeeze(html_unescape("_w")).alias("text"))
 
 
 def outline(pages: DataFrame) -> DataFrame:
@@ -321,8 +347,7 @@ def _sum_gt0(tags: list[str]) -> Column:
 
 def html_to_markdown(pages: DataFrame, configured: str | None = None, image_mode: str = "link") -> DataFrame:
     """(page_id, markdown) of pages (page_id, url, html)."""
-    ready = pages.select("page_id", base_of("html", "url", configured).alias("base"), drop_noise("html").alias("_h"))
-    return markdown_of(ready, [], image_mode)
+    return markdown_of(_noise_free(pages, configured), [], image_mode)
 
 
 def markdown_of(pages: DataFrame, carry: list[str], image_mode: str = "link") -> DataFrame:
@@ -341,8 +366,9 @@ def markdown_of(pages: DataFrame, carry: list[str], image_mode: str = "link") ->
     toks = toks.withColumn("page", F.when(F.col("pos") == 0, F.col("page")))
     toks = _classified(toks)
     is_a, is_img = F.col("tag") == "a", F.col("tag") == "img"
-    toks = toks.withColumn("ref", F.when(is_a, attribute("raw", "href")).when(is_img, attribute("raw", "src")))
-    toks = toks.withColumn("alt", F.when(is_img, F.coalesce(attribute("raw", "alt"), F.lit(""))))
+    toks = toks.withColumn("ref", F.when(is_a & has_attribute("raw", "href"), raw_attribute("raw", "href"))
+                           .when(is_img & has_attribute("raw", "src"), raw_attribute("raw", "src")))
+    toks = toks.withColumns({"ref": html_unescape("ref"), "alt": F.when(is_img, html_unescape(raw_attribute("raw", "alt")))})
     toks = toks.withColumn("target", F.when(F.col("ref").startswith("data:"), F.col("ref")).when(
         F.col("ref").isNotNull(), resolve_url("base", "ref")))
     toks = toks.withColumn("body", F.when(F.col("kind") == "text", html_unescape("raw"))).drop("raw", "ref", "base")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from folioweave import rules
 from folioweave.functions import cell_text, escape_cell, pad_row, squeeze
-from folioweave.operators.grouping import block_of, running_number, with_group_count, with_group_stats
+from folioweave.operators.grouping import block_of, running_number, with_group_stats
 
 TABLE = ["doc_id", "table_index"]
 ROWS_PER_PART = 4096
@@ -126,22 +126,22 @@ def empty_table_note(tables: DataFrame, rendered: DataFrame) -> DataFrame:
 
 
 def _collect_parts(lines: DataFrame) -> DataFrame:
-    part = block_of("row_index", ROWS_PER_PART).alias("part")
+    """Lines of a part to its text; the lines already lie by (table, part)."""
     joined = F.array_join(
         F.transform(F.array_sort(F.collect_list(F.struct("row_index", "line"))), lambda s: s["line"]), "\n")
-    return lines.groupBy(*TABLE, part).agg(joined.alias("markdown"))
+    return lines.groupBy(*TABLE, "part").agg(joined.alias("markdown"))
 
 
 def _with_edges(rows: DataFrame) -> DataFrame:
-    """Adds the table's first and last row number and its width (header first)."""
+    """Adds part, the table's first and last row number, and its width (header first)."""
     size = F.size("values")
-    out = with_group_stats(rows, TABLE, block_of("row_index"), {
+    out = with_group_stats(rows, TABLE, block_of("row_index", ROWS_PER_PART), {
         "_first": (F.min, F.col("row_index")),
         "_last": (F.max, F.col("row_index")),
         "_head": (F.max, F.when(F.col("is_header"), size)),
         "_wide": (F.max, size),
-    })
-    return out.withColumn("_width", F.coalesce("_head", "_wide")).drop("_head", "_wide")
+    }, keep="part")
+    return out.withColumn("_width", F.coalesce("_head", "_wide")).drop("_head")
 
 
 def _github_lines(rows: DataFrame) -> DataFrame:
@@ -196,10 +196,9 @@ def _boxed_lines(rows: DataFrame, fmt: str) -> DataFrame:
     """Padded lines of the pipe and grid formats."""
     tidy = rows.withColumn("values", pad_row(
         F.transform("values", escape_cell if fmt == "pipe" else squeeze), F.col("_width")))
-    tidy = tidy.withColumn("_block", block_of("row_index"))
-    # hand the table's column widths to each block, then join on (table, block)
-    blocks = tidy.select(*TABLE, "_block").distinct().join(_column_specs(tidy), TABLE)
-    joined = tidy.join(blocks, [*TABLE, "_block"]).drop("_block")
+    # hand the table's column widths to each part, then join on (table, part)
+    parts = tidy.select(*TABLE, "part").distinct().join(_column_specs(tidy), TABLE)
+    joined = tidy.join(parts, [*TABLE, "part"])
 
     def cell(c: Column, s: Column) -> Column:
         return F.when(s["num"], F.lpad(c, s["w"], " ")).otherwise(F.rpad(c, s["w"], " "))
@@ -228,22 +227,23 @@ def render_table(table: DataFrame, fmt: str = "github") -> DataFrame:
     """(doc_id, table_index, part, markdown) from cells or rows."""
     if fmt not in rules.TABLE_FORMATS:
         raise ValueError(f"table format must be one of {rules.TABLE_FORMATS}")
-    rows = _with_edges(_as_rows(table))
+    return _collect_parts(_lines(_with_edges(_as_rows(table)), fmt))
+
+
+def _lines(rows: DataFrame, fmt: str) -> DataFrame:
     if fmt == "github":
-        return _collect_parts(_github_lines(rows))
-    if fmt == "html":
-        return _collect_parts(_html_lines(rows))
-    return _collect_parts(_boxed_lines(rows, fmt))
+        return _github_lines(rows)
+    return _html_lines(rows) if fmt == "html" else _boxed_lines(rows, fmt)
 
 
-def table_or_note(cells: DataFrame, n: int = rules.SHEET_COLUMNS, fmt: str = "github",
+def table_or_note(table: DataFrame, n: int = rules.SHEET_COLUMNS, fmt: str = "github",
                   tables: DataFrame | None = None) -> DataFrame:
     """Rendered tables with the too-wide note, and the placeholder for empty ones."""
-    capped = cap_columns(cells, n)
-    notes = capped.where(F.col("note").isNotNull()).groupBy(*TABLE).agg(F.max("note").alias("note"))
-    rendered = render_table(capped.drop("note"), fmt).join(
-        notes.withColumn("part", F.lit(0).cast("bigint")), [*TABLE, "part"], "left")
-    rendered = rendered.select(*TABLE, "part", F.concat_ws("\n\n", "note", "markdown").alias("markdown"))
+    rows = _with_edges(_as_rows(table))
+    note = F.when((F.col("_wide") > n) & (F.col("row_index") == F.col("_first")), F.concat(
+        F.lit("*Table too wide ("), F.col("_wide").cast("string"), F.lit(f" columns), showing first {n} columns*\n")))
+    capped = rows.withColumns({"values": F.slice("values", 1, n), "_width": F.least("_width", F.lit(n)), "_note": note})
+    rendered = _collect_parts(_lines(capped, fmt).withColumn("line", F.concat_ws("\n", "_note", "line")))
     return rendered if tables is None else empty_table_note(tables.select(*TABLE), rendered)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioweave import rules
 from folioweave.functions import quality_warnings, word_count
-from folioweave.operators.markup import base_of, drop_noise, markdown_of, page_facts
+from folioweave.operators.markup import _noise_free, markdown_of, page_facts
 from folioweave.options import Options
 
 
@@ -23,9 +23,7 @@ def pages_to_results(pages: DataFrame, options: Options | None = None) -> DataFr
     def occurrences(pattern: str) -> Column:
         return F.coalesce(F.regexp_count("_h", F.lit(pattern)), zero).cast("bigint")
 
-    ready = pages.select(
-        "page_id", "url", base_of("html", "url", opts.html_base_url).alias("base"), drop_noise("html").alias("_h"))
-    ready = page_facts(ready).select(
+    ready = page_facts(_noise_free(pages, opts.html_base_url)).select(
         "*",
         F.greatest(F.lit(1), occurrences(rf"(?i)<(?:{'|'.join(rules.SECTION_TAGS)})(?=[\s>])")).alias("page_count"),
         occurrences(r"(?i)<a(?=[\s>])").alias("total_links"),

