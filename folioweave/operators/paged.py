@@ -15,6 +15,7 @@ from folioweave.functions import has_text, stripped_length, word_count
 from folioweave.operators.grouping import block_of, running_number, with_group_stats
 
 PAGES_PER_PART = 4096
+PAGES_PER_BLOCK = 256
 
 
 def nonblank_parts(df: DataFrame, text: str = "text") -> DataFrame:
@@ -90,7 +91,7 @@ def page_breaks(pages: DataFrame, marker: str = rules.PAGE_BREAK) -> DataFrame:
 
 def image_index(images: DataFrame) -> DataFrame:
     """Running image number over the pages of a document, and its alt text."""
-    out = running_number(images, ["doc_id"], ["page_number", "pos"], [F.col("page_number"), block_of("pos")],
+    out = running_number(images, ["doc_id"], ["page_number", "pos"], [block_of("page_number", PAGES_PER_BLOCK)],
                          "image_index")
     return out.withColumn("alt_text", F.concat(
         F.lit("Image "), (F.col("image_index") + 1).cast("string"),
@@ -99,7 +100,7 @@ def image_index(images: DataFrame) -> DataFrame:
 
 def table_index(tables: DataFrame) -> DataFrame:
     """Running table number over the pages of a document."""
-    return running_number(tables, ["doc_id"], ["page_number", "pos"], [F.col("page_number"), block_of("pos")],
+    return running_number(tables, ["doc_id"], ["page_number", "pos"], [block_of("page_number", PAGES_PER_BLOCK)],
                           "table_index")
 
 

@@ -114,12 +114,15 @@ def table_dims(cells: DataFrame) -> DataFrame:
 
 
 def empty_table_note(tables: DataFrame, rendered: DataFrame) -> DataFrame:
-    """Every listed table, with a placeholder where nothing was rendered."""
-    return (
-        tables.join(rendered, TABLE, "left")
-        .withColumn("part", F.coalesce("part", F.lit(0).cast("bigint")))
-        .withColumn("markdown", F.coalesce("markdown", F.lit(rules.EMPTY_SHEET)))
-    )
+    """The rendered tables, and a placeholder for each listed one that has no cells.
+
+    Only the keys of first parts are looked up, one row per table, so a table of
+    many parts is never on either side of the join.
+    """
+    some = rendered.where(F.col("part") == 0).select(*TABLE)
+    notes = tables.join(some, TABLE, "left_anti").select(
+        *TABLE, F.lit(0).cast("bigint").alias("part"), F.lit(rules.EMPTY_SHEET).alias("markdown"))
+    return rendered.select(*TABLE, "part", "markdown").unionByName(notes)
 
 
 # ---------------------------------------------------------------- rendering

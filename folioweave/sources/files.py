@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,12 +32,14 @@ def split_oversized(corpus: DataFrame, max_bytes: int) -> tuple[DataFrame, DataF
     return corpus.where(F.col("length") <= max_bytes), refused
 
 
-def balance(corpus: DataFrame, seconds: str, tasks: int) -> DataFrame:
-    """Spread whole files over tasks by path; a file is one row and cannot be cut.
+def balance(corpus: DataFrame, seconds, target_seconds: float = 120.0, most: int = 100_000) -> DataFrame:
+    """Spread whole files over as many tasks as their estimated cost asks for.
 
-    `seconds` is the estimated cost column; AQE may still merge light partitions.
+    A file is one row and cannot be cut. The total is an aggregate over names and
+    sizes; contents are not read for it.
     """
-    return corpus.repartition(tasks, F.xxhash64("path"), F.col(seconds))
+    total = corpus.agg(F.sum(seconds)).first()[0] or 0.0
+    return corpus.repartition(min(most, max(1, math.ceil(total / target_seconds))), "path")
 
 
 def scan_pages(spark: SparkSession, path: str) -> DataFrame:
