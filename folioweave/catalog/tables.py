@@ -134,7 +134,8 @@ def md_table_cells(s, d):
 
 
 def table_or_note(s, d):
-    listed = line_rows(s, d).select("doc_id", "table_index").distinct().unionByName(
+    zero = F.lit(0).cast("bigint").alias("table_index")
+    listed = s.range(3).select(F.col("id").cast("int").alias("doc_id"), zero).unionByName(
         table(s, d, "supplier").select((F.col("s_suppkey") + 1000).alias("doc_id"), F.lit(0).cast("bigint").alias("table_index")))
     return tb.table_or_note(line_rows(s, d), 4, tables=listed)
 

@@ -43,14 +43,11 @@ def with_group_stats(
     return joined if keep else joined.drop(name_of)
 
 
-def with_group_count(df: DataFrame, keys: Sequence[str], block: Column, name: str) -> DataFrame:
-    return with_group_stats(df, keys, block, {name: (F.sum, F.lit(1).cast("bigint"))})
-
-
 def running_number(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], blocks: Sequence[Column], name: str,
+    total: str | None = None,
 ) -> DataFrame:
-    """0-based number of each row within its group, in `order`.
+    """0-based number of each row within its group, in `order`; `total` adds the group's size.
 
     `blocks` must not decrease along `order`; rows of one block meet in one task,
     a whole group never does.
@@ -59,9 +56,11 @@ def running_number(
     tagged = df.select("*", *[b.alias(n) for b, n in zip(blocks, names)])
     cut = [*keys, *names]
     before = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    group = Window.partitionBy(*keys)
+    extra = [F.sum("_n").over(group).alias(total)] if total else []
     starts = (
         tagged.groupBy(*cut).agg(F.count(F.lit(1)).alias("_n"))
-        .select(*cut, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+        .select(*cut, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"), *extra)
     )
     local = F.row_number().over(Window.partitionBy(*cut).orderBy(*order))
     return (

@@ -130,9 +130,7 @@ def assemble_pages(
 
 def paginate(df: DataFrame, key: str, order: str, per_page: int = rules.GALLERY_PAGE) -> DataFrame:
     """Adds gallery page number (from 0) and the number of gallery pages per document."""
-    block = block_of(order)
-    out = running_number(df, [key], [order], [block], "_n")
-    out = with_group_stats(out, [key], block, {"_total": (F.sum, F.lit(1).cast("bigint"))})
+    out = running_number(df, [key], [order], [block_of(order)], "_n", total="_total")
     return (
         out.withColumn("gallery_page", F.floor(F.col("_n") / per_page).cast("bigint"))
         .withColumn("gallery_pages", F.ceil(F.col("_total") / per_page).cast("bigint"))

@@ -119,8 +119,11 @@ def empty_table_note(tables: DataFrame, rendered: DataFrame) -> DataFrame:
     Only the keys of first parts are looked up, one row per table, so a table of
     many parts is never on either side of the join.
     """
-    some = rendered.where(F.col("part") == 0).select(*TABLE)
-    notes = tables.join(some, TABLE, "left_anti").select(
+    return _with_notes(tables, rendered, rendered.where(F.col("part") == 0).select(*TABLE))
+
+
+def _with_notes(tables: DataFrame, rendered: DataFrame, present: DataFrame) -> DataFrame:
+    notes = tables.select(*TABLE).join(present, TABLE, "left_anti").select(
         *TABLE, F.lit(0).cast("bigint").alias("part"), F.lit(rules.EMPTY_SHEET).alias("markdown"))
     return rendered.select(*TABLE, "part", "markdown").unionByName(notes)
 
@@ -179,49 +182,64 @@ def _html_lines(rows: DataFrame) -> DataFrame:
     ))
 
 
-def _column_specs(rows: DataFrame) -> DataFrame:
-    """Per table an array of (width, numeric) by column; one short row per table.
+def _with_specs(rows: DataFrame) -> DataFrame:
+    """As `_with_edges`, plus `_specs`: (width, numeric) of every column of the table.
 
-    Widths count code points; header cells ask for two more, as plain-text table
-    printers do. East Asian double width is not considered.
+    One pass over the cells feeds both, and the result meets the rows by (table,
+    part). Widths count code points; header cells ask for two more, as plain-text
+    table printers do. East Asian double width is not considered.
     """
+    tagged = rows.withColumn("part", block_of("row_index", ROWS_PER_PART))
     text, head = F.col("text"), F.col("is_header")
     number = text.rlike(r"^[+-]?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$") | (text == "")
-    per_col = cells_of(rows).groupBy(*TABLE, "col_index").agg(
+    cells = tagged.select(*TABLE, "part", "row_index", "is_header", F.posexplode("values").alias("col_index", "text"))
+    narrow = cells.groupBy(*TABLE, "part", "col_index").agg(
         F.max(F.when(head, F.length(text) + 2).otherwise(F.length(text))).alias("w"),
-        F.coalesce(F.min(F.when(~head, number)), F.lit(False)).alias("num"),
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("col_index", "w", "num")))
-    return per_col.groupBy(*TABLE).agg(ordered.alias("_specs"))
+        F.coalesce(F.min(F.when(~head, number)), F.lit(True)).alias("num"),
+        F.max((~head).cast("int")).alias("body"),
+        F.max(head).alias("head"), F.min("row_index").alias("lo"), F.max("row_index").alias("hi"))
+    col, whole = Window.partitionBy(*TABLE, "col_index"), Window.partitionBy(*TABLE)
+    known = narrow.select(
+        *TABLE, "part", "col_index", F.max("w").over(col).alias("w"),
+        (F.min("num").over(col) & (F.max("body").over(col) > 0)).alias("num"),
+        F.min("lo").over(whole).alias("_first"), F.max("hi").over(whole).alias("_last"),
+        (F.max("col_index").over(whole) + 1).alias("_wide"),
+        (F.max(F.when(F.col("head"), F.col("col_index"))).over(whole) + 1).alias("_head"))
+    # the set has one entry per column of the table, whichever parts it occurs in
+    known = known.withColumn("_cols", F.collect_set(F.struct("col_index", "w", "num")).over(whole))
+    facts = known.groupBy(*TABLE, "part").agg(*[F.first(c).alias(c) for c in ("_first", "_last", "_wide", "_head", "_cols")])
+    facts = facts.withColumn("_width", F.coalesce("_head", "_wide")).withColumn(
+        "_specs", F.slice(F.array_sort("_cols"), F.lit(1), F.col("_width"))).drop("_head", "_cols")
+    return tagged.join(facts, [*TABLE, "part"])
+
+
+def _boxed_lines(rows: DataFrame) -> DataFrame:
+    """Padded lines of the grid and pipe formats, both as columns."""
+    def cell(c: Column, s: Column) -> Column:
+        return F.when(s["num"], F.lpad(c, s["w"], " ")).otherwise(F.rpad(c, s["w"], " "))
 
+    padded = rows.withColumn("values", pad_row("values", F.col("_width")))
+    return padded.withColumn("line", F.concat(
+        F.lit("| "), F.array_join(F.zip_with("values", "_specs", cell), " | "), F.lit(" |")))
 
-def _boxed_lines(rows: DataFrame, fmt: str) -> DataFrame:
-    """Padded lines of the pipe and grid formats."""
-    tidy = rows.withColumn("values", pad_row(
-        F.transform("values", escape_cell if fmt == "pipe" else squeeze), F.col("_width")))
-    # hand the table's column widths to each part, then join on (table, part)
-    parts = tidy.select(*TABLE, "part").distinct().join(_column_specs(tidy), TABLE)
-    joined = tidy.join(parts, [*TABLE, "part"])
 
-    def cell(c: Column, s: Column) -> Column:
-        return F.when(s["num"], F.lpad(c, s["w"], " ")).otherwise(F.rpad(c, s["w"], " "))
+def _pipe_lines(rows: DataFrame) -> DataFrame:
+    marks = F.transform("_specs", lambda s: F.when(
+        s["num"], F.concat(F.repeat(F.lit("-"), s["w"] + 1), F.lit(":"))
+    ).otherwise(F.concat(F.lit(":"), F.repeat(F.lit("-"), s["w"] + 1))))
+    rule = F.concat(F.lit("|"), F.array_join(marks, "|"), F.lit("|"))
+    return _boxed_lines(rows).withColumn("line", F.concat_ws("\n", "line", F.when(F.col("is_header"), rule)))
 
-    line = F.concat(F.lit("| "), F.array_join(F.zip_with("values", "_specs", cell), " | "), F.lit(" |"))
 
+def _grid_lines(rows: DataFrame) -> DataFrame:
     def border(dash: str) -> Column:
         bars = F.transform("_specs", lambda s: F.repeat(F.lit(dash), s["w"] + 2))
         return F.concat(F.lit("+"), F.array_join(bars, "+"), F.lit("+"))
 
-    if fmt == "pipe":
-        marks = F.transform("_specs", lambda s: F.when(
-            s["num"], F.concat(F.repeat(F.lit("-"), s["w"] + 1), F.lit(":"))
-        ).otherwise(F.concat(F.lit(":"), F.repeat(F.lit("-"), s["w"] + 1))))
-        rule = F.concat(F.lit("|"), F.array_join(marks, "|"), F.lit("|"))
-        return joined.withColumn("line", F.when(F.col("is_header"), F.concat_ws("\n", line, rule)).otherwise(line))
-    return joined.withColumn("line", F.concat_ws(
+    return _boxed_lines(rows).withColumn("line", F.concat_ws(
         "\n",
         F.when(F.col("row_index") == F.col("_first"), border("-")),
-        line,
+        "line",
         F.when(F.col("is_header"), border("=")).otherwise(border("-")),
     ))
 
@@ -230,24 +248,34 @@ def render_table(table: DataFrame, fmt: str = "github") -> DataFrame:
     """(doc_id, table_index, part, markdown) from cells or rows."""
     if fmt not in rules.TABLE_FORMATS:
         raise ValueError(f"table format must be one of {rules.TABLE_FORMATS}")
-    return _collect_parts(_lines(_with_edges(_as_rows(table)), fmt))
+    return _collect_parts(_lines(_prepared(_as_rows(table), fmt), fmt))
+
+
+def _prepared(rows: DataFrame, fmt: str) -> DataFrame:
+    """Rows with what their format needs to know about the whole table."""
+    if fmt in ("pipe", "grid"):
+        return _with_specs(rows.withColumn("values", F.transform("values", escape_cell if fmt == "pipe" else squeeze)))
+    return _with_edges(rows)
 
 
 def _lines(rows: DataFrame, fmt: str) -> DataFrame:
-    if fmt == "github":
-        return _github_lines(rows)
-    return _html_lines(rows) if fmt == "html" else _boxed_lines(rows, fmt)
+    return {"github": _github_lines, "html": _html_lines, "pipe": _pipe_lines, "grid": _grid_lines}[fmt](rows)
 
 
 def table_or_note(table: DataFrame, n: int = rules.SHEET_COLUMNS, fmt: str = "github",
                   tables: DataFrame | None = None) -> DataFrame:
     """Rendered tables with the too-wide note, and the placeholder for empty ones."""
-    rows = _with_edges(_as_rows(table))
+    rows = _prepared(_as_rows(table), fmt)
     note = F.when((F.col("_wide") > n) & (F.col("row_index") == F.col("_first")), F.concat(
         F.lit("*Table too wide ("), F.col("_wide").cast("string"), F.lit(f" columns), showing first {n} columns*\n")))
     capped = rows.withColumns({"values": F.slice("values", 1, n), "_width": F.least("_width", F.lit(n)), "_note": note})
+    if "_specs" in capped.columns:
+        capped = capped.withColumn("_specs", F.slice("_specs", 1, n))
     rendered = _collect_parts(_lines(capped, fmt).withColumn("line", F.concat_ws("\n", "_note", "line")))
-    return rendered if tables is None else empty_table_note(tables.select(*TABLE), rendered)
+    if tables is None:
+        return rendered
+    # the tables that have cells are known from the input; nothing is rendered twice
+    return _with_notes(tables, rendered, table.select(*TABLE).distinct())
 
 
 # ---------------------------------------------------------------- workbooks and appendices
@@ -260,11 +288,18 @@ def workbook_markdown(sheets: DataFrame, mode: str = "combined") -> DataFrame:
     """
     if mode not in rules.WORKBOOK_MODES:
         raise ValueError(f"workbook mode must be one of {rules.WORKBOOK_MODES}")
-    out = with_group_stats(sheets, ["doc_id", "sheet_index"], block_of("part"), {"_last": (F.max, F.col("part"))})
-    out = with_group_stats(out, ["doc_id"], F.col("sheet_index"), {
-        "_sheets": (F.sum, F.when(F.col("part") == 0, 1).otherwise(0)),
-        "_first": (F.min, F.col("sheet_index")),
-    })
+    # one narrow table of (sheet, block of parts) tells all: last part of the sheet,
+    # sheets of the workbook, and how many pieces come before the block
+    cut = ["doc_id", "sheet_index", "_block"]
+    tagged = sheets.withColumn("_block", block_of("part"))
+    sheet, book = Window.partitionBy("doc_id", "sheet_index"), Window.partitionBy("doc_id")
+    before = book.orderBy("sheet_index", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    facts = tagged.groupBy(*cut).agg(
+        F.max("part").alias("hi"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("part") == 0).alias("s")
+    ).select(*cut, F.max("hi").over(sheet).alias("_last"), F.sum("s").over(book).alias("_sheets"),
+             F.min("sheet_index").over(book).alias("_first"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    local = F.row_number().over(Window.partitionBy(*cut).orderBy("part"))
+    out = tagged.withColumn("_local", local).join(facts, cut).withColumn("_n", F.col("_start") + F.col("_local") - 1)
     starts, ends = F.col("part") == 0, F.col("part") == F.col("_last")
     opens = starts & (F.col("sheet_index") == F.col("_first"))
     none = F.lit("")
@@ -280,9 +315,7 @@ def workbook_markdown(sheets: DataFrame, mode: str = "combined") -> DataFrame:
         head = F.when(starts, F.concat(lead, F.lit("# "), F.col("sheet"), F.lit("\n\n"))).otherwise(none)
         tail = "\n\n\n\n" if mode == "selected" else "\n\n"
     piece = F.concat(head, F.col("markdown"), F.when(ends, F.lit(tail)).otherwise(F.lit("\n")))
-    numbered = running_number(
-        out.select("doc_id", "sheet_index", "part", piece.alias("piece")), ["doc_id"], ["sheet_index", "part"],
-        [F.col("sheet_index"), block_of("part")], "_n")
+    numbered = out.select("doc_id", "_n", piece.alias("piece"))
     joined = F.array_join(
         F.transform(F.array_sort(F.collect_list(F.struct("_n", "piece"))), lambda s: s["piece"]), "")
     return numbered.groupBy("doc_id", block_of("_n", PIECES_PER_PART).alias("part")).agg(joined.alias("markdown"))

@@ -105,3 +105,12 @@ def test_workbook_modes(spark, mode, want):
     df = spark.createDataFrame([(1, "w.xlsx", 1, "Two", 0, "B"), (1, "w.xlsx", 0, "One", 0, "A")],
                                "doc_id int, name string, sheet_index bigint, sheet string, part bigint, markdown string")
     assert tb.workbook_markdown(df, mode).first().markdown == want
+
+
+def test_column_widths_hold_across_parts(spark, monkeypatch):
+    """A part whose rows lack a column is still padded to the width other parts give it."""
+    monkeypatch.setattr(tb, "ROWS_PER_PART", 4)
+    cells = [(1, 0, r, 0, str(r), False) for r in range(12)] + [(1, 0, 9, 1, "a long one", False)]
+    df = spark.createDataFrame(cells, "doc_id int, table_index bigint, row_index bigint, col_index bigint, text string, is_header boolean")
+    lines = "\n".join(r.markdown for r in tb.render_table(df, "pipe").orderBy("part").collect()).split("\n")
+    assert len(lines) == 12 and len({len(x) for x in lines}) == 1 and lines[9] == "|  9 | a long one |"
