@@ -396,16 +396,23 @@ def markdown_of(pages: DataFrame, carry: list[str], image_mode: str = "link") ->
         F.last(F.when(_opens(["table"]) & outer, F.col("row_seq")), ignorenulls=True).over(_so_far()), F.lit(0)))
     in_row = (F.col("tdepth") >= 1) & (F.col("row_seq") > F.col("rows_before"))
 
-    # marker pairing inside a block; item numbers inside a list; cell counts inside a row
+    # cells and header cells of the row so far: running totals less their value at the row's start
+    toks = toks.withColumn("cell_open", _opens(["td", "th"]) & in_row & outer)
+    toks = toks.withColumns({
+        "cells": F.sum(F.col("cell_open").cast("int")).over(_so_far()),
+        "heads": F.sum((F.col("cell_open") & (F.col("tag") == "th")).cast("int")).over(_so_far())})
+    row_start = F.last(F.when(_opens(["tr"]) & outer, F.struct("cells", "heads")), ignorenulls=True).over(_so_far())
+    toks = toks.withColumn("_row", row_start).withColumns({
+        "cell_no": F.col("cells") - F.coalesce(F.col("_row.cells"), F.lit(0)),
+        "row_th": F.col("heads") > F.coalesce(F.col("_row.heads"), F.lit(0))}).drop("cells", "heads", "_row")
+
+    # marker pairing inside a block, item numbers inside a list: the two that need an order of their own
     pair = Window.partitionBy("page_id", "seg", "marker").orderBy("pos")
     level = Window.partitionBy("page_id", "depth").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    row = Window.partitionBy("page_id", "row_seq")
-    row_so_far = row.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    cell_open = _opens(["td", "th"]) & in_row & outer
     new_list = F.when(_opens(["ul", "ol"]), F.struct("pos", "tag"))
     items = F.sum(_opens(["li"]).cast("int")).over(level)
     toks = toks.select(
-        "*", cell_open.alias("cell_open"),
+        "*",
         F.lead("kind").over(pair).alias("pair_next"), F.lag("kind").over(pair).alias("pair_prev"),
         F.lag("target").over(pair).alias("pair_target"),
     )
@@ -413,12 +420,6 @@ def markdown_of(pages: DataFrame, carry: list[str], image_mode: str = "link") ->
         "*", F.last(new_list, ignorenulls=True).over(level)["tag"].alias("list_tag"), items.alias("level_items"))
     toks = toks.withColumn("item_no", F.col("level_items") - F.last(
         F.when(_opens(["ul", "ol"]), F.col("level_items")), ignorenulls=True).over(level))
-    toks = toks.select(
-        "*",
-        F.sum(F.col("cell_open").cast("int")).over(row_so_far).alias("cell_no"),
-        F.sum(F.col("cell_open").cast("int")).over(row).alias("row_cells"),
-        F.coalesce(F.max(F.when(F.col("cell_open"), F.col("tag") == "th")).over(row), F.lit(False)).alias("row_th"),
-    )
 
     kind, tag = F.col("kind"), F.col("tag")
     is_open, is_close = kind == "open", kind == "close"
@@ -435,7 +436,7 @@ def markdown_of(pages: DataFrame, carry: list[str], image_mode: str = "link") ->
     item = F.when(F.col("list_tag") == "ol", F.concat(F.col("item_no").cast("string"), F.lit(". "))).otherwise(F.lit("- "))
     indent = F.repeat(F.lit("  "), F.greatest(F.col("depth") - 1, F.lit(0)).cast("int"))
     header = F.col("row_th") & (F.col("row_seq") == F.col("rows_before") + 1)
-    rule = F.concat(F.lit("\n|"), F.repeat(F.lit(" --- |"), F.col("row_cells").cast("int")))
+    rule = F.concat(F.lit("\n|"), F.repeat(F.lit(" --- |"), F.col("cell_no").cast("int")))
     row_end = F.concat(F.lit(" |"), F.when(header, rule).otherwise(empty))
     image = F.concat(F.lit("!["), F.col("alt"), F.lit("]("), _image_target(image_mode), F.lit(")"))
 
