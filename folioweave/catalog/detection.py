@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from folioweave import rules
 from folioweave.catalog.common import SQL_EXT, SQL_MIXED, mixed, sql_map, table
-from folioweave.functions import strip  # noqa: F401
 from folioweave.operators import detect, metrics, routing
 
 HTML_EXT = [".html", ".htm"]

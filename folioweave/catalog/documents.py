@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from folioweave import functions as fn
 from folioweave.catalog.common import (
-    SQL_PAGED, paged, sql_has_text, sql_noise, sql_strip, sql_unescape, sql_words, table,
+    SQL_PAGED, paged, sql_has_text, sql_noise, sql_unescape, sql_words, table,
 )
 from folioweave.catalog.scalars import SQL_SCANNED
 from folioweave.operators import metrics, outcome, paged as pg, reuse
@@ -143,9 +143,6 @@ SELECT page_id, CAST(link_index AS BIGINT) AS link_index, {sql_unescape('text')}
 
 _PIECE = """concat_ws(chr(10) || chr(10), '<!-- Page ' || page_number || ' -->', text, CASE WHEN page_number < last THEN '***' END)"""
 
-STATS = "count(*) AS count, sum(value) AS total, avg(value) AS avg, min(value) AS min, max(value) AS max"
-
-
 def rounded(df, *cols):
     return df.select(*[F.round(c, 4).alias(c) if c in cols else F.col(c) for c in df.columns])
 

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioweave import functions as fn
-from folioweave.catalog.common import SQL_MIXED, mixed, sql_words, table
+from folioweave.catalog.common import sql_words, table
 from folioweave.catalog.detection import SQL_ERROR, SQL_TYPED, typed
 from folioweave.catalog.markup import SQL_META
 from folioweave.operators import outcome
-from folioweave.operators.markup import extract_links, html_metadata
-from folioweave.operators.tables import find_md_tables
+from folioweave.operators.markup import html_metadata
 from folioweave.plans.converters import ConverterRegistry
 from folioweave.session import shared_dir
 from folioweave.sources import files

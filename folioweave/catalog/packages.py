@@ -10,7 +10,6 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from folioweave.catalog.common import table
-from folioweave.operators.tables import render_table
 from folioweave.plans.batch import convert_corpus
 from folioweave.sources import packages as pk
 from folioweave.sources.files import scan_corpus
@@ -48,7 +47,7 @@ def _workbook(rows: list[tuple], n: int) -> dict[str, str]:
         "xl/sharedStrings.xml": f'<sst xmlns="{MAIN}">{shared}</sst>',
         "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{MAIN}"><sheetData>{head}{cells}</sheetData></worksheet>',
         "xl/worksheets/sheet2.xml": f'<worksheet xmlns="{MAIN}"><sheetData>{keys}</sheetData></worksheet>',
-        "docProps/core.xml": CORE.format(title="" if n % 2 else f"Book {n}", n=n, day=n % 9 + 1),
+        "docProps/core.xml": CORE.format(title="" if n % 8 == 4 else f"Book {n}", n=n, day=n % 9 + 1),
     }
 
 
@@ -143,7 +142,7 @@ def package_metadata(s, d):
 
 
 SQL_PROPS = f"""WITH {SQL_FILES}, k AS (SELECT path, n, count(*) AS rows FROM g WHERE n % 4 < 2 AND NOT broken GROUP BY ALL)
-SELECT path, CASE WHEN n % 4 = 1 THEN 'Doc ' || n WHEN n % 2 = 1 THEN 'pack_' || n ELSE 'Book ' || n END AS title, 'author ' || n AS author, 's' || n AS subject, NULL::VARCHAR AS keywords,
+SELECT path, CASE WHEN n % 4 = 1 THEN 'Doc ' || n WHEN n % 8 = 4 THEN 'pack_' || n ELSE 'Book ' || n END AS title, 'author ' || n AS author, 's' || n AS subject, NULL::VARCHAR AS keywords,
   '2024-01-0' || (n % 9 + 1) AS created, CASE WHEN n % 4 = 0 THEN 2 ELSE greatest(1, (rows + 1) // 25) END::BIGINT AS page_count FROM k"""
 
 

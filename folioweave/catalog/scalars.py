@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from folioweave import functions as fn
 from folioweave.catalog.common import (
-    NON_WS, SQL_PAGED, WS, paged, sql_has_text, sql_noise, sql_strip, sql_tidy, sql_unescape, sql_words, table,
+    SQL_PAGED, WS, paged, sql_noise, sql_strip, sql_tidy, sql_unescape, sql_words, table,
 )
-from folioweave.operators.markup import extract_links, section_count, tokenize_html
+from folioweave.operators.markup import extract_links, tokenize_html
 from folioweave.operators.paged import is_scanned_avg
 
 docs = lambda s, d: table(s, d, "documents")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioweave.catalog.common import table
-from folioweave.functions import to_data_uri
 from folioweave.operators import tables as tb
 from folioweave.sources.files import csv_cells
 
@@ -44,10 +43,6 @@ lb AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY no, l_part
 lrows AS (SELECT * FROM lb UNION ALL SELECT DISTINCT doc_id, 0::BIGINT, true, ['l_orderkey', 'l_partkey', 'l_linenumber', 'l_returnflag', 'l_linestatus', 'l_shipmode_no', 'l_quantity'] FROM lb)"""
 
 
-def row_head(*extra):
-    return ["doc_id", "row_index", *extra]
-
-
 def cap_columns(s, d):
     return tb.cap_columns(tb.cells_of(line_rows(s, d)), 4).select("doc_id", "row_index", "col_index", "text", "note")
 
@@ -156,12 +151,6 @@ def sheet_md(s, d):
         "name", F.concat(F.lit("wb"), F.col("doc_id").cast("string"), F.lit(".xlsx")))
 
 
-def workbook(mode):
-    def run(s, d):
-        return tb.workbook_markdown(sheet_md(s, d), mode)
-    return run
-
-
 def workbook_markdown(s, d):
     out = [tb.workbook_markdown(sheet_md(s, d), m).select("doc_id", "part", F.lit(m).alias("mode"), "markdown") for m in ("combined", "separate", "selected")]
     return out[0].unionByName(out[1]).unionByName(out[2])

@@ -88,12 +88,12 @@ def detect_type(
     mime: str | None = None,
     allow_fallback: bool = True,
     text_passthrough: bool = False,
-    subtypes: DataFrame | None = None,
+    package_type: str | None = None,
 ) -> DataFrame:
     """Adds file_type, detected_by and error; the layers are tried in order.
 
     extension confirmed by signature -> MIME column -> signature -> markup sniffing.
-    `subtypes` (path, package_type) tells ZIP-based packages apart where the
+    `package_type` names a column that tells ZIP-based packages apart where the
     extension did not settle it. An unsupported row keeps a null type and an error.
     """
     c = F.col(content)
@@ -106,9 +106,8 @@ def detect_type(
     else:
         out = out.withColumn("_by_mime", F.lit(None).cast("string"))
     by_magic = magic_type(c)
-    if subtypes is not None:
-        out = out.join(subtypes.select(F.col("path").alias(path), "package_type"), path, "left")
-        by_magic = F.when(by_magic == "zip", F.coalesce(F.col("package_type"), by_magic)).otherwise(by_magic)
+    if package_type:
+        by_magic = F.when(by_magic == "zip", F.coalesce(F.col(package_type), by_magic)).otherwise(by_magic)
     text = c.cast("string") if dict(df.dtypes)[content] == "binary" else c
     sniffed = F.when(sniff_html(text), F.lit("html")) if allow_fallback else F.lit(None).cast("string")
     plain = F.when((F.col("_ext") == ".txt") & F.lit(text_passthrough), F.lit("text"))
@@ -121,7 +120,7 @@ def detect_type(
         .withColumn("detected_by", F.coalesce(F.col("_found.by"), F.lit("unsupported")))
         .withColumn("error", F.when(F.col("_found").isNull(),
                                     F.concat(F.lit("Could not determine file type for: "), F.col(path))))
-        .drop("_found", "_ext", "_by_ext", "_by_mime", *(["package_type"] if subtypes is not None else []))
+        .drop("_found", "_ext", "_by_ext", "_by_mime")
     )
 
 

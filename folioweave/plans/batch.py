@@ -17,9 +17,7 @@ from folioweave.options import Options
 from folioweave.plans.pages import pages_to_results
 from folioweave.sources.files import csv_cells
 from folioweave.session import shared_dir
-from folioweave.sources.packages import (
-    TYPE_PARTS, explode_archive, package_subtype, scan_docx_blocks, scan_xlsx_cells,
-)
+from folioweave.sources.packages import explode_archive, scan_docx_blocks, scan_xlsx_cells, with_package_type
 
 BLOCKS_PER_PART = 4096
 
@@ -46,9 +44,10 @@ def xlsx_markdown(members: DataFrame, options: Options) -> DataFrame:
 
 def type_corpus(corpus: DataFrame, options: Options, folder: str) -> DataFrame:
     """Detect types once and write the files by type, so that each converter reads only its own."""
-    zips = corpus.where(F.substring("content", 1, 4) == F.lit(b"PK\x03\x04"))
-    subtypes = package_subtype(explode_archive(zips, read=TYPE_PARTS))
-    typed = detect_type(corpus, "path", "content", subtypes=subtypes, text_passthrough=options.text_passthrough)
+    packed = F.coalesce(F.substring("content", 1, 4) == F.lit(b"PK\x03\x04"), F.lit(False))
+    files = corpus.select("path", "content")
+    files = with_package_type(files.where(packed)).unionByName(files.where(~packed), allowMissingColumns=True)
+    typed = detect_type(files, package_type="package_type", text_passthrough=options.text_passthrough)
     typed = typed.withColumn("file_type", F.coalesce("file_type", F.lit("unknown")))
     typed.select("path", "content", "error", "file_type").write.partitionBy("file_type").parquet(folder)
     return corpus.sparkSession.read.parquet(folder)

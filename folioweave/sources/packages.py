@@ -22,7 +22,6 @@ MEMBER_SCHEMA = "path string, member_no bigint, member string, size bigint, cont
 _ARROW = pa.schema([("path", pa.string()), ("member_no", pa.int64()), ("member", pa.string()),
                     ("size", pa.int64()), ("content", pa.binary()), ("error", pa.string())])
 _FLUSH_BYTES = 16 << 20
-TYPE_PARTS = r"^(mimetype|\[Content_Types\]\.xml)$"
 _MEMBER_LIMIT = (1 << 31) - (1 << 20)
 _XML = {"ignoreNamespace": "true", "mode": "PERMISSIVE", "ignoreSurroundingSpaces": "false"}
 
@@ -88,6 +87,41 @@ def package_subtype(members: DataFrame) -> DataFrame:
     return flags.select("path", kind.alias("package_type"))
 
 
+_LISTED = pa.schema([("path", pa.string()), ("content", pa.binary()), ("names", pa.list_(pa.string())),
+                     ("mimetype", pa.string()), ("types", pa.string())])
+
+
+def _listing(data: bytes) -> tuple[list[str] | None, str | None, str | None]:
+    try:
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            names = z.namelist()
+            read = lambda n: z.read(n).decode("utf-8", "replace") if n in names else None
+            return names, read("mimetype"), read("[Content_Types].xml")
+    except Exception:
+        return None, None, None
+
+
+def with_package_type(archives: DataFrame) -> DataFrame:
+    """(path, content, package_type) without a shuffle: members are listed next to their file."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_listing(b.as_py() or b"") for b in batch.column(1)]
+            extra = [pa.array(c, t) for c, t in zip(zip(*found), _LISTED.types[2:])] if found else [
+                pa.array([], t) for t in _LISTED.types[2:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *extra], schema=_LISTED)
+
+    listed = archives.select("path", "content").mapInArrow(
+        run, "path string, content binary, names array<string>, mimetype string, types string")
+    has = lambda part: F.exists("names", lambda n: F.contains(n, F.lit(part)))
+    says = lambda word: F.contains("types", F.lit(word))
+    kind = (
+        F.when(has("word/"), "docx").when(has("xl/"), "xlsx").when(has("ppt/"), "pptx")
+        .when(F.trim("mimetype") == "application/epub+zip", "epub")
+        .when(says("wordprocessingml"), "docx").when(says("spreadsheetml"), "xlsx").when(says("presentationml"), "pptx")
+        .otherwise("zip"))
+    return listed.select("path", "content", kind.alias("package_type"))
+
+
 # ---------------------------------------------------------------- workbooks
 
 

@@ -88,6 +88,16 @@ def test_content_types_tell_packages_apart(spark):
         z.writestr("[Content_Types].xml", "... presentationml ...")
     df = spark.createDataFrame([("p", bytearray(buf.getvalue()))], "path string, content binary")
     assert pk.package_subtype(pk.explode_archive(df)).first().package_type == "pptx"
+    assert pk.with_package_type(df).first().package_type == "pptx"
+
+
+def test_both_ways_of_typing_packages_agree(spark):
+    corpus = made.corpus(spark, "/root/testdata/sf0.001")
+    a = {r.path: r.package_type for r in pk.package_subtype(pk.explode_archive(corpus)).collect()}
+    b = {r.path: r.package_type for r in pk.with_package_type(corpus).collect()}
+    assert all(b[k] == v for k, v in a.items()) and set(b) >= set(a) and "Exchange" not in (
+        pk.with_package_type(spark.createDataFrame([("p", bytearray(b""))], "path string, content binary"))
+        ._jdf.queryExecution().executedPlan().toString())
 
 
 def test_json_and_xml(spark):

@@ -3,7 +3,6 @@
 import base64
 
 import pytest
-from pyspark.sql import functions as F
 
 from folioweave.operators import markup as mk
 from folioweave.operators.tables import header_row, render_table, table_dims
