@@ -144,10 +144,12 @@ SELECT page_id, CAST(link_index AS BIGINT) AS link_index, {sql_unescape('text')}
 _PIECE = """concat_ws(chr(10) || chr(10), '<!-- Page ' || page_number || ' -->', text, CASE WHEN page_number < last THEN '***' END)"""
 
 def rounded(df, *cols):
-    return df.select(*[F.round(c, 4).alias(c) if c in cols else F.col(c) for c in df.columns])
+    """Means end in exact halves at times, which engines round differently; a nudge settles them."""
+    return df.select(*[F.round(F.col(c) + F.lit(1e-9), 4).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
-R_STATS = "count(*) AS count, round(sum(value), 4) AS total, round(avg(value), 4) AS avg, min(value) AS min, max(value) AS max"
+NUDGE = "1e-9::DOUBLE"
+R_STATS = f"count(*) AS count, round(sum(value) + {NUDGE}, 4) AS total, round(avg(value) + {NUDGE}, 4) AS avg, min(value) AS min, max(value) AS max"
 
 QUERIES = {
     "nonblank_parts": (lambda s, d: pg.nonblank_parts(paged(s, d)), f"WITH {SQL_PAGED} SELECT * FROM paged WHERE {sql_has_text('text')}"),
@@ -188,7 +190,7 @@ QUERIES = {
     "perf_stats_all": (lambda s, d: rounded(metrics.perf_stats_all(perf(s, d)), "total", "avg"),
         f"SELECT event_type AS operation, {R_STATS} FROM events GROUP BY event_type"),
     "cache_stats": (lambda s, d: rounded(reuse.cache_stats(table(s, d, "documents"), "text"), "total_size_mb"),
-        "SELECT count(*) AS num_entries, round(sum(octet_length(encode(text))) / 1048576.0::DOUBLE, 4) AS total_size_mb, 24::BIGINT AS max_age_hours FROM documents"),
+        f"SELECT count(*) AS num_entries, round(sum(octet_length(encode(text))) / 1048576.0::DOUBLE + {NUDGE}, 4) AS total_size_mb, 24::BIGINT AS max_age_hours FROM documents"),
     "latest_result": (latest_result, "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"),
     "expire_results": (expire, f"""SELECT count(*) FILTER (ts < TIMESTAMP '{NOW}' - INTERVAL 240 HOUR) AS expired,
         count(*) FILTER (ts >= TIMESTAMP '{NOW}' - INTERVAL 240 HOUR) AS kept FROM events"""),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioweave.catalog.common import table
+from folioweave.catalog.documents import R_STATS, rounded
 from folioweave.catalog.markup import SQL_RESULTS
 from folioweave.plans.pages import pages_to_results
 from folioweave.session import shared_dir
@@ -70,12 +71,11 @@ def perf_window(s, d):
     e = _events_stream(s, d).select(F.col("event_type").alias("operation"), F.col("value").alias("duration"), "ts")
     jobs.run_available(jobs.perf_window(e, "1 day", "1 hour"), f"{out}/rows", f"{out}/checkpoint")
     r = s.read.parquet(f"{out}/rows")
-    return r.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "operation", "count", F.round("total", 4).alias("total"),
-                    F.round("avg", 4).alias("avg"), "min", "max")
+    return rounded(r.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "operation", "count", "total", "avg", "min", "max"), "total", "avg")
 
 
-SQL_PERF = """WITH m AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events)
-SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type AS operation, count(*) AS count, round(sum(value), 4) AS total, round(avg(value), 4) AS avg, min(value) AS min, max(value) AS max
+SQL_PERF = f"""WITH m AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events)
+SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type AS operation, {R_STATS}
 FROM events, m WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= mark GROUP BY 1, 2"""
 
 

@@ -62,7 +62,10 @@ def test_resolve_url_equals_urljoin(spark):
             "../../../g", "/./g", "/../g", "g.", "./g/.", "g/../h", "mailto:x@y", "https://z.example/a/../b", "a//b", "g?", "g#"]
     assert values(spark, refs, lambda r: fn.resolve_url(F.lit(base), r)) == [urljoin(base, r) for r in refs]
     for other in ("https://example.com/docs/", "file:///corpus/a/b/c/page.html", "http://h.example"):
-        assert values(spark, refs, lambda r: fn.resolve_url(F.lit(other), r)) == [urljoin(other, r) for r in refs]
+        # above the root of a file address the RFC and urljoin part ways; ours follows the RFC
+        some = [r for r in refs if not (other.startswith("file:") and r == "/../g")]
+        assert values(spark, some, lambda r: fn.resolve_url(F.lit(other), r)) == [urljoin(other, r) for r in some]
+    assert values(spark, ["/../g"], lambda r: fn.resolve_url(F.lit("file:///a/b"), r)) == ["file:///g"]
 
 
 def test_html_unescape_equals_python(spark):
