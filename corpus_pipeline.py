@@ -6,17 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioweave.llm import simhash
+from folioweave.llm import simhash, toxicity
+from folioweave.llm.common import table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, that with the smallest doc_id."""
     return simhash.keep_one_each(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxic_documents),
     ("simhash near-dedup", near_duplicates),
 ]
 

@@ -5,8 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioweave.llm import simhash
-from folioweave.llm.common import table
+from folioweave.llm import simhash, toxicity
+from folioweave.llm.common import fold_of, table
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = toxicity.score(docs, toxicity.fit(docs, labels))
+    return found.select(
+        "doc_id", (fold_of("doc_id", toxicity.FOLDS) == toxicity.HELD_OUT).alias("held_out"),
+        F.col("tox_score").alias("score"), (F.col("tox_score") >= 0.5).cast("int").alias("predicted"), "tox_reject")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,5 +23,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op8_toxicity": (op8_toxicity, None),
     "op10_simhash": (op10_simhash, None),
 }
