@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioweave.llm import simhash, toxicity
+from folioweave.llm import passages, simhash, toxicity
 from folioweave.llm.common import table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -22,9 +22,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.keep_one_each(docs)
 
 
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document has are cut; documents of nothing else go."""
+    return passages.cut_repeats(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("toxicity", toxic_documents),
     ("simhash near-dedup", near_duplicates),
+    ("substring dedup", repeated_passages),
 ]
 
 # A trained scorer and the near-duplicate searches are not expressible in SQL; tests/llm checks each stage.
