@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioweave.llm import passages, simhash, toxicity
+from folioweave.llm import decontam, passages, simhash, toxicity
 from folioweave.llm.common import table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -27,10 +27,16 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return passages.cut_repeats(docs)
 
 
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item go."""
+    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("toxicity", toxic_documents),
     ("simhash near-dedup", near_duplicates),
     ("substring dedup", repeated_passages),
+    ("benchmark decontamination", benchmark_leaks),
 ]
 
 # A trained scorer and the near-duplicate searches are not expressible in SQL; tests/llm checks each stage.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioweave.llm import passages, simhash, toxicity
+from folioweave.llm import decontam, passages, simhash, toxicity
 from folioweave.llm.common import fold_of, table
 
 
@@ -21,6 +21,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("tox_score").alias("score"), (F.col("tox_score") >= 0.5).cast("int").alias("predicted"), "tox_reject")
 
 
+def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -29,5 +33,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op5_passages": (op5_passages, None),
     "op8_toxicity": (op8_toxicity, None),
+    "op9_decontam": (op9_decontam, None),
     "op10_simhash": (op10_simhash, None),
 }
