@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioweave.llm import decontam, passages, simhash, toxicity
+from folioweave.llm import decontam, mixing, passages, simhash, toxicity
 from folioweave.llm.common import table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -32,11 +32,17 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weighted mix takes, with the number of epochs each is taken in."""
+    return mixing.mixed(docs, mixing.PRODUCTION)
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("toxicity", toxic_documents),
     ("simhash near-dedup", near_duplicates),
     ("substring dedup", repeated_passages),
     ("benchmark decontamination", benchmark_leaks),
+    ("mixing to target weights", target_mix),
 ]
 
 # A trained scorer and the near-duplicate searches are not expressible in SQL; tests/llm checks each stage.

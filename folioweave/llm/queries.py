@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioweave.llm import decontam, passages, simhash, toxicity
+from folioweave.llm import decontam, mixing, passages, simhash, toxicity
 from folioweave.llm.common import fold_of, table
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), mixing.PRODUCTION).select(
+        "doc_id", F.col("mix_domain").alias("domain"), F.coalesce("lang", F.lit(mixing.NONE)).alias("lang"),
+        F.coalesce("source", F.lit(mixing.NONE)).alias("source"), F.col("mix_tokens").alias("tokens"), F.col("mix_copies").alias("copies"))
+
+
 def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
 
@@ -31,6 +37,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_mixing": (op2_mixing, mixing.mix_sql(mixing.PRODUCTION)),
     "op5_passages": (op5_passages, None),
     "op8_toxicity": (op8_toxicity, None),
     "op9_decontam": (op9_decontam, None),
