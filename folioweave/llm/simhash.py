@@ -3,9 +3,10 @@
 A fingerprint is cut into 32 segments of two bits; the number of set bits of each
 segment makes a point of 32 small integers. Flipping one bit moves one coordinate by
 one, so two fingerprints at Hamming distance d have Manhattan distance at most d:
-points further apart than the limit need no check. The coordinates are dealt to seven
+points further apart than the limit need no check. The coordinates are dealt to eight
 groups. At most four coordinates' worth of change can touch four groups at most, so
-near points agree on three whole groups: those are the grid cells, 35 for a point.
+near points agree on four whole groups: those are the grid cells, 70 for a point. Each
+further group makes the cells about six times smaller for less than twice as many.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from folioweave.llm.components import components
 WORDS = 4
 LIMIT = 4
 SEED = 42
-GROUPS = 7
+GROUPS = 8
 _LOW = 0x5555555555555555
 
 
@@ -103,7 +104,7 @@ def near_components(points: DataFrame, limit: int = LIMIT, groups: int = GROUPS)
     masks = F.array(*[F.lit(m) for m in _cell_masks(limit, groups)])
     cells = points.select("fp", _segment_counts(F.col("fp")).alias("u")).select(
         "fp", "u", F.posexplode(masks).alias("grid", "mask")).select(
-        "grid", F.col("u").bitwiseAND(F.col("mask")).alias("cell"), "fp", "u")
+        "grid", F.col("u").bitwiseAND(F.col("mask")).alias("cell"), "fp")
     shared = cells.groupBy("grid", "cell").agg(F.min("fp").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = checkpointed(cells.join(shared.drop("n"), ["grid", "cell"]))
     star = members.where((F.col("fp") != F.col("lead")) & (_apart("fp", "lead") <= limit))
@@ -116,7 +117,7 @@ def near_components(points: DataFrame, limit: int = LIMIT, groups: int = GROUPS)
         .groupBy("grid", "cell").agg(F.max_by("comp", F.struct("n", "comp")).alias("common"), F.count(F.lit(1)).alias("comps"))
         .where("comps > 1").drop("comps")
     )
-    mixed = checkpointed(placed.join(common, ["grid", "cell"]))
+    mixed = checkpointed(placed.join(common, ["grid", "cell"]).withColumn("u", _segment_counts(F.col("fp"))))
     rest = mixed.where("comp != common").select("grid", "cell", *[F.col(c).alias(f"{c}2") for c in ("fp", "u", "comp")])
     pairs = mixed.join(
         rest,
