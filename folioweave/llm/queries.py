@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioweave.llm import decontam, mixing, passages, simhash, toxicity
+from folioweave.llm import decontam, mixing, passages, quality, simhash, toxicity
 from folioweave.llm.common import fold_of, table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select(
+        "doc_id", (fold_of("doc_id", quality.FOLDS) == quality.HELD_OUT).alias("held_out"),
+        F.col("quality_score").alias("score"), (F.col("quality_score") >= quality.CUT).cast("int").alias("predicted"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"), mixing.PRODUCTION).select(
         "doc_id", F.col("mix_domain").alias("domain"), F.coalesce("lang", F.lit(mixing.NONE)).alias("lang"),
@@ -37,6 +44,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": (op1_quality, None),
     "op2_mixing": (op2_mixing, mixing.mix_sql(mixing.PRODUCTION)),
     "op5_passages": (op5_passages, None),
     "op8_toxicity": (op8_toxicity, None),
