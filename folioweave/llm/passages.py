@@ -8,8 +8,9 @@ overlap in at least the passage length make a window with a joint signature; fou
 functions give two such signatures, and passages that agree on either meet.
 
 Windows of one signature are checked against the earliest one only, so a passage that
-a third of the corpus shares costs one check each and no pairs. Those that fail go
-round again under finer signatures (where they leave the earliest one, to the left and
+a third of the corpus shares costs one check each and no pairs. Where the whole
+stretches are equal a hash of them tells; else the shingles of both are compared.
+Those that fail go round again under finer signatures (where they leave the earliest one, to the left and
 to the right); two texts with a common passage always share one of these.
 """
 
@@ -94,11 +95,12 @@ def compact_windows(v: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray,
     return at, nodes, np.array(first), np.array(last)
 
 
-def signatures(texts: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts given as shingles: text number, signature and packed place of each joint window.
+def signatures(texts: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts given as shingles: text number, signature, packed place and body of each joint window.
 
     The place holds the position of the first of the two minima and how far, left and
-    right of it, passages of `width` shingles with this signature reach.
+    right of it, passages of `width` shingles with this signature reach; the body is a
+    hash of all shingles of that stretch.
     """
     wall = np.zeros(1, np.uint64)
     parts, owner, base = [wall], [], []
@@ -110,6 +112,7 @@ def signatures(texts: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndar
         size += len(s) + 1
     flat = np.concatenate(parts)
     walls = np.append(np.array(base, np.int64) - 1, size - 1)
+    upto = np.concatenate([wall, np.cumsum(_mix(flat + _U(1)), dtype=np.uint64)])
     out = []
     for band in range(_BANDS):
         sides = []
@@ -130,13 +133,14 @@ def signatures(texts: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndar
         key = _mix(v1[c1] * _U(0x9E3779B97F4A7C15) + v2[c2] + _U(band))
         which = np.searchsorted(walls, low) - 1
         own = low - (walls[which] + 1)
-        out.append((which, key, own << 14 | (low - left) << 7 | (right - low)))
-    which, key, place = (np.concatenate(x) for x in zip(*out))
-    return np.array(owner, np.int64)[which] if len(owner) else which, key, place
+        body = _mix(upto[right + 1] - upto[left]).astype(np.uint32).view(np.int32)
+        out.append((which, key, own << 14 | (low - left) << 7 | (right - low), body))
+    which, key, place, body = (np.concatenate(x) for x in zip(*out))
+    return np.array(owner, np.int64)[which] if len(owner) else which, key, place, body
 
 
 def _windows(docs: DataFrame, width: int, shingle: int) -> DataFrame:
-    """key, doc, place of all joint windows of all texts."""
+    """key, doc, place, body of all joint windows of all texts."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,15 +151,15 @@ def _windows(docs: DataFrame, width: int, shingle: int) -> DataFrame:
                 long = [i for i, s in enumerate(cut) if len(s) >= width]
                 if not long:
                     continue
-                which, key, place = signatures([cut[i] for i in long], width)
+                which, key, place, body = signatures([cut[i] for i in long], width)
                 doc = ids[lo:hi][np.array(long)][which]
                 for at in range(0, len(key), 200_000):
                     part = slice(at, at + 200_000)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(key[part].view(np.int64)), pa.array(doc[part].astype(np.int64)), pa.array(place[part])],
-                        names=["key", "doc", "place"])
+                        [pa.array(key[part].view(np.int64)), pa.array(doc[part].astype(np.int64)), pa.array(place[part]), pa.array(body[part])],
+                        names=["key", "doc", "place", "body"])
 
-    return docs.mapInArrow(run, "key long, doc long, place long")
+    return docs.mapInArrow(run, "key long, doc long, place long, body int")
 
 
 _REACH = 128  # shingles that a window may reach beyond its chunk, on either side
@@ -230,8 +234,8 @@ def check_piece(a: np.ndarray, b: np.ndarray, a0: int, b0: int, windows: list[tu
             while 0 <= x < len(a) and 0 <= y < len(b) and a[x] == b[y] and abs(x - at) < width:
                 x, y = x + sign, y + sign
             if lo <= x < hi:
-                mark = np.array([int(a[x]) << 9 | (x - at) & 511], np.uint64)
-                fine = _mix(mark + _U(key & (2**64 - 1)) * _U(0x9E3779B97F4A7C15))
+                mark = (int(a[x]) << 9 | (x - at) & 511) + key * 0x9E3779B97F4A7C15
+                fine = _mix(np.array([mark % 2**64], np.uint64))
                 finer.append((int(fine.view(np.int64)[0]), place))
     return spans, finer
 
@@ -276,13 +280,16 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, similarity: float
     windows = spark.read.parquet(path)
     found, content = None, None
     while True:
-        shared = windows.groupBy("key").agg(
-            F.min(F.struct("doc", "place")).alias("lead"), F.max("doc").alias("most")).where("lead.doc != most")
-        lead = shared.select("key", F.col("lead.doc").alias("other"), F.col("lead.place").alias("place2"))
-        pair = windows.join(lead, "key").where("doc != other").select(
-            "doc", F.expr(f"(place >> 14) div {CHUNK}").alias("piece"), "other", F.expr(f"(place2 >> 14) div {CHUNK}").alias("piece2"),
-            "key", "place", "place2")
-        units = checkpointed(pair.groupBy("doc", "piece", "other", "piece2").agg(
+        twice = windows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+        shared = checkpointed(windows.join(twice, "key"))
+        lead = shared.groupBy("key").agg(F.min(F.struct("doc", "place", "body")).alias("lead")).select(
+            "key", F.col("lead.doc").alias("other"), F.col("lead.place").alias("place2"), F.col("lead.body").alias("body2"))
+        pair = checkpointed(shared.join(lead, "key").where("doc != other").select(
+            "doc", "other", "key", "place", "place2", F.expr("body = body2 and place & 16383 = place2 & 16383").alias("equal")))
+        whole = pair.where("equal").select("doc", "other", F.expr("(place >> 14) - (place >> 7 & 127)").alias("first"),
+                                           F.expr("(place >> 14) + (place & 127) + 1").alias("last"))
+        units = checkpointed(pair.where("equal is not true").groupBy(
+            "doc", F.expr(f"(place >> 14) div {CHUNK}").alias("piece"), "other", F.expr(f"(place2 >> 14) div {CHUNK}").alias("piece2")).agg(
             F.collect_set(F.struct("key", "place", "place2")).alias("windows")))
         if content is None:
             needed = units.select("doc", "piece").unionByName(
@@ -291,9 +298,9 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, similarity: float
         theirs = content.select(F.col("doc").alias("other"), F.col("piece").alias("piece2"), F.col("content").alias("content2"))
         checked = checkpointed(_checked(
             units.join(content, ["doc", "piece"]).join(theirs, ["other", "piece2"]), width, similarity, CHUNK))
-        spans = checked.where("first is not null").select("doc", "other", "first", "last")
+        spans = whole.unionByName(checked.where("first is not null").select("doc", "other", "first", "last"))
         found = spans if found is None else found.unionByName(spans)
-        windows = checked.where("key is not null").select("key", "doc", "place").distinct()
+        windows = checked.where("key is not null").select("key", "doc", "place", F.lit(None).cast("int").alias("body")).distinct()
         if not windows.limit(1).count():
             break
     return _merged(found, shingle)

@@ -51,10 +51,10 @@ def test_windows_are_maximal_stretches():
 def test_signatures_do_not_depend_on_neighbours():
     rng = random.Random(2)
     cut = [P.shingles(" ".join(words(rng, n))) for n in (60, 300, 51)]
-    which, key, place = P.signatures(cut, 46)
+    which, key, place, body = P.signatures(cut, 46)
     for i, s in enumerate(cut):
-        _, k, p = P.signatures([s], 46)
-        assert set(zip(k.tolist(), p.tolist())) == set(zip(key[which == i].tolist(), place[which == i].tolist()))
+        _, k, p, b = P.signatures([s], 46)
+        assert set(zip(k, p, b)) == set(zip(key[which == i], place[which == i], body[which == i]))
 
 
 def test_planted_passages(spark):
