@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioweave.llm import decontam, mixing, passages, quality, simhash, toxicity
+from folioweave.llm import chats, decontam, mixing, passages, quality, simhash, toxicity, warc
 from folioweave.llm.common import fold_of, table
+from folioweave.session import shared_dir
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +27,17 @@ def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    return warc.read_warc(spark, path, payload=False).where("gap is null").select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chats.rendered(table(spark, sf_dir, "conversations"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     found = toxicity.score(docs, toxicity.fit(docs, labels))
@@ -47,6 +59,8 @@ QUERIES = {
     "op1_quality": (op1_quality, None),
     "op2_mixing": (op2_mixing, mixing.mix_sql(mixing.PRODUCTION)),
     "op5_passages": (op5_passages, None),
+    "op6_warc": (op6_warc, warc.ARCHIVE_SQL),
+    "op7_chats": (op7_chats, chats.RENDERED_SQL),
     "op8_toxicity": (op8_toxicity, None),
     "op9_decontam": (op9_decontam, None),
     "op10_simhash": (op10_simhash, None),
