@@ -24,7 +24,7 @@ VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = "\r\n\r\n"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-_NEXT = re.compile(rb"\x1f\x8b\x08|(?:(?<=\n)|\A)WARC/1\.[01]\r\n")
+_NEXT = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")  # after a record that is cut short, not at the start of a line
 _MEMBER = b"\x1f\x8b\x08"
 
 
@@ -116,14 +116,16 @@ def _parse(data: bytes, at: int) -> tuple[int, dict[str, str], bytes]:
 
 def _member(data: bytes, at: int) -> tuple[int, bytes]:
     """(end, content) of the compressed member at `at`."""
-    inflate = zlib.decompressobj(31)
+    inflate, content, fed = zlib.decompressobj(31), [], at
     try:
-        content = inflate.decompress(memoryview(data)[at:])
+        while not inflate.eof and fed < len(data):
+            content.append(inflate.decompress(data[fed:fed + 65536]))
+            fed = min(fed + 65536, len(data))
     except zlib.error as e:
         raise ValueError(f"member is damaged: {e}") from e
     if not inflate.eof:
         raise ValueError("member is cut short")
-    return len(data) - len(inflate.unused_data), content
+    return fed - len(inflate.unused_data), b"".join(content)
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes | str]]:
