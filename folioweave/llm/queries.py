@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioweave.llm import chats, decontam, mixing, passages, quality, simhash, toxicity, warc
+from folioweave.llm import chats, decontam, mixing, passages, quality, simhash, topk, toxicity, warc
 from folioweave.llm.common import fold_of, table
 from folioweave.session import shared_dir
 
@@ -23,6 +23,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("source", F.lit(mixing.NONE)).alias("source"), F.col("mix_tokens").alias("tokens"), F.col("mix_copies").alias("copies"))
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": (op1_quality, None),
     "op2_mixing": (op2_mixing, mixing.mix_sql(mixing.PRODUCTION)),
+    "op3_topk": (op3_topk, topk.TOP_SQL),
     "op5_passages": (op5_passages, None),
     "op6_warc": (op6_warc, warc.ARCHIVE_SQL),
     "op7_chats": (op7_chats, chats.RENDERED_SQL),
