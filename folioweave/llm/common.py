@@ -9,6 +9,8 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioweave.session import shared_dir
+
 # Text that Python tasks hold decomposed into words at a time.
 SLICE_CHARS = 4_000_000
 
@@ -30,6 +32,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Cut the lineage through a compressed table in the shared folder, for wide or long intermediate results."""
+    path = shared_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Arrow batches by bytes, so that a batch of very long texts stays small."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))

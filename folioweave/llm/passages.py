@@ -25,8 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioweave.llm.common import as_document, bound_batches, checkpointed, text_slices
-from folioweave.session import shared_dir
+from folioweave.llm.common import as_document, bound_batches, stored, text_slices
 
 WORDS = 5                     # words of a shingle
 PASSAGE = 50                  # words of the shortest passage
@@ -162,7 +161,65 @@ def _windows(docs: DataFrame, width: int, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, "key long, doc long, place long, body int")
 
 
-_REACH = 128  # shingles that a window may reach beyond its chunk, on either side
+_LED = "kind int, doc long, other long, key long, place long, place2 long, body int, equal boolean"
+
+
+def _led(windows: DataFrame, bodies: bool) -> DataFrame:
+    """doc, other, key, place, place2, equal: windows whose signature an earlier document has, with its earliest window.
+
+    One range partitioning by signature, document and place brings the earliest window
+    of a signature to the front of its rows. As the sort key goes beyond the signature,
+    rows of a frequent one fill several partitions; each then takes the front row of its
+    own rows first, and a join with those few front rows sets them right.
+    """
+    names = [part.split()[0] for part in _LED.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(kind, doc, other, key, place, place2, body, equal):
+            kinds = np.broadcast_to(np.asarray(kind, np.int32), len(doc))
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (kinds, doc, other, key, place, place2, body, equal)], names=names)
+
+        def front(lead):
+            key, doc, place, body = (np.array([v], t) for v, t in zip(lead, (np.int64, np.int64, np.int64, np.int32)))
+            return batch(2, doc, doc, key, place, place, body, np.array([False]))
+
+        lead, first = None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, doc, place, body = (b.column(i).to_numpy() for i in range(4))
+            if first is None:
+                first = key[0]
+            new = np.append(lead is None or key[0] != lead[0], key[1:] != key[:-1])
+            at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+            own = np.maximum(at, 0)
+            doc2, place2, body2 = doc[own], place[own], body[own]
+            carried = at < 0
+            if carried.any():
+                doc2[carried], place2[carried], body2[carried] = lead[1:]
+            if lead is not None and lead[0] == first and key[0] != first:
+                yield front(lead)
+            if key[0] == first and key[-1] != first:
+                yield front((first, doc2[0], place2[0], body2[0]))
+            lead = (key[-1], doc2[-1], place2[-1], body2[-1])
+            edge = key == first
+            out = (doc != doc2) | edge
+            equal = (body == body2) & (place & 16383 == place2 & 16383) if bodies else np.zeros(len(key), bool)
+            yield batch(edge[out].astype(np.int32), *(c[out] for c in (doc, doc2, key, place, place2, body, equal)))
+        if lead is not None:
+            yield front(lead)
+
+    dealt = windows.select("key", "doc", "place", "body").repartitionByRange("key", "doc", "place").sortWithinPartitions("key", "doc", "place")
+    out = stored(dealt.mapInArrow(run, _LED), "led")
+    columns = ["doc", "other", "key", "place", "place2", "equal"]
+    fronts = out.where("kind = 2").groupBy("key").agg(F.min(F.struct("doc", "place", "body")).alias("lead"))
+    same = F.expr("body = lead.body and place & 16383 = lead.place & 16383") if bodies else F.lit(False)
+    edges = out.where("kind = 1").select("doc", "key", "place", "body").join(fronts, "key").select(
+        "doc", F.col("lead.doc").alias("other"), "key", "place", F.col("lead.place").alias("place2"), same.alias("equal"))
+    return out.where("kind = 0").select(columns).unionByName(edges.where("doc != other"))
+
+
+_REACH = 96  # shingles that a window may reach beyond its chunk, on either side
 
 
 def _pieces(docs: DataFrame, needed: DataFrame, shingle: int, chunk: int) -> DataFrame:
@@ -268,39 +325,32 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, similarity: float
     doc_id. Exactly repeated passages are always found, similar ones if one of two
     joint min-hash signatures agrees. Overlapping passages from the same document are
     merged. Texts that are null, empty or shorter than a passage have none; rows with a
-    null doc_id take no part; rows repeated under one doc_id are not compared with
-    each other. An empty table gives no rows.
+    null doc_id take no part; rows repeated under one doc_id are one document and not
+    compared with each other. An empty table gives no rows.
     """
-    spark, width = docs.sparkSession, passage - shingle + 1
+    width = passage - shingle + 1
     if not 8 <= width <= 64:
         raise ValueError("a passage has 7 to 63 words more than a shingle")
     plain = as_document(docs).where("doc_id is not null and text is not null")
-    path = shared_dir(spark, "windows")
-    _windows(plain, width, shingle).write.parquet(path)
-    windows = spark.read.parquet(path)
+    windows, bodies = stored(_windows(plain, width, shingle), "windows"), True
     found, content = None, None
     while True:
-        twice = windows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-        shared = checkpointed(windows.join(twice, "key"))
-        lead = shared.groupBy("key").agg(F.min(F.struct("doc", "place", "body")).alias("lead")).select(
-            "key", F.col("lead.doc").alias("other"), F.col("lead.place").alias("place2"), F.col("lead.body").alias("body2"))
-        pair = checkpointed(shared.join(lead, "key").where("doc != other").select(
-            "doc", "other", "key", "place", "place2", F.expr("body = body2 and place & 16383 = place2 & 16383").alias("equal")))
+        pair = _led(windows, bodies)
         whole = pair.where("equal").select("doc", "other", F.expr("(place >> 14) - (place >> 7 & 127)").alias("first"),
                                            F.expr("(place >> 14) + (place & 127) + 1").alias("last"))
-        units = checkpointed(pair.where("equal is not true").groupBy(
+        units = stored(pair.where("not equal").groupBy(
             "doc", F.expr(f"(place >> 14) div {CHUNK}").alias("piece"), "other", F.expr(f"(place2 >> 14) div {CHUNK}").alias("piece2")).agg(
-            F.collect_set(F.struct("key", "place", "place2")).alias("windows")))
+            F.collect_set(F.struct("key", "place", "place2")).alias("windows")), "units")
         if content is None:
             needed = units.select("doc", "piece").unionByName(
                 units.select(F.col("other").alias("doc"), F.col("piece2").alias("piece"))).distinct()
-            content = checkpointed(_pieces(plain, needed, shingle, CHUNK).dropDuplicates(["doc", "piece"]))
+            content = stored(_pieces(plain, needed, shingle, CHUNK), "pieces")
         theirs = content.select(F.col("doc").alias("other"), F.col("piece").alias("piece2"), F.col("content").alias("content2"))
-        checked = checkpointed(_checked(
-            units.join(content, ["doc", "piece"]).join(theirs, ["other", "piece2"]), width, similarity, CHUNK))
+        checked = stored(_checked(
+            units.join(content, ["doc", "piece"]).join(theirs, ["other", "piece2"]), width, similarity, CHUNK), "checked")
         spans = whole.unionByName(checked.where("first is not null").select("doc", "other", "first", "last"))
         found = spans if found is None else found.unionByName(spans)
-        windows = checked.where("key is not null").select("key", "doc", "place", F.lit(None).cast("int").alias("body")).distinct()
+        windows, bodies = checked.where("key is not null").select("key", "doc", "place", F.lit(0).alias("body")).distinct(), False
         if not windows.limit(1).count():
             break
     return _merged(found, shingle)
@@ -325,7 +375,7 @@ def without_words(text: str, spans: list[tuple[int, int]]) -> str:
     data = text.encode("utf-8", "surrogatepass")
     starts = [m.start() for m in _WORD.finditer(data)] + [len(data)]
     out, at = [], 0
-    for first, last in sorted(spans):
+    for first, last in sorted((min(a, len(starts) - 1), min(b, len(starts) - 1)) for a, b in spans):
         out.append(data[at:max(at, starts[first])])
         at = max(at, starts[last])
     return b"".join([*out, data[at:]]).decode("utf-8", "surrogatepass").strip()

@@ -85,6 +85,24 @@ def test_fragments_hide_no_passage(spark):
     assert all(want[d] <= got[d] for d in want)
 
 
+def test_leads_across_partitions(spark):
+    rng = random.Random(9)
+    rows = [(5 if rng.random() < 0.4 else rng.randint(-60, 60), rng.randint(0, 300), rng.randint(0, 3) << 14 | 40, 7) for _ in range(3000)]
+    rows += [(5, 1, 0, 7), (5, 1, 5 << 14 | 40, 7)]
+    lead = {}
+    for k, d, p, b in rows:
+        lead[k] = min(lead.get(k, (d, p)), (d, p))
+    want = sorted((d, lead[k][0], k, p, lead[k][1], p & 16383 == lead[k][1] & 16383) for k, d, p, b in rows if d != lead[k][0])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "61")
+    try:
+        got = P._led(spark.createDataFrame(rows, "key long, doc long, place long, body int"), True).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert sorted(tuple(r) for r in got) == want
+
+
 def test_edited_passage(spark):
     rng = random.Random(7)
     base = words(rng, 300)
