@@ -91,24 +91,80 @@ def _apart(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def near_components(points: DataFrame, limit: int = LIMIT, groups: int = GROUPS) -> DataFrame:
-    """fp -> comp for distinct fingerprints that have a partner within `limit` bits.
+_CELLS = "kind int, grid int, cell long, fp long, other long"
+SMALL = 64  # points of a cell that are compared with each other where they lie
+
+
+def _cells(points: DataFrame, limit: int, groups: int, small: int) -> DataFrame:
+    """Every point in all its cells, cell by cell: links of small cells (kind 0: fp, other), points of the others (kind 1).
 
-    First every point of a cell is checked against the cell's smallest: that joins
-    the bulk of a large group of copies with one check per point and cell. Then only
-    pairs from different components can add anything: in a cell, points outside its
-    commonest component meet the others. A cell that lies within one component takes
-    no part, so no group's pairs are enumerated, and no pair between components is
-    left out.
+    Cells are dealt out by ranges of (grid, cell, fp), so a crowded cell fills several
+    partitions. Its points, and those of the cells at either end of a partition, which
+    may have more points in the next one, are only passed on.
     """
     masks = F.array(*[F.lit(m) for m in _cell_masks(limit, groups)])
     cells = points.select("fp", _segment_counts(F.col("fp")).alias("u")).select(
-        "fp", "u", F.posexplode(masks).alias("grid", "mask")).select(
-        "grid", F.col("u").bitwiseAND(F.col("mask")).alias("cell"), "fp")
-    shared = cells.groupBy("grid", "cell").agg(F.min("fp").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = checkpointed(cells.join(shared.drop("n"), ["grid", "cell"]))
+        "fp", "u", F.posexplode(masks).alias("grid", "mask")).select("grid", F.col("u").bitwiseAND(F.col("mask")).alias("cell"), "fp")
+    names = [part.split()[0] for part in _CELLS.split(", ")]
+
+    def batch(kind: int, grid: np.ndarray, cell: np.ndarray, fp: np.ndarray, other: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(fp), kind, np.int32), grid, cell, fp, other)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, first, crowded = None, None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = [c.to_numpy() for c in b.columns]
+            if held is not None:
+                rows = [np.concatenate(x) for x in zip(held, rows)]
+            grid, cell, fp = rows
+            first = first or (grid[0], cell[0])
+            new = np.append(True, (grid[1:] != grid[:-1]) | (cell[1:] != cell[:-1]))
+            number = np.cumsum(new) - 1
+            size = np.bincount(number)
+            passed = (size > small)[number]
+            for key in (first, crowded):
+                if key is not None:
+                    passed |= (grid == key[0]) & (cell == key[1])
+            last = number == number[-1]  # the cell may go on in the next batch
+            if size[-1] > small:
+                crowded, last = (grid[-1], cell[-1]), np.zeros(len(fp), bool)
+            out = passed & ~last
+            if out.any():
+                yield batch(1, grid[out], cell[out], fp[out], fp[out])
+            number[passed | last] = -1 - np.arange((passed | last).sum())  # alike with no other
+            for apart in range(1, small):
+                at = np.flatnonzero(number[apart:] == number[:-apart])
+                if not len(at):
+                    break
+                at = at[np.bitwise_count((fp[at] ^ fp[at + apart]).view(np.uint64)) <= limit]
+                yield batch(0, grid[at], cell[at], fp[at], fp[at + apart])
+            held = [x[last] for x in rows]
+        if held is not None and len(held[0]):
+            yield batch(1, *held, held[2])
+
+    return cells.repartitionByRange("grid", "cell", "fp").sortWithinPartitions("grid", "cell", "fp").mapInArrow(run, _CELLS)
+
+
+def near_components(points: DataFrame, limit: int = LIMIT, groups: int = GROUPS, small: int = SMALL) -> DataFrame:
+    """fp -> comp for distinct fingerprints that have a partner within `limit` bits.
+
+    Small cells are settled pair by pair. In crowded ones every point is first checked
+    against the cell's smallest: that joins the bulk of a large group of copies with one
+    check per point and cell. Then only pairs from different components can add
+    anything: points outside a cell's commonest component meet the others. A crowded
+    cell that lies within one component takes no part, so no group's pairs are
+    enumerated, and no pair between components is left out.
+    """
+    dealt = checkpointed(_cells(points, limit, groups, small))
+    crowd = dealt.where("kind = 1").select("grid", "cell", "fp")
+    lead = crowd.groupBy("grid", "cell").agg(F.min("fp").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    members = checkpointed(crowd.join(lead, ["grid", "cell"]))
     star = members.where((F.col("fp") != F.col("lead")) & (_apart("fp", "lead") <= limit))
-    first = components(star.select(F.col("fp").alias("a"), F.col("lead").alias("b")).distinct())
+    links = star.select(F.col("fp").alias("a"), F.col("lead").alias("b")).unionByName(
+        dealt.where("kind = 0").select(F.col("fp").alias("a"), F.col("other").alias("b")))
+    first = components(links.distinct())
 
     known = first.withColumnRenamed("node", "fp")
     placed = members.drop("lead").join(known, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))

@@ -51,7 +51,19 @@ def test_spark_hash_is_the_same(spark):
     assert got & (2**64 - 1) == int(simhash.shingle_bits(["the", "café", "is", "open"] and "the café is open".encode().split())[0])
 
 
-def test_components_against_brute_force(spark):
+@pytest.mark.parametrize("small,partitions", [(64, 8), (2, 8), (5, 61)])
+def test_components_against_brute_force(spark, small, partitions):  # with 2, most cells are crowded
+    if partitions > 8:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        check_components(spark, small)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def check_components(spark, small):
     rng = random.Random(3)
     prints = [rng.getrandbits(64) for _ in range(60)] + [0]
     for _ in range(400):  # chains and clusters of every distance up to six
@@ -62,7 +74,7 @@ def test_components_against_brute_force(spark):
     prints = sorted(set(prints), key=signed)
     want = brute(prints)
     points = spark.createDataFrame([(signed(p),) for p in prints], "fp long")
-    got = {r["fp"]: r["comp"] for r in simhash.near_components(points).collect()}
+    got = {r["fp"]: r["comp"] for r in simhash.near_components(points, small=small).collect()}
     place = {signed(p): i for i, p in enumerate(prints)}
     assert [place[got.get(signed(p), signed(p))] for p in prints] == want
 
