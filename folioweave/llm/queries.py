@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioweave.llm import chats, decontam, mixing, passages, quality, simhash, topk, toxicity, warc
+from folioweave.llm import chats, decontam, extract, mixing, passages, quality, simhash, topk, toxicity, warc
 from folioweave.llm.common import fold_of, table
 from folioweave.session import shared_dir
 
@@ -28,6 +28,10 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op4_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
 
@@ -64,6 +68,7 @@ QUERIES = {
     "op1_quality": (op1_quality, None),
     "op2_mixing": (op2_mixing, mixing.mix_sql(mixing.PRODUCTION)),
     "op3_topk": (op3_topk, topk.TOP_SQL),
+    "op4_extract": (op4_extract, None),
     "op5_passages": (op5_passages, None),
     "op6_warc": (op6_warc, warc.ARCHIVE_SQL),
     "op7_chats": (op7_chats, chats.RENDERED_SQL),
