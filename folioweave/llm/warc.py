@@ -1,13 +1,14 @@
 """WARC archives: pages out as response and revisit records, and a reader that survives damage.
 
-Records are text columns and Spark writes the files, so any file system will do. The
-reader takes whole files as rows. Where a record fails its checks it looks for the
+Records are text columns, tasks compress each to a member of its own and Spark writes
+the files, so any file system will do. The reader takes whole files as rows. Where a record fails its checks it looks for the
 next compressed member or version line, goes on there and logs the bytes in between.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import zlib
@@ -48,7 +49,7 @@ def _with_roles(pages: DataFrame, least: int) -> DataFrame:
 
 
 def _record() -> Column:
-    """A record without the two line ends that follow it."""
+    """A whole record."""
     def field(name: str, value: Column) -> Column:
         return F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
 
@@ -65,7 +66,24 @@ def _record() -> Column:
         field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))), field("X-Payload-Length", F.col("size").cast("string")),
         field("WARC-Block-Digest", F.concat(F.lit("sha1:"), base32_sha1(block))),
         field("Content-Type", F.lit("application/http; msgtype=response")),
-        field("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"), block)
+        field("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"), block, F.lit(_END))
+
+
+def member(record: bytes) -> bytes:
+    """The record as a compressed member that ends with a zero byte.
+
+    The last byte is the highest of the record's length. Where that is not zero, an
+    empty member follows.
+    """
+    packed = gzip.compress(record, 6, mtime=0)
+    return packed if not packed[-1] else packed + gzip.compress(b"", 6, mtime=0)
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for lo in range(0, b.num_rows, 200):
+            packed = [member(r.as_buffer().to_pybytes())[:-1] for r in b.column(0).slice(lo, 200)]
+            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], names=["value"])
 
 
 def write_warc(pages: DataFrame, path: str, least: int = 0) -> None:
@@ -75,10 +93,12 @@ def write_warc(pages: DataFrame, path: str, least: int = 0) -> None:
     page_id is a response and the others revisit it. A null html is an empty
     payload. Rows with a null page_id never are what others refer to, unless no row of
     the payload has one: then all are responses; rows repeated under the page_id that
-    is referred to are all responses. Files are of the session's advisory size.
+    is referred to are all responses. Files are of the session's advisory size. The
+    text writer ends each value with the zero byte that ends every member.
     """
-    rows = _with_roles(pages, least).select(_record().alias("value")).hint("rebalance")
-    rows.write.option("lineSep", _END).mode("error").text(path)
+    bound_batches(pages.sparkSession)
+    rows = _with_roles(pages, least).select(_record().cast("binary").alias("value")).mapInArrow(_members, "value binary")
+    rows.select(F.col("value").cast("string")).write.option("lineSep", "\0").mode("error").text(path)
 
 
 def _sha1(data: bytes) -> str:

@@ -66,7 +66,7 @@ def test_every_byte_is_accounted_for():
 def test_round_trip(spark, tmp_path):
     rows = [(1, "http://a/x", "<p>é</p>", "d", "s"), (2, "http://a/y\r\nEvil: 1", "<p>é</p>", "d", "s"), (3, None, None, "d", "s"), (4, "u", "", "d", "s"),
             (5, "u", "a\r\n\r\nWARC/1.1\r\nb", "d", "s"), (None, "u", "<p>é</p>", "d", "s"), (1, "again", "<p>é</p>", "d", "s"), (None, "u", "solo", "d", "s"),
-            (9, "u", "x" * 3_000_000, "d", "s")]
+            (9, "u", "x" * 17_000_000, "d", "s")]
     W.write_warc(spark.createDataFrame(rows, PAGES), str(tmp_path / "w"))
     back = W.read_warc(spark, str(tmp_path / "w"))
     assert W.quarantined(back).count() == 0
@@ -83,6 +83,12 @@ def test_round_trip(spark, tmp_path):
     assert {bytes(r["payload"]).decode() for r in back.where("record_type = 'response'").collect()} == {r[2] or "" for r in rows}
 
 
+def test_members_end_with_zero():
+    for size in (0, 1, 300, 1 << 24):
+        packed = W.member(b"a" * size)
+        assert packed[-1] == 0 and gzip.decompress(packed) == b"a" * size
+
+
 def test_least_size_and_empty_table(spark, tmp_path):
     rows = [(1, "u", "ab", "", ""), (2, "u", "ab", "", ""), (3, "u", "abcd", "", ""), (4, "u", "abcd", "", "")]
     W.write_warc(spark.createDataFrame(rows, PAGES), str(tmp_path / "w"), least=3)
