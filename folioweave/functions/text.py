@@ -6,7 +6,7 @@ Unicode White_Space property and the four ASCII separators.
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,7 +22,8 @@ def _col(c) -> Column:
 
 def strip(t) -> Column:
     """Both ends freed of blanks, including non-breaking and wide ones."""
-    return F.regexp_replace(_col(t), rf"^{WS}+|{WS}+\z", "")
+    # possessive, and only from the first blank of a run: linear in long runs
+    return F.regexp_replace(_col(t), rf"\A{WS}++|(?<!{WS}){WS}++\z", "")
 
 
 def squeeze(t) -> Column:
@@ -82,34 +83,40 @@ def cell_text(c, floating: bool = False) -> Column:
 
 
 def _code_point(n: Column) -> Column:
-    """Character of a code point; out-of-range numbers give U+FFFD."""
+    """Character of a code point; out-of-range numbers give U+FFFD, 128 to 159 what Windows has there."""
     ok = (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
-    safe = F.when(ok, n).otherwise(F.lit(0xFFFD))
-    return F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32")
+    windows = [bytes([c]).decode("cp1252", "replace").replace("\ufffd", chr(c)) for c in range(128, 160)]
+    safe = F.when(n.between(128, 159), F.get(F.array(*[F.lit(ord(c)) for c in windows]), (n - 128).cast("int"))).when(ok, n).otherwise(F.lit(0xFFFD))
+    return F.decode(F.unhex(F.lpad(F.hex(safe.cast("bigint")), 8, "0")), "UTF-32")
 
 
 def html_unescape(t) -> Column:
     """Named and numeric character references to characters, in one pass.
 
-    Names come from the standard library's HTML 4 table. One pass means that
+    Names come from the standard library's HTML 5 table; those that may stand without
+    a semicolon are found at the start of longer words too. One pass means that
     `&amp;lt;` gives `&lt;` and is not unescaped again.
     """
     v = _col(t)
-    # one literal that the optimizer folds into a map, not five hundred literals
-    table = "\u0001".join(f"&{n};\u0002{chr(cp)}" for n, cp in sorted({**name2codepoint, "apos": 39}.items()))
+    # one literal that the optimizer folds into a map, not two thousand literals
+    table = "\u0001".join(f"&{n}\u0002{c}" for n, c in sorted(html5.items()))
     names = F.str_to_map(F.lit(table), F.lit("\u0001"), F.lit("\u0002"))
+    bare = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
 
     def one(tok: Column) -> Column:
-        digits = F.regexp_extract(tok, r"^&#([0-9]{1,8});$", 1)
-        hexa = F.regexp_extract(tok, r"^&#[xX]([0-9A-Fa-f]{1,7});$", 1)
+        digits = F.regexp_extract(tok, r"^&#0*([0-9]+);?$", 1)
+        hexa = F.regexp_extract(tok, r"^&#[xX]0*([0-9A-Fa-f]+);?$", 1)
+        start = F.regexp_extract(tok, f"^&(?:{'|'.join(bare)})", 0)
         return (
             F.when(~tok.startswith("&"), tok)
-            .when(digits != "", _code_point(digits.try_cast("bigint")))
-            .when(hexa != "", _code_point(F.conv(hexa, 16, 10).try_cast("bigint")))
-            .otherwise(F.coalesce(F.try_element_at(names, tok), tok))
+            .when(digits != "", _code_point(F.when(F.length(digits) < 9, digits.try_cast("bigint")).otherwise(F.lit(-1))))
+            .when(hexa != "", _code_point(F.when(F.length(hexa) < 8, F.conv(hexa, 16, 10).try_cast("bigint")).otherwise(F.lit(-1))))
+            .when(F.try_element_at(names, tok).isNotNull(), F.try_element_at(names, tok))
+            .when(start != "", F.concat(F.try_element_at(names, start), F.substr(tok, F.length(start) + 1)))
+            .otherwise(tok)
         )
 
-    pieces = F.regexp_extract_all(v, F.lit("&#?[A-Za-z0-9]+;|[^&]+|&"), F.lit(0))
+    pieces = F.regexp_extract_all(v, F.lit("&#[0-9]+;?|&#[xX][0-9A-Fa-f]+;?|&[A-Za-z][A-Za-z0-9]*;?|[^&]+|&"), F.lit(0))
     return F.when(F.contains(v, F.lit("&")), F.array_join(F.transform(pieces, one), "")).otherwise(v)
 
 

@@ -21,7 +21,9 @@ from folioweave.functions import (
 )
 from folioweave.functions.text import WS, _col
 
-_TAG = r"</?[A-Za-z!?][^>]*>"
+# The rest of a tag: a quoted value after an equals sign may hold `>`.
+_ATTRS = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+"""
+_TAG = rf"</?[A-Za-z!?]{_ATTRS}>"
 _INLINE_TAGS = (
     "a|abbr|b|bdi|bdo|cite|code|del|dfn|em|font|i|ins|kbd|label|mark|q|s|samp|small|span|strong|sub|sup|tt|u|var"
 )
@@ -32,8 +34,8 @@ _INLINE_TAGS = (
 
 def drop_noise(html) -> Column:
     """Markup without script and style elements and comments; an unclosed one runs to the end."""
-    h = F.regexp_replace(_col(html), r"(?is)<script\b[^>]*>.*?(?:</script\s*>|\z)", "")
-    h = F.regexp_replace(h, r"(?is)<style\b[^>]*>.*?(?:</style\s*>|\z)", "")
+    h = F.regexp_replace(_col(html), rf"(?is)<script\b{_ATTRS}>.*?(?:</script\s*>|\z)", "")
+    h = F.regexp_replace(h, rf"(?is)<style\b{_ATTRS}>.*?(?:</style\s*>|\z)", "")
     return F.regexp_replace(h, r"(?s)<!--.*?(?:-->|\z)", "")
 
 
@@ -55,8 +57,8 @@ def attribute(tag, name: str) -> Column:
 
 def _markup_to_words(html: Column) -> Column:
     """Noise-free markup with the head dropped and tags taken out; still escaped."""
-    h = F.regexp_replace(html, r"(?is)<head\b[^>]*>.*?</head\s*>", " ")
-    h = F.regexp_replace(h, rf"(?i)</?(?:{_INLINE_TAGS})(?:\s[^>]*)?/?>", "")
+    h = F.regexp_replace(html, rf"(?is)<head\b{_ATTRS}>.*?</head\s*>", " ")
+    h = F.regexp_replace(h, rf"(?i)</?(?:{_INLINE_TAGS})(?=[\s/>]){_ATTRS}>", "")
     return F.regexp_replace(h, _TAG, " ")
 
 
@@ -72,7 +74,7 @@ def with_base(pages: DataFrame, html: str, configured: str | None = None) -> Dat
     """Adds base: configured, else `<base href>`, else the page's own address."""
     if configured is not None:
         return pages.withColumn("base", F.lit(configured))
-    tagged = pages.withColumn("_base_tag", F.regexp_extract(html, r"(?i)<base\s[^>]*>", 0))
+    tagged = pages.withColumn("_base_tag", F.regexp_extract(html, rf"(?i)<base\s{_ATTRS}>", 0))
     return tagged.withColumn("base", F.when(F.col("_base_tag") == "", F.col("url")).otherwise(
         F.coalesce(attribute("_base_tag", "href"), F.col("url")))).drop("_base_tag")
 
@@ -92,9 +94,9 @@ def html_metadata(pages: DataFrame) -> DataFrame:
 
 def page_facts(pages: DataFrame) -> DataFrame:
     """Adds title, author and subject read from `_h`, the noise-free markup."""
-    title = F.regexp_extract("_h", r"(?is)<title[^>]*>(.*?)</title", 1)
-    heading = F.regexp_extract("_h", r"(?is)<h1(?:\s[^>]*)?>(.*?)</h1", 1)
-    metas = F.regexp_extract_all("_h", F.lit(r"(?i)<meta\s[^>]*>"), F.lit(0))
+    title = F.regexp_extract("_h", rf"(?is)<title{_ATTRS}>(.*?)</title", 1)
+    heading = F.regexp_extract("_h", rf"(?is)<h1(?=[\s>]){_ATTRS}>(.*?)</h1", 1)
+    metas = F.regexp_extract_all("_h", F.lit(rf"(?i)<meta\s{_ATTRS}>"), F.lit(0))
     blank = F.lit("")
     # each pass over the page is made once and referred to by name afterwards
     return (
@@ -129,8 +131,8 @@ def extract_links(pages: DataFrame, configured: str | None = None) -> DataFrame:
     # step by step, so that each value is computed once and then referred to
     out = out.select(
         "page_id", "link_index", "base",
-        F.regexp_extract("piece", r"(?s)^([^>]*)", 1).alias("attrs"),
-        F.regexp_replace(F.regexp_extract("piece", r"(?is)^[^>]*>(.*?)(?:</a\s*>|\z)", 1), _TAG, "").alias("inner"))
+        F.regexp_extract("piece", rf"(?s)^({_ATTRS})", 1).alias("attrs"),
+        F.regexp_replace(F.regexp_extract("piece", rf"(?is)^{_ATTRS}>(.*?)(?:</a\s*>|\z)", 1), _TAG, "").alias("inner"))
     out = out.withColumns({
         "href": F.when(has_attribute("attrs", "href"), raw_attribute("attrs", "href")),
         "text": squeeze(html_unescape("inner"))})
@@ -146,7 +148,7 @@ def extract_images(pages: DataFrame, configured: str | None = None) -> DataFrame
     Data URIs are decoded here; external ones stay addresses; local ones get
     their bytes from `resolve_local_images`.
     """
-    tags = F.regexp_extract_all("_h", F.lit(r"(?i)<img\b[^>]*>"), F.lit(0))
+    tags = F.regexp_extract_all("_h", F.lit(rf"(?i)<img\b{_ATTRS}>"), F.lit(0))
     out = _noise_free(pages, configured).select("page_id", "base", F.posexplode(tags).alias("n", "tag"))
     out = out.select("page_id", F.col("n").cast("bigint").alias("image_index"), "base",
                      attribute("tag", "src").alias("src"),
@@ -203,7 +205,7 @@ def html_to_text(pages: DataFrame) -> DataFrame:
 def outline(pages: DataFrame) -> DataFrame:
     """Headings in order, with their level."""
     found = F.regexp_extract_all(
-        drop_noise("html"), F.lit(r"(?is)<h[1-6](?:\s[^>]*)?>.*?</h[1-6]\s*>"), F.lit(0))
+        drop_noise("html"), F.lit(rf"(?is)<h[1-6](?=[\s>]){_ATTRS}>.*?</h[1-6]\s*>"), F.lit(0))
     return pages.select("page_id", F.posexplode(found).alias("heading_no", "h")).select(
         "page_id", F.col("heading_no").cast("bigint").alias("heading_no"),
         F.substring("h", 3, 1).cast("int").alias("level"), _inner_text(F.col("h")).alias("text"))
@@ -218,7 +220,7 @@ def token_texts(html) -> Column:
 
 
 def _classified(raw: DataFrame) -> DataFrame:
-    tag = F.lower(F.regexp_extract("raw", r"^</?([A-Za-z!?][A-Za-z0-9:\-]*)[^>]*>$", 1))
+    tag = F.lower(F.regexp_extract("raw", r"(?s)^</?([A-Za-z!?][A-Za-z0-9:\-]*).*>$", 1))
     kind = (
         F.when(F.col("tag") == "", F.lit("text"))
         .when(F.col("raw").startswith("</"), F.lit("close"))

@@ -28,9 +28,10 @@ def _now(now: datetime | str | None, df: DataFrame, ts: str) -> Column:
 
 
 def cache_hits(df: DataFrame, results: DataFrame, now=None, max_age_hours: int = rules.CACHE_HOURS) -> DataFrame:
-    """Documents with an unexpired result, and that result."""
+    """Documents with an unexpired result, and the newest such result."""
     live = results.where(_fresh(_now(now, results, "converted_at"), max_age_hours))
-    return df.join(live, KEY)
+    rest = [c for c in results.columns if c not in (*KEY, "converted_at")]
+    return df.join(latest_result(live, KEY, "converted_at", rest[0]) if rest else live.distinct(), KEY)
 
 
 def cache_misses(df: DataFrame, results: DataFrame, now=None, max_age_hours: int = rules.CACHE_HOURS) -> DataFrame:
@@ -44,11 +45,12 @@ def convert_once(df: DataFrame, content: str, fn: Callable[[DataFrame], DataFram
 
     `fn` maps (content_hash, <content>) to (content_hash, ...). Copies are dropped
     before the shuffle as well as after it; the join back moves only hashes and
-    the caller's remaining columns.
+    the caller's remaining columns. Rows without content, and those `fn` gives
+    nothing for, stay with nulls.
     """
     keyed = df if key in df.columns else df.withColumn(key, F.sha2(F.col(content), 256))
-    distinct = keyed.select(key, content).dropDuplicates([key])
-    return keyed.drop(content).join(fn(distinct), key)
+    distinct = keyed.where(F.col(key).isNotNull()).select(key, content).dropDuplicates([key])
+    return keyed.drop(content).join(fn(distinct), key, "left")
 
 
 def latest_result(results: DataFrame, key: list[str], ts: str, tie: str) -> DataFrame:

@@ -57,10 +57,15 @@ def cells_of(rows: DataFrame) -> DataFrame:
 
 
 def rows_of(cells: DataFrame) -> DataFrame:
-    """Cells back to rows; one group is one row, so its size is the table's width."""
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("col_index", "text"))), lambda s: s["text"])
-    return cells.groupBy(*TABLE, "row_index").agg(
-        F.max("is_header").alias("is_header"), texts.alias("values"))
+    """Cells back to rows, each text at its column and '' in gaps; one group is one row, so its size is the table's width."""
+    grouped = cells.groupBy(*TABLE, "row_index").agg(
+        F.max("is_header").alias("is_header"), F.array_sort(F.collect_list(F.struct("col_index", "text"))).alias("_cells"))
+    first = F.filter("_cells", lambda c, i: (i == 0) | (F.get("_cells", i - 1)["col_index"] != c["col_index"]))
+    width = F.element_at("_cells", -1)["col_index"].cast("int") + 1
+    at = F.map_from_entries(first)
+    spread = F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.coalesce(F.try_element_at(at, i.cast("bigint")), F.lit("")))
+    dense = F.transform("_cells", lambda c: c["text"])
+    return grouped.withColumn("values", F.when(F.size("_cells") == width, dense).otherwise(spread)).drop("_cells")
 
 
 def to_cells(df: DataFrame, doc: str, order: str | Sequence[str], columns: Sequence[str]) -> DataFrame:

@@ -45,12 +45,30 @@ class ConverterRegistry:
         return self.describe(spark).where("available").select("file_type", "strategy", "converter")
 
     def convert(self, df: DataFrame) -> DataFrame:
-        """df (path, content, file_type, strategy) -> results with converter; unrouted rows keep an error."""
+        """df (path, content, file_type, strategy) -> results with converter; unrouted rows keep an error.
+
+        One pass: batches are dispatched by type and strategy, so two converters of one
+        display name stay apart.
+        """
+        found = {key: c.fn for key, c in self._routes.items() if c.available}
         routed = route(df, self.routes(df.sparkSession))
-        out = routed.where(F.col("converter").isNull()).select(
+        schema = pa.schema([("path", pa.string()), ("markdown", pa.string()), ("error", pa.string())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                routes = list(zip(b.column(2).to_pylist(), b.column(3).to_pylist()))
+                names = b.column(4).to_pylist()
+                for key in dict.fromkeys(routes):
+                    mine = pa.array([i for i, r in enumerate(routes) if r == key])
+                    part = pa.RecordBatch.from_arrays([b.column(i).take(mine) for i in (0, 1)], names=["path", "content"])
+                    fn = found.get(key) or found[(key[0], "default")]  # as route() falls back
+                    for out in fn(iter([part])):
+                        out = pa.Table.from_batches([out]).select(schema.names).cast(schema)
+                        out = out.append_column("converter", pa.array([names[mine[0].as_py()]] * out.num_rows, pa.string()))
+                        yield from out.to_batches()
+
+        done = routed.where(F.col("converter").isNotNull()).select(
+            "path", "content", "file_type", "strategy", "converter").mapInArrow(run, RESULT_SCHEMA + ", converter string")
+        return routed.where(F.col("converter").isNull()).select(
             "path", F.lit(None).cast("string").alias("markdown"), F.col("route_error").alias("error"),
-            F.lit(None).cast("string").alias("converter"))
-        for conv in {c.name: c for c in self._routes.values() if c.available}.values():
-            mine = routed.where(F.col("converter") == conv.name).select("path", "content")
-            out = out.unionByName(mine.mapInArrow(conv.fn, RESULT_SCHEMA).withColumn("converter", F.lit(conv.name)))
-        return out
+            F.lit(None).cast("string").alias("converter")).unionByName(done)
