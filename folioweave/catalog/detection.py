@@ -140,8 +140,8 @@ QUERIES = {
     "distinct_types": (lambda s, d: detect.distinct_types(typed(s, d)).orderBy("file_type"),
                        f"WITH {SQL_TYPED} SELECT DISTINCT file_type FROM typed WHERE file_type IS NOT NULL"),
     "route": (route, SQL_ROUTE),
-    "capability_matrix": (lambda s, d: routing.capability_matrix(event_routes(s, d), ["fast", "accurate", "ocr", "default"]),
-                          f"WITH {SQL_ROUTES} SELECT file_type, bool_or(strategy = 'fast') AS fast, bool_or(strategy = 'accurate') AS accurate, bool_or(strategy = 'ocr') AS ocr, bool_or(strategy = 'default') AS \"default\" FROM routes GROUP BY file_type"),
+    "capability_matrix": (lambda s, d: routing.capability_matrix(event_routes(s, d), ["auto", "fast", "accurate", "ocr", "default"]),
+                          f"WITH {SQL_ROUTES} SELECT file_type, bool_or(strategy = 'auto') AS auto, bool_or(strategy = 'fast') AS fast, bool_or(strategy = 'accurate') AS accurate, bool_or(strategy = 'ocr') AS ocr, bool_or(strategy = 'default') AS \"default\" FROM routes GROUP BY file_type"),
     "strategies_per_type": (strategies_per_type, f"WITH {SQL_ROUTES} SELECT file_type, string_agg(strategy, ',' ORDER BY strategy) AS strategies FROM routes GROUP BY file_type"),
     "formats_common": (formats_common, f"WITH {SQL_MIXED}, e AS (SELECT DISTINCT {SQL_EXT} AS ext FROM mixed) SELECT ext FROM e WHERE ext IN ('.pdf', '.html', '.htm', '.docx', '.xlsx')"),
     "format_gaps": (format_gaps, f"WITH {SQL_TYPED}, t AS (SELECT DISTINCT file_type FROM typed UNION SELECT 'tiff') SELECT file_type FROM t WHERE file_type IN ('json', 'tiff', 'doc', 'xls', 'ppt')"),

@@ -10,7 +10,7 @@ from folioweave.catalog.common import (
 )
 from folioweave.catalog.scalars import SQL_SCANNED
 from folioweave.operators import metrics, outcome, paged as pg, reuse
-from folioweave.operators.markup import extract_links
+from folioweave.operators.markup import extract_links, outline
 
 DOC_COUNT = 7  # link documents: a few large ones, so that running numbers cross blocks
 
@@ -101,13 +101,15 @@ def resolve_options(s, d):
 
 
 def attach_assets(s, d):
-    links = extract_links(table(s, d, "pages")).select(F.col("page_id").alias("doc_id"), "link_index")
+    """Links and headings as the two kinds of children."""
+    links = extract_links(table(s, d, "pages")).select(F.col("page_id").alias("doc_id"))
+    heads = outline(table(s, d, "pages")).select(F.col("page_id").alias("doc_id"))
     res = table(s, d, "pages").select(F.col("page_id").alias("doc_id"), "url")
-    return outcome.attach_assets(res, links.where("link_index < 5"), links.where("doc_id % 2 = 0 and link_index = 0"))
+    return outcome.attach_assets(res, links, heads)
 
 
-SQL_ATTACH = rf"""WITH l AS (SELECT page_id, len(regexp_extract_all({sql_noise('html')}, '(?i)<a[\s>]')) AS n FROM pages)
-SELECT p.page_id AS doc_id, url, CAST(least(n, 5) AS BIGINT) AS total_images, CAST(CASE WHEN n > 0 AND p.page_id % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS total_tables
+SQL_ATTACH = rf"""WITH l AS (SELECT page_id, len(regexp_extract_all({sql_noise('html')}, '(?i)<a[\s>]')) AS n, len(regexp_extract_all({sql_noise('html')}, '(?is)<h[1-6](?:\s[^>]*)?>.*?</h[1-6]\s*>')) AS m FROM pages)
+SELECT p.page_id AS doc_id, url, CAST(n AS BIGINT) AS total_images, CAST(m AS BIGINT) AS total_tables
 FROM pages p JOIN l ON l.page_id = p.page_id"""
 
 

@@ -84,16 +84,20 @@ g AS (SELECT *, 'in/pack_' || n || CASE n % 4 WHEN 0 THEN '.xlsx' WHEN 1 THEN '.
 
 
 def explode_archive(s, d):
+    """Members of all packages; sizes and bodies of those whose text SQL can write down."""
     m = pk.explode_archive(corpus(s, d))
-    bad = F.col("error").isNotNull()
-    return m.where(bad | F.col("path").endswith(".zip") | F.col("path").endswith(".epub")).select(
-        "path", "member", "size", F.col("content").cast("string").alias("body"), bad.alias("failed"))
+    plain = F.col("member").rlike(r"^(row[0-9]+\.txt|mimetype|OEBPS/a\.xhtml|\[Content_Types\]\.xml)$")
+    return m.select("path", "member", F.when(plain, F.col("size")).alias("size"), F.when(plain, F.col("content").cast("string")).alias("body"),
+                    F.col("error").isNotNull().alias("failed"))
 
 
 SQL_EXPLODE = f"""WITH {SQL_FILES}
 SELECT path, 'row' || (i - 1) || '.txt' AS member, CAST(length(c_custkey || '|' || c_name) AS BIGINT) AS size, c_custkey || '|' || c_name AS body, false AS failed FROM g WHERE n % 4 = 3 AND NOT broken
 UNION ALL SELECT DISTINCT path, 'mimetype', 20, 'application/epub+zip', false FROM g WHERE n % 4 = 2 AND NOT broken
 UNION ALL SELECT DISTINCT path, 'OEBPS/a.xhtml', 8, '<p>x</p>', false FROM g WHERE n % 4 = 2 AND NOT broken
+UNION ALL SELECT path, member, CASE WHEN member[1] = '[' THEN 28 END, CASE WHEN member[1] = '[' THEN '<Types>spreadsheetml</Types>' END, false
+  FROM (SELECT DISTINCT path FROM g WHERE n % 4 = 0 AND NOT broken), (SELECT unnest(['[Content_Types].xml', 'xl/workbook.xml', 'xl/_rels/workbook.xml.rels', 'xl/sharedStrings.xml', 'xl/worksheets/sheet1.xml', 'xl/worksheets/sheet2.xml', 'docProps/core.xml']) AS member)
+UNION ALL SELECT path, member, NULL, NULL, false FROM (SELECT DISTINCT path FROM g WHERE n % 4 = 1 AND NOT broken), (SELECT unnest(['word/document.xml', 'word/media/image1.png', 'docProps/core.xml']) AS member)
 UNION ALL SELECT DISTINCT path, NULL, NULL::BIGINT, NULL, true FROM g WHERE broken"""
 
 
@@ -153,22 +157,24 @@ def scan_files(s, d):
 
 
 def convert_packages(s, d):
-    """The batch job over packages, CSV, markup and unknown files."""
+    """The batch job over packages, markup and one CSV or unknown file per customer; Markdown of the CSV files."""
     p = table(s, d, "pages").select(F.concat(F.lit("in/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.encode("html", "UTF-8").alias("content"))
-    u = table(s, d, "customer").where("c_custkey % 50 = 0").select(
-        F.concat(F.lit("in/"), F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 100 == 0, ".csv").otherwise(".bin")).alias("path"),
+    u = table(s, d, "customer").select(
+        F.concat(F.lit("in/c"), F.col("c_custkey").cast("string"), F.when(F.col("c_mktsegment") == "BUILDING", ".bin").otherwise(".csv")).alias("path"),
         F.encode(F.concat(F.lit("name,segment\n"), F.col("c_name"), F.lit(","), F.col("c_mktsegment"), F.lit("\n")), "UTF-8").alias("content"))
     files = corpus(s, d).unionByName(p).unionByName(u)
     r = convert_corpus(files)
-    return r.groupBy("file_type").agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+    return r.select("path", "part", "file_type", F.col("error").isNotNull().alias("failed"),
+                    F.when(F.col("file_type").isin("csv", "docx"), F.col("markdown")).alias("markdown"))
 
 
 # cut-short packages keep the type their extension names, except that they cannot be read
-SQL_BATCH = f"""WITH {SQL_FILES}, k AS (SELECT DISTINCT path, n, broken FROM g)
-SELECT CASE n % 4 WHEN 0 THEN 'xlsx' WHEN 1 THEN 'docx' WHEN 2 THEN 'epub' ELSE 'zip' END AS file_type, count(*) AS files, count(*) FILTER (broken OR n % 4 >= 2) AS failed FROM k GROUP BY n % 4
-UNION ALL SELECT 'html', count(*), 0 FROM pages
-UNION ALL SELECT 'csv', count(*), 0 FROM customer WHERE c_custkey % 100 = 0
-UNION ALL SELECT 'unknown', count(*), count(*) FROM customer WHERE c_custkey % 100 = 50"""
+SQL_BATCH = f"""WITH {SQL_FILES}, k AS (SELECT path, n, broken, string_agg(c_name || ' ' || c_mktsegment, chr(10) || chr(10) ORDER BY i) AS body FROM g GROUP BY ALL)
+SELECT path, 0::BIGINT AS part, CASE n % 4 WHEN 0 THEN 'xlsx' WHEN 1 THEN 'docx' WHEN 2 THEN 'epub' ELSE 'zip' END AS file_type, broken OR n % 4 >= 2 AS failed,
+  CASE WHEN n % 4 = 1 AND NOT broken THEN '## Part ' || n || chr(10) || chr(10) || body END AS markdown FROM k
+UNION ALL SELECT 'in/' || page_id || '.html', 0, 'html', false, NULL FROM pages
+UNION ALL SELECT 'in/c' || c_custkey || '.csv', 0, 'csv', false, '| name | segment |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || c_name || ' | ' || c_mktsegment || ' |' FROM customer WHERE c_mktsegment <> 'BUILDING'
+UNION ALL SELECT 'in/c' || c_custkey || '.bin', 0, 'unknown', true, NULL FROM customer WHERE c_mktsegment = 'BUILDING'"""
 
 QUERIES = {
     "scan_corpus": (scan_files, None),

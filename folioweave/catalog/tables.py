@@ -112,12 +112,13 @@ SELECT doc_id, 0::BIGINT AS table_index, row_index // 4096 AS part, string_agg(C
 
 def md_docs(s, d):
     """Rendered tables between paragraphs: documents with Markdown tables in them."""
-    t = tb.render_table(rows(s, d)).where("part = 0")
+    parts = tb.render_table(rows(s, d)).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("part", "markdown"))).alias("p"))
+    t = parts.select("doc_id", F.array_join("p.markdown", "\n").alias("markdown"))
     return t.select("doc_id", F.concat(F.lit("Intro\n\n"), F.col("markdown"), F.lit("\n\ntext | no table\n\n| a | b |\n| :--- | ---: |\n| x\\|y |  |\n\n|lonely|\n")).alias("text"))
 
 
 SQL_FIND = f"""WITH {SQL_ROWS}, t AS (SELECT doc_id, string_agg({GH_LINE} || CASE WHEN is_header THEN chr(10) || '| --- | --- | --- |' ELSE '' END, chr(10) ORDER BY row_index) AS markdown,
-  count(*) AS n FROM rows_ WHERE row_index < 4096 GROUP BY doc_id)
+  count(*) AS n FROM rows_ GROUP BY doc_id)
 SELECT doc_id, 0::BIGINT AS table_index, markdown, n AS row_count, n - 1 AS data_row_count, 3::BIGINT AS col_count FROM t
 UNION ALL SELECT doc_id, 1::BIGINT, '| a | b |' || chr(10) || '| :--- | ---: |' || chr(10) || '| x\\|y |  |', 2::BIGINT, 1::BIGINT, 2::BIGINT FROM t"""
 
@@ -217,7 +218,7 @@ QUERIES = {
     "render_grid": (lambda s, d: tb.render_table(rows(s, d), "grid"), SQL_GRID),
     "render_html": (lambda s, d: tb.render_table(cells(s, d), "html"), SQL_HTML),
     "find_md_tables": (lambda s, d: tb.find_md_tables(md_docs(s, d)), SQL_FIND),
-    "md_table_cells": (md_table_cells, f"WITH {SQL_CELLS} SELECT * FROM cells WHERE row_index < 4096"),
+    "md_table_cells": (md_table_cells, f"WITH {SQL_CELLS} SELECT * FROM cells"),
     "table_or_note": (table_or_note, SQL_NOTE),
     "workbook_markdown": (workbook_markdown, SQL_WB),
     "images_section": (images_section, SQL_IMAGES),

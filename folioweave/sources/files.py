@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,23 +24,6 @@ def scan_corpus(spark: SparkSession, folder: str, pattern: str = "*.pdf", recurs
     )
 
 
-def split_oversized(corpus: DataFrame, max_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """(accepted, refused); the length filter reaches the scan, so refused files stay unread."""
-    message = F.concat(F.lit("File too large: "), F.col("length").cast("string"), F.lit(" bytes"))
-    refused = corpus.where(F.col("length") > max_bytes).select("path", "length", message.alias("error"))
-    return corpus.where(F.col("length") <= max_bytes), refused
-
-
-def balance(corpus: DataFrame, seconds, target_seconds: float = 120.0, most: int = 100_000) -> DataFrame:
-    """Spread whole files over as many tasks as their estimated cost asks for.
-
-    A file is one row and cannot be cut. The total is an aggregate over names and
-    sizes; contents are not read for it.
-    """
-    total = corpus.agg(F.sum(seconds)).first()[0] or 0.0
-    return corpus.repartition(min(most, max(1, math.ceil(total / target_seconds))), "path")
-
-
 def scan_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("page_id", "url", "html")
 
@@ -50,15 +32,23 @@ def scan_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+_FIELD = r'''(?:"(?:[^"]++|"")*+"[^,\n]*+|[^,\n]*+)'''
+
+
 def csv_cells(docs: DataFrame, content: str = "content") -> DataFrame:
-    """Delimited text (doc_id, content) to cells; quoted fields may hold commas and newlines."""
+    """Delimited text (doc_id, content) to cells; quoted fields may hold commas and newlines.
+
+    A quote counts only at the start of a field and if it is closed. The patterns are
+    possessive: they need no stack, however many fields or quotes a record has.
+    """
     body = F.replace(F.col(content), F.lit("\r\n"), F.lit("\n"))
-    records = F.regexp_extract_all(body, F.lit('(?:[^"\n]+|"[^"]*")+'), F.lit(0))
-    fields = F.regexp_extract_all(F.concat(F.lit(","), F.col("rec")), F.lit(',("[^"]*(?:""[^"]*)*"|[^,]*)'), F.lit(1))
+    records = F.regexp_extract_all(body, F.lit(f"{_FIELD}(?:,{_FIELD})*+"), F.lit(0))
+    records = F.filter(records, lambda r: r != "")
+    fields = F.regexp_extract_all(F.concat(F.lit(","), F.col("rec")), F.lit(f",({_FIELD})"), F.lit(1))
 
     def plain(f):
         inner = F.replace(F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))
-        return F.when(f.startswith('"') & (F.length(f) >= 2), inner).otherwise(f)
+        return F.when(f.startswith('"') & f.endswith('"') & (F.length(f) >= 2), inner).otherwise(f)
 
     rows = docs.select("doc_id", F.posexplode(records).alias("row_index", "rec"))
     cells = rows.select("doc_id", "row_index", F.posexplode(F.transform(fields, plain)).alias("col_index", "text"))

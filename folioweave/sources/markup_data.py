@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-JSON_LEVELS = 6
+def json_depth(col: str) -> Column:
+    """Greatest nesting of brackets outside of strings."""
+    bare = F.regexp_replace(F.col(col), r'"(?:[^"\\]++|\\.)*+"', "")
+    steps = F.transform(F.regexp_extract_all(bare, F.lit(r"[\[\]{}]"), F.lit(0)), lambda b: F.when(b.isin("[", "{"), 1).otherwise(-1))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    return F.aggregate(steps, start, lambda a, b: F.struct(
+        (a["now"] + b).alias("now"), F.greatest(a["most"], a["now"] + b).alias("most")))["most"]
 
 
-def scan_json(df: DataFrame, key: str, col: str, levels: int = JSON_LEVELS) -> DataFrame:
+def scan_json(df: DataFrame, key: str, col: str) -> DataFrame:
     """(key, path, value, error): one row per leaf, e.g. `items[0]`.
 
-    Structures deeper than `levels` are not lost: they stay as JSON text in
-    `value`. Invalid JSON gives one row with an error.
+    As many levels are opened as the deepest document has; a one-row aggregate finds
+    out. Invalid JSON gives one row with an error.
     """
     spark = df.sparkSession
+    levels = df.agg(F.max(json_depth(col)).alias("n")).first()["n"] or 0
     # inside brackets the parser also sees what follows the first value
     wrapped = df.select(key, F.try_parse_json(F.concat(F.lit("["), F.col(col), F.lit("]"))).alias("w"))
     single = F.try_variant_get("w", "$[1]", "variant").isNull()

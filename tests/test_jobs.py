@@ -40,8 +40,6 @@ def test_scan_corpus(spark, folder):
     names = lambda df: sorted(os.path.basename(r.path) for r in df.select("path").collect())
     assert names(files.scan_corpus(spark, folder, "*.{html,htm}")) == ["a.html"]
     assert names(files.scan_corpus(spark, folder, "*.{html,htm}", recursive=True)) == ["a.html", "b.htm"]
-    ok, refused = files.split_oversized(files.scan_corpus(spark, folder, "*.xlsx"), 100)
-    assert names(ok) == ["bad.xlsx"] and "too large" in refused.first().error
 
 
 def test_batch(spark, folder):
