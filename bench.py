@@ -20,7 +20,7 @@ HEADLINE = [
     "pages_to_results", "html_to_markdown", "html_to_text", "tokenize_html", "extract_links", "semantic_sections",
     "detect_type", "word_count", "content_hash", "tidy_markdown", "convert_once", "cache_misses", "page_meta",
     "assemble_pages", "image_index", "paginate", "latest_result", "perf_stats_all", "render_github", "render_grid",
-    "table_or_note", "find_md_tables", "scan_json", "export_json",
+    "table_or_note", "find_md_tables", "scan_json", "export_json", "scan_docx_blocks", "scan_xlsx_cells", "convert_corpus",
 ]
 
 
