@@ -9,15 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioweave import rules
 from folioweave.functions import decode_text, tidy_markdown, word_count
 from folioweave.operators.detect import detect_type
 from folioweave.operators.routing import union_results
-from folioweave.operators.tables import render_table, workbook_markdown
+from folioweave.operators.tables import render_table, table_or_note, workbook_markdown
 from folioweave.options import Options
 from folioweave.plans.pages import pages_to_results
 from folioweave.sources.files import csv_cells
 from folioweave.session import shared_dir
-from folioweave.sources.packages import explode_archive, scan_docx_blocks, scan_xlsx_cells, with_package_type
+from folioweave.sources.packages import (
+    broken_sheets, explode_archive, scan_docx_blocks, scan_xlsx_cells, with_package_type, workbook_sheets,
+)
 
 BLOCKS_PER_PART = 4096
 
@@ -33,10 +36,17 @@ def docx_markdown(members: DataFrame) -> DataFrame:
 
 
 def xlsx_markdown(members: DataFrame, options: Options) -> DataFrame:
-    """(doc_id, part, markdown) of workbooks."""
-    cells = scan_xlsx_cells(members, [s.strip() for s in options.xlsx_sheets.split(",")] if options.xlsx_sheets else None)
-    names = cells.select("doc_id", "table_index", "sheet").distinct()
-    sheets = render_table(cells, options.table_format).join(names, ["doc_id", "table_index"])
+    """(doc_id, part, markdown) of workbooks: every sheet, wide ones cut with a note, empty and broken ones with a line."""
+    wanted = [s.strip() for s in options.xlsx_sheets.split(",")] if options.xlsx_sheets else None
+    listed = workbook_sheets(members)
+    if wanted is not None:
+        listed = listed.where(F.col("sheet").isin(wanted))
+    bad = broken_sheets(members).withColumn("bad", F.lit(True))
+    listed = listed.join(bad, ["path", "member"], "left").select(
+        F.col("path").alias("doc_id"), F.col("sheet_index").alias("table_index"), "sheet", "bad")
+    rendered = table_or_note(scan_xlsx_cells(members, wanted), options.xlsx_max_sheet_width, options.table_format, listed)
+    sheets = rendered.join(listed, ["doc_id", "table_index"]).withColumn(
+        "markdown", F.when(F.col("bad"), F.lit(rules.BROKEN_SHEET)).otherwise(F.col("markdown")))
     return workbook_markdown(sheets.select(
         "doc_id", F.regexp_extract("doc_id", "([^/]+)$", 1).alias("name"),
         F.col("table_index").alias("sheet_index"), "sheet", "part", "markdown"), options.xlsx_mode)

@@ -101,6 +101,7 @@ MSG_LITTLE_TEXT = (
 )
 MSG_SCANNED_HINT = "This PDF appears to be scanned. Use --ocr flag for conversion."
 EMPTY_SHEET = "*Empty sheet*"
+BROKEN_SHEET = "*Sheet could not be read*"
 
 # --- fixed values: seconds per MB and floor, by extension ------------------------------------
 COST_RULES = [

@@ -13,10 +13,10 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioweave.functions import docx_pages, image_dims
+from folioweave.functions import docx_pages, html_unescape, image_dims
 
 MEMBER_SCHEMA = "path string, member_no bigint, member string, size bigint, content binary, error string"
 _ARROW = pa.schema([("path", pa.string()), ("member_no", pa.int64()), ("member", pa.string()),
@@ -165,23 +165,55 @@ def _column_number(ref):
     return (F.aggregate(letters, F.lit(0), lambda n, c: n * 26 + F.ascii(c) - 64) - 1).cast("bigint")
 
 
+def _date_styles(members: DataFrame) -> DataFrame:
+    """(path, is_date): for each cell style whether its number format is a date or a time."""
+    part = _part(members, r"^xl/styles\.xml$", (
+        "numFmts struct<numFmt: array<struct<_numFmtId:int,_formatCode:string>>>, cellXfs struct<xf: array<struct<_numFmtId:int>>>"))
+    own = F.coalesce("x.numFmts.numFmt", F.array().cast("array<struct<_numFmtId:int,_formatCode:string>>"))
+    letters = lambda f: F.regexp_replace(f["_formatCode"], r'"[^"]*+"|\[[^\]]*+\]|\\.', "")
+    custom = F.transform(F.filter(own, lambda f: letters(f).rlike("(?i)[ymdhs]")), lambda f: f["_numFmtId"])
+    fixed = lambda n: n.between(14, 22) | n.between(45, 47)  # noqa: E731  numbers of the format's own date formats
+    return part.select("path", F.transform("x.cellXfs.xf", lambda s: F.coalesce(
+        fixed(s["_numFmtId"]) | F.array_contains(custom, s["_numFmtId"]), F.lit(False))).alias("is_date"))
+
+
+def _shown(raw: Column, kind: Column, style: Column) -> Column:
+    """Booleans as True and False, dates as dates; other values as stored."""
+    serial = raw.try_cast("double")
+    seconds = F.round((serial - 25569) * 86400).cast("bigint")  # days since 1899-12-30
+    stamp = F.timestamp_seconds(seconds).cast("timestamp")
+    text = F.when(seconds % 86400 == 0, F.date_format(stamp, "yyyy-MM-dd")).otherwise(F.date_format(stamp, "yyyy-MM-dd HH:mm:ss"))
+    dated = F.coalesce(F.get(F.col("is_date"), style), F.lit(False)) & F.coalesce(kind, F.lit("n")).isin("n") & serial.between(0, 2958465)
+    return F.when((kind == "b") & raw.isin("0", "1"), F.when(raw == "1", "True").otherwise("False")).when(dated, text).otherwise(raw)
+
+
+def broken_sheets(members: DataFrame) -> DataFrame:
+    """(path, member): sheets that cannot be read as XML, or whose member could not be opened."""
+    sheet = F.col("member").rlike(r"^xl/worksheets/[^/]+\.xml$")
+    body = F.from_xml(F.col("content").cast("string"), "_bad string", {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})
+    return members.where(sheet).where(F.col("content").isNull() | body.isNull() | body["_bad"].isNotNull()).select("path", "member")
+
+
 def scan_xlsx_cells(members: DataFrame, sheets: list[str] | None = None) -> DataFrame:
     """cells with sheet names; only `sheets` when given.
 
-    Text is the raw value: dates and formatted numbers appear as stored.
+    Numbers appear as stored, booleans as True and False, dates by their cell style.
     """
     listed = workbook_sheets(members)
     if sheets is not None:
         listed = listed.where(F.col("sheet").isin(sheets))
-    schema = ("sheetData struct<row: array<struct<_r:bigint, c: array<struct<_r:string,_t:string,v:string,"
-              "is:struct<t:string>>>>>>")
+    schema = ("sheetData struct<row: array<struct<_r:bigint, c: array<struct<_r:string,_t:string,_s:int,v:string,"
+              "is:struct<t:string,r:array<struct<t:string>>>>>>>>")
     part = _part(members, r"^xl/worksheets/[^/]+\.xml$", schema)
     rows = part.select("path", "member", F.posexplode("x.sheetData.row").alias("i", "row"))
     raw = rows.select("path", "member", F.coalesce(F.col("row._r") - 1, F.col("i")).alias("row_index"),
                       F.posexplode("row.c").alias("j", "c"))
     raw = raw.select(
         "path", "member", "row_index", F.coalesce(_column_number("c._r"), F.col("j").cast("bigint")).alias("col_index"),
-        F.col("c._t").alias("cell_type"), F.coalesce("c.v", "c.is.t").alias("raw"))
+        F.col("c._t").alias("cell_type"), F.col("c._s").alias("style"), F.coalesce("c.v", "c.is.t", F.array_join(
+            F.transform("c.is.r", lambda r: F.coalesce(r["t"], F.lit(""))), "")).alias("raw"))
+    raw = raw.join(_date_styles(members), "path", "left")
+    raw = raw.withColumn("raw", _shown(F.col("raw"), F.col("cell_type"), F.col("style"))).drop("is_date", "style")
     text = resolve_shared_strings(raw, shared_strings(members))
     return text.join(listed, ["path", "member"]).select(
         F.col("path").alias("doc_id"), F.col("sheet_index").alias("table_index"), "row_index", "col_index", "text",
@@ -194,15 +226,62 @@ _WORD = ("body struct<p: array<struct<pPr: struct<pStyle: struct<_val:string>>,
          "r: array<struct<t: array<string>>>>>, tbl: array<string>>")
 
 
+_P = r"(?:[A-Za-z0-9]+:)?"  # a name's prefix
+_DOCX_BLOCK = rf"(?s)<{_P}tbl>.*?</{_P}tbl>|<{_P}p(?:\s[^>]*?)?/>|<{_P}p(?:\s[^>]*+)?>.*?</{_P}p>"
+_DOCX_RUN = rf"(?s)<{_P}r(?:\s[^>]*+)?>.*?</{_P}r>"
+_DOCX_TEXT = rf"<{_P}(?:t(?:\s[^>]*+)?>[^<]*+|tab\s*+/>|(?:br|cr)(?:\s[^>]*+)?/>)"
+
+
+def _run_text(run: Column) -> Column:
+    """Text of a run with its tabs and line breaks; bold and italic ones in Markdown marks."""
+    tokens = F.regexp_extract_all(run, F.lit(_DOCX_TEXT), F.lit(0))
+    text = F.array_join(F.transform(tokens, lambda t: F.when(t.rlike(rf"^<{_P}tab"), "\t").when(
+        t.rlike(rf"^<{_P}(?:br|cr)"), "\n").otherwise(F.regexp_replace(t, "^[^>]*+>", ""))), "")
+
+    def has(name: str) -> Column:
+        return run.rlike(rf'<{_P}{name}(?:\s*+/>|\s[^>]*+>)') & ~run.rlike(rf'<{_P}{name}\s[^>]*?val="(?:0|false|none)"')
+
+    def marked(text: Column, mark: str, name: str) -> Column:
+        return F.when(has(name) & text.rlike(r"\S"), F.regexp_replace(text, r"(?s)^(\s*+)(.*?)(\s*)$", f"$1{mark}$2{mark}$3")).otherwise(text)
+
+    return marked(marked(text, "*", "i"), "**", "b")
+
+
+def _paragraph_text(block: Column) -> Column:
+    runs = F.regexp_extract_all(block, F.lit(_DOCX_RUN), F.lit(0))
+    # marks of neighbouring runs meet
+    return html_unescape(F.replace(F.array_join(F.transform(runs, _run_text), ""), F.lit("****"), F.lit("")))
+
+
+def _table_text(block: Column) -> Column:
+    """A table as Markdown, its first row as the header."""
+    pieces = lambda x, tag: F.regexp_extract_all(x, F.lit(rf"(?s)<{_P}{tag}(?:\s[^>]*+)?>.*?</{_P}{tag}>"), F.lit(0))
+    cell = lambda c: F.replace(F.regexp_replace(F.array_join(F.transform(pieces(c, "p"), _paragraph_text), " "), r"\s++", " "), F.lit("|"), F.lit("\\|"))
+    lines = F.transform(pieces(block, "tr"), lambda r: F.concat(
+        F.lit("| "), F.array_join(F.transform(pieces(r, "tc"), lambda c: F.trim(cell(c))), " | "), F.lit(" |")))
+    width = F.size(pieces(F.get(pieces(block, "tr"), 0), "tc"))
+    rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), width))
+    return F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, 1_000_000)), "\n")
+
+
 def scan_docx_blocks(members: DataFrame) -> DataFrame:
-    """(doc_id, block_no, style, level, text): paragraphs; level is null outside headings."""
-    part = _part(members, r"^word/document\.xml$", _WORD)
-    runs = F.flatten(F.transform(F.coalesce("p.r", F.array()), lambda r: F.coalesce(r["t"], F.array().cast("array<string>"))))
-    style = F.col("p.pPr.pStyle._val")
-    level = F.regexp_extract(style, "(?i)^heading ?([1-6])$", 1).try_cast("int")
-    return part.select("path", F.posexplode("x.body.p").alias("no", "p")).select(
-        F.col("path").alias("doc_id"), F.col("no").cast("bigint").alias("block_no"), style.alias("style"),
-        level.alias("level"), F.array_join(runs, "").alias("text"))
+    """(doc_id, block_no, style, level, text): paragraphs and tables in order; level is null outside headings.
+
+    All text of a paragraph counts: runs, links, insertions, content controls. List
+    items begin with a dash, indented by level; a table is one block of style `Table`.
+    """
+    body = F.col("content").cast("string")
+    part = members.where(F.col("member").rlike(r"^word/document\.xml$"))
+    blocks = part.select(F.col("path").alias("doc_id"), F.posexplode(F.regexp_extract_all(body, F.lit(_DOCX_BLOCK), F.lit(0))).alias("no", "p"))
+    table = F.col("p").rlike(rf"^<{_P}tbl>")
+    style = F.nullif(F.regexp_extract("p", rf'<{_P}pStyle\s[^>]*?val="([^"]*+)"', 1), F.lit(""))
+    level = F.regexp_extract(F.col("style"), "(?i)^heading ?([1-6])$", 1).try_cast("int")
+    indent = F.coalesce(F.regexp_extract("p", rf'<{_P}ilvl\s[^>]*?val="([0-9])"', 1).try_cast("int"), F.lit(0))
+    item = F.col("p").rlike(rf"<{_P}numPr[\s/>]")
+    dash = F.when(item, F.concat(F.repeat(F.lit("  "), indent), F.lit("- "))).otherwise(F.lit(""))
+    return blocks.withColumn("style", F.when(table, "Table").otherwise(style)).select(
+        "doc_id", F.col("no").cast("bigint").alias("block_no"), "style", F.when(table, None).otherwise(level).alias("level"),
+        F.when(table, _table_text(F.col("p"))).otherwise(F.concat(dash, _paragraph_text(F.col("p")))).alias("text"))
 
 
 def docx_media(members: DataFrame) -> DataFrame:

@@ -57,6 +57,38 @@ def test_batch(spark, folder):
     assert again.markdown == "plain words" and again.error is None
 
 
+def test_whole_documents(spark):
+    """Text anywhere in a Word file; sheets with gaps, without cells, and unreadable ones."""
+    w = f'xmlns:w="{made.WORD}"'
+    p = lambda x: f"<w:p><w:r><w:t>{x}</w:t></w:r></w:p>"
+    body = (
+        '<w:p w:rsid="1"/><w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>Tides &amp; moons</w:t></w:r></w:p>'
+        '<w:p><w:r><w:t xml:space="preserve">See </w:t></w:r><w:hyperlink><w:r><w:t>the log</w:t></w:r></w:hyperlink><w:ins><w:r><w:t>, now</w:t></w:r></w:ins><w:del><w:r><w:delText>gone</w:delText></w:r></w:del></w:p>'
+        f"<w:sdt><w:sdtContent>{p('controlled')}</w:sdtContent></w:sdt>"
+        f"<w:tbl><w:tr><w:tc>{p('Boat')}</w:tc><w:tc>{p('a|b')}{p('c')}</w:tc></w:tr><w:tr><w:tc>{p('Tern')}</w:tc><w:tc><w:p/></w:tc></w:tr></w:tbl>"
+        '<w:p><w:pPr><w:numPr><w:ilvl w:val="1"/></w:numPr></w:pPr><w:r><w:rPr><w:b/></w:rPr><w:t>loud</w:t></w:r><w:r><w:rPr><w:b/></w:rPr><w:t xml:space="preserve"> too</w:t></w:r><w:r><w:br/><w:t>next</w:t></w:r></w:p>')
+    docx = made._zip({"word/document.xml": f"<w:document {w}><w:body>{body}</w:body></w:document>"})
+    df = spark.createDataFrame([("d.docx", bytearray(docx))], "path string, content binary")
+    got = [(r.level, r.text) for r in pk.scan_docx_blocks(pk.explode_archive(df)).orderBy("block_no").collect()]
+    assert got == [(None, ""), (1, "Tides & moons"), (None, "See the log, now"), (None, "controlled"),
+                   (None, "| Boat | a\\|b c |\n| --- | --- |\n| Tern |  |"), (None, "  - **loud** **too**\nnext")]
+    cell = lambda ref, x, more="": f'<c r="{ref}"{more}>{x}</c>'
+    sheet = "".join([
+        f'<row r="1">{cell("A1", "<is><r><t>Bo</t></r><r><t>at</t></r></is>", " t=" + chr(34) + "inlineStr" + chr(34))}{cell("D1", "<v>7</v>")}</row>',
+        f'<row r="2">{cell("A2", "<v>45296</v>", " s=" + chr(34) + "1" + chr(34))}{cell("B2", "<v>1</v>", " t=" + chr(34) + "b" + chr(34))}{cell("C2", "<v>45296.5</v>", " s=" + chr(34) + "2" + chr(34))}</row>'])
+    parts = made._workbook(ROWS, 1) | {
+        "xl/workbook.xml": f'<workbook xmlns="{made.MAIN}" xmlns:r="{made.REL}"><sheets>' + "".join(
+            f'<sheet name="{n}" sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(("Gaps", "None", "Torn"), 1)) + "</sheets></workbook>",
+        "xl/_rels/workbook.xml.rels": '<Relationships xmlns="urn:rel">' + "".join(f'<Relationship Id="rId{i}" Target="worksheets/s{i}.xml"/>' for i in (1, 2, 3)) + "</Relationships>",
+        "xl/styles.xml": f'<styleSheet xmlns="{made.MAIN}"><numFmts><numFmt numFmtId="170" formatCode="yyyy-mm-dd hh:mm"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/></cellXfs></styleSheet>',
+        "xl/worksheets/s1.xml": f'<worksheet xmlns="{made.MAIN}"><sheetData>{sheet}</sheetData></worksheet>',
+        "xl/worksheets/s2.xml": f'<worksheet xmlns="{made.MAIN}"><sheetData/></worksheet>', "xl/worksheets/s3.xml": "<worksheet><sheetData><row"}
+    df = spark.createDataFrame([("in/b.xlsx", bytearray(made._zip(parts)))], "path string, content binary")
+    md = convert_corpus(df).first().markdown
+    assert "*Contains 3 sheet(s)*" in md and "## Sheet: None\n*Empty sheet*" in md and "## Sheet: Torn\n*Sheet could not be read*" in md
+    assert "| Boat |  |  | 7 |" in md and "| 2024-01-05 | True | 2024-01-05 12:00:00 |" in md
+
+
 def test_archive_members(spark):
     df = spark.createDataFrame([("a.zip", bytearray(made._zip({"x.txt": "one", "d/y.xml": "<a/>"}))), ("b.zip", bytearray(b"nope"))], "path string, content binary")
     rows = {(r.path, r.member): r for r in pk.explode_archive(df).collect()}
