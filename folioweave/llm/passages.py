@@ -214,8 +214,8 @@ def _led(windows: DataFrame, bodies: bool) -> DataFrame:
     columns = ["doc", "other", "key", "place", "place2", "equal"]
     fronts = out.where("kind = 2").groupBy("key").agg(F.min(F.struct("doc", "place", "body")).alias("lead"))
     same = F.expr("body = lead.body and place & 16383 = lead.place & 16383") if bodies else F.lit(False)
-    edges = out.where("kind = 1").select("doc", "key", "place", "body").join(F.broadcast(fronts), "key").select(  # two rows a partition at most
-       
+    # two front rows a partition at most are broadcast
+    edges = out.where("kind = 1").select("doc", "key", "place", "body").join(F.broadcast(fronts), "key").select(
         "doc", F.col("lead.doc").alias("other"), "key", "place", F.col("lead.place").alias("place2"), same.alias("equal"))
     return out.where("kind = 0").select(columns).unionByName(edges.where("doc != other"))
 

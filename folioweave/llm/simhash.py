@@ -95,9 +95,28 @@ _CELLS = "kind int, grid int, cell long, fp long, other long"
 SMALL = 64  # points of a cell that are compared with each other where they lie
 
 
+def _roots(pairs: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Of linked positions: each that is not the first of those it is linked with, and that first one."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for i, j in pairs:
+        a, b = root(i), root(j)
+        up[max(a, b)] = min(a, b)
+    at = np.array([x for x in up if root(x) != x], np.int64)
+    return at, np.array([root(x) for x in at.tolist()], np.int64)
+
+
 def _cells(points: DataFrame, limit: int, groups: int, small: int) -> DataFrame:
     """Every point in all its cells, cell by cell: links of small cells (kind 0: fp, other), points of the others (kind 1).
 
+    A small cell's links join each point to the smallest of its component there: no
+    more of them than points.
+
     Cells are dealt out by ranges of (grid, cell, fp), so a crowded cell fills several
     partitions. Its points, and those of the cells at either end of a partition, which
     may have more points in the next one, are only passed on.
@@ -134,12 +153,15 @@ def _cells(points: DataFrame, limit: int, groups: int, small: int) -> DataFrame:
             if out.any():
                 yield batch(1, grid[out], cell[out], fp[out], fp[out])
             number[passed | last] = -1 - np.arange((passed | last).sum())  # alike with no other
+            pairs = []
             for apart in range(1, small):
                 at = np.flatnonzero(number[apart:] == number[:-apart])
                 if not len(at):
                     break
                 at = at[np.bitwise_count((fp[at] ^ fp[at + apart]).view(np.uint64)) <= limit]
-                yield batch(0, grid[at], cell[at], fp[at], fp[at + apart])
+                pairs += zip(at.tolist(), (at + apart).tolist())
+            at, root = _roots(pairs)
+            yield batch(0, grid[at], cell[at], fp[at], fp[root])
             held = [x[last] for x in rows]
         if held is not None and len(held[0]):
             yield batch(1, *held, held[2])
