@@ -11,26 +11,28 @@ from folioweave.llm.common import checkpointed
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) long pairs -> (node, comp), comp being the smallest node reachable.
 
-    Every round takes the smallest label among neighbours (an aggregate, combined
-    before the shuffle, so a hub costs one row per task) and then follows the label's
-    own label, which halves the distance to go. Nodes without an edge are not
-    returned; loops, repeated and null edges do no harm. Rounds are cut by
-    checkpoint(); the driver sees one number per round.
+    Every node points to its smallest neighbour (an aggregate, combined before the
+    shuffle, so a hub costs one row per task); pointers are followed to their ends,
+    doubling their reach each time; then the nodes of one end become one node and only
+    edges between ends remain. Each round at least halves the nodes that have edges.
+    Nodes without an edge are not returned; loops, repeated and null edges do no
+    harm. Steps are cut by checkpoint(); the driver sees one number per step.
     """
-    e = edges.where("a is not null and b is not null and a != b").select("a", "b")
-    e = checkpointed(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpointed(e.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
-    while True:
-        near = (
-            e.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        )
-        hop = labels.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
-        step = (
-            labels.join(near, "node").join(hop, "comp", "left")
-            .select("node", F.least("comp", "near", F.coalesce("next", "comp")).alias("new"), F.col("comp").alias("old"))
-        )
-        step = checkpointed(step)
-        moved = step.where("new != old").limit(1).count()
-        labels = step.select("node", F.col("new").alias("comp"))
-        if not moved:
-            return labels
+    def ordered(a: str, b: str) -> list:
+        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+    e = checkpointed(edges.where("a is not null and b is not null and a != b").select(*ordered("a", "b")).distinct())
+    labels = None
+    while e.limit(1).count():
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = checkpointed(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")))
+        moved = True
+        while moved:
+            hop = near.select(F.col("node").alias("root"), F.col("root").alias("next"))
+            step = checkpointed(near.join(hop, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+            near, moved = step.select("node", "root"), step.where("moved").limit(1).count()
+        first, second = near.toDF("a", "x"), near.toDF("b", "y")
+        e = checkpointed(e.join(first, "a").join(second, "b").where("x != y").select(*ordered("x", "y")).distinct())
+        labels = near.toDF("node", "comp") if labels is None else checkpointed(
+            labels.join(near.toDF("comp", "root"), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")))
+    return labels if labels is not None else e.toDF("node", "comp")
