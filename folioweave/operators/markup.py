@@ -380,9 +380,17 @@ def markdown_of(pages: DataFrame, carry: list[str], image_mode: str = "link") ->
     for tag, mark in rules.EMPHASIS.items():
         marker = marker.when(F.col("tag") == tag, F.lit(mark))
     toks = toks.withColumn("is_block", F.col("tag").isin(rules.BLOCK_TAGS)).withColumn("marker", marker)
-    block = F.col("is_block")
+    toks = toks.withColumn("blank", (F.col("kind") == "text") & (F.trim("words") == ""))
+    block, blank = F.col("is_block"), F.col("blank")
+    at_li = _opens(["li"])
     toks = toks.select(
         "*",
+        F.sum(_delta(["blockquote"])).over(_so_far()).alias("quotes"),
+        # what stands before and after, blank text aside
+        F.coalesce(F.when(F.lag(blank).over(_doc()), F.lag(at_li, 2).over(_doc())).otherwise(F.lag(at_li).over(_doc())),
+                   F.lit(False)).alias("after_li"),
+        F.coalesce(F.when(F.lead(blank).over(_doc()), F.lead(block, 2).over(_doc())).otherwise(F.lead(block).over(_doc())),
+                   F.lit(True)).alias("before_block"),
         _sum_gt0(["head", "title"]).alias("in_head"),
         _sum_gt0(["pre"]).alias("in_pre"),
         F.sum(_delta(["ul", "ol"])).over(_so_far()).alias("depth"),
@@ -426,6 +434,8 @@ def markdown_of(pages: DataFrame, carry: list[str], image_mode: str = "link") ->
     kind, tag = F.col("kind"), F.col("tag")
     is_open, is_close = kind == "open", kind == "close"
     empty, para = F.lit(""), F.lit("\n\n")
+    quoted = F.concat(para, F.repeat(F.lit("> "), F.greatest("quotes", F.lit(0)).cast("int")))
+    below = F.concat(F.lit("\n"), F.repeat(F.lit("  "), F.col("depth").cast("int")))  # a further block of a list item
     matched = F.coalesce(
         F.when(is_open, F.col("pair_next") == "close").when(is_close, F.col("pair_prev") == "open"), F.lit(False))
     target = F.when(is_close, F.col("pair_target")).otherwise(F.col("target"))
@@ -456,18 +466,20 @@ def markdown_of(pages: DataFrame, carry: list[str], image_mode: str = "link") ->
             row_open & ~tag.isin("tr", "thead", "tbody", "tfoot") & ~(outer & tag.isin("td", "th")), F.lit(" "),
         ).otherwise(empty))
         .when(tag.isin(rules.HEADING_TAGS) & is_open,
-              F.concat(para, F.repeat(F.lit("#"), F.substring(tag, 2, 1).cast("int")), F.lit(" ")))
+              F.concat(quoted, F.repeat(F.lit("#"), F.substring(tag, 2, 1).cast("int")), F.lit(" ")))
         .when(tag.isin("ul", "ol"), F.when(
             (is_open & (F.col("depth") <= 1)) | (is_close & (F.col("depth") <= 0)), para).otherwise(empty))
         .when(tag == "li", F.when(is_open, F.concat(F.lit("\n"), indent, item)).otherwise(empty))
         .when(tag == "br", F.lit("  \n"))
         .when(tag == "hr", F.lit("\n\n---\n\n"))
-        .when((tag == "blockquote") & is_open, F.lit("\n\n> "))
+        .when((tag == "blockquote") & is_open, F.when(F.col("before_block"), empty).otherwise(quoted))
         .when(tag == "img", F.coalesce(image, empty))
         .when(tag == "a", F.when(~matched | target.isNull(), empty).when(is_open, F.lit("[")).otherwise(
             F.concat(F.lit("]("), target, F.lit(")"))))
         .when(F.col("marker").isNotNull(), F.when(matched, F.col("marker")).otherwise(empty))
-        .when(block & (F.col("depth") <= 0), para)
+        .when(block & (F.col("depth") <= 0), F.when(is_open, quoted).otherwise(para))
+        .when(block & is_open & ~F.col("after_li"), below)
+        .when(block & is_close & ~F.col("before_block"), below)
         .otherwise(empty)
     )
     pieces = toks.select("page_id", "pos", "page", out.alias("p")).where((F.col("p") != "") | (F.col("pos") == 0))

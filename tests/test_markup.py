@@ -79,6 +79,17 @@ def test_title_falls_back_to_heading(spark):
     assert mk.html_metadata(pages(spark, "<h1>The <b>one</b></h1><p>x")).first().title == "The one"
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<ul><li><p>One</p><p>Two</p></li><li>\n<div>a</div>b</li></ul>", "- One\n  Two\n- a\n  b"),
+    ("<blockquote><p>one</p><p>two</p></blockquote><p>out</p>", "> one\n\n> two\n\nout"),
+    ("<blockquote>bare</blockquote>x", "> bare\n\nx"),
+    ('<p>Go <a title="a > b" href="/x">there</a> <b class=\'1 > 0\'>loud</b></p>', "Go [there](http://host.example/x) **loud**"),
+    ("<p>&check; &copy &#150; &notit; &amp;lt;</p>", "✓ © – ¬it; &lt;"),
+])
+def test_blocks_quotes_and_references(spark, page, want):
+    assert markdown(spark, page) == want
+
+
 def test_base_url(spark):
     page = "<html><head><base href='https://b.example/x/'></head><a href='page.html'>p</a></html>"
     assert mk.extract_links(pages(spark, page)).first().href_resolved == "https://b.example/x/page.html"
