@@ -213,7 +213,9 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
             head = block.find(b"\r\n\r\n") if block.startswith(b"HTTP/") else -1
             body = block[head + 4:] if head >= 0 else block
             if kind == "revisit":
-                size, digest, body = int(fields.get("x-payload-length") or 0), fields.get("warc-payload-digest", "")[5:], None
+                stated = fields.get("x-payload-length", "")
+                size = int(stated) if re.fullmatch("[0-9]{1,15}", stated) else None
+                digest, body = fields.get("warc-payload-digest", "").removeprefix("sha1:") or None, None
             else:
                 size, digest = len(body), _sha1(body)
             yield (path, start, end, None, _page(fields.get("warc-record-id")), fields.get("warc-target-uri"), kind,
