@@ -249,21 +249,53 @@ def _equal_runs(a: np.ndarray, b: np.ndarray, shift: int, least: int) -> list[tu
     return [(int(x) + lo, int(y) + lo) for x, y in edge.reshape(-1, 2) if y - x >= least]
 
 
+def _paired(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of equal values; of a value that either has several times the k-th ones belong together."""
+
+    def numbered(v: np.ndarray) -> list[tuple[int, int]]:
+        seen: dict[int, int] = {}
+        out = []
+        for x in v.tolist():
+            seen[x] = seen.get(x, -1) + 1
+            out.append((x, seen[x]))
+        return out
+
+    at = {x: j for j, x in enumerate(numbered(b))}
+    both = [(i, at[x]) for i, x in enumerate(numbered(a)) if x in at]
+    i, j = np.array(both, np.int64).reshape(-1, 2).T
+    return i, j
+
+
 def _alike(a: np.ndarray, b: np.ndarray, least: int, similarity: float) -> tuple[int, int] | None:
-    """The stretch of `a` that best matches `b`, if it is long and similar enough."""
-    found = np.isin(a, b)
-    if found.sum() < least * similarity:
+    """The stretch of `a` that is long and similar enough to one of `b` and has the most shingles in common with it.
+
+    It begins and ends with a common shingle: shorter ones are not filled up with what
+    stands beside them. Growing two stretches by a pair of equal shingles never makes
+    them less similar, so only those from the begin of a run of pairs to the end of one
+    are looked at, all of them.
+    """
+    if len(a) < least or np.isin(a, b).sum() < least * similarity:
+        return None
+    i, j = _paired(a, b)
+    if len(i) < least * similarity:
         return None
-    miss = 2 * similarity / (1 - similarity)  # below similarity, misses weigh more than hits
-    total = np.concatenate([[0], np.cumsum(np.where(found, 1.0, -miss))])
-    start = np.minimum.accumulate(total)
-    y = int(np.argmax(total - start))
-    x = int(np.flatnonzero(total[:y + 1] == start[y])[-1])
-    if y - x < least:
+    step = (np.diff(i) == 1) & (np.diff(j) == 1)
+    begins, ends = np.append(True, ~step), np.append(~step, True)
+    xs, ys, us, vs = np.unique(i[begins]), np.unique(i[ends]) + 1, np.unique(j[begins]), np.unique(j[ends]) + 1
+    points = np.zeros((len(a) + 1, len(b) + 1), np.int32)
+    points[i + 1, j + 1] = 1
+    points = points.cumsum(axis=0).cumsum(axis=1)
+    x, y = (g.ravel() for g in np.meshgrid(xs, ys, indexing="ij"))
+    u, v = (g.ravel() for g in np.meshgrid(us, vs, indexing="ij"))
+    long, some = y - x >= least, v > u
+    x, y, u, v = x[long], y[long], u[some], v[some]
+    common = points[y][:, v] - points[x][:, v] - points[y][:, u] + points[x][:, u]
+    size = (y - x)[:, None] + (v - u)[None, :]
+    fits = common * (1 + similarity) >= similarity * size - 1e-9
+    if not fits.any():
         return None
-    where = np.flatnonzero(np.isin(b, a[x:y]))
-    one, other = set(a[x:y].tolist()), set(b[where[0]:where[-1] + 1].tolist())
-    return (x, y) if len(one & other) >= similarity * len(one | other) else None
+    best = int(np.where(fits, common * 1024 - size, -(1 << 30)).argmax()) // len(u)
+    return int(x[best]), int(y[best])
 
 
 def check_piece(a: np.ndarray, b: np.ndarray, a0: int, b0: int, windows: list[tuple[int, int, int]], width: int,

@@ -130,3 +130,52 @@ def test_cut(spark):
 @pytest.mark.parametrize("text,spans,want", [("a b c d", [(1, 3)], "a d"), (" a\nb  c", [(0, 3)], ""), ("a b c d", [(0, 2), (1, 3)], "d"), ("é ü ö", [(1, 2)], "é ö")])
 def test_without_words(text, spans, want):
     assert P.without_words(text, spans) == want
+
+
+def most_alike(a, b, least):
+    """The highest similarity of a stretch of at least `least` shingles of `a`, from a common one to a common one, and any of `b`, by trying all."""
+    return max((len(x & y) / len(x | y) for i in range(len(a)) for k in range(i + least, len(a) + 1) if a[i] in b and a[k - 1] in b for x in [set(a[i:k])]
+                for p in range(len(b)) for q in range(p + 1, len(b) + 1) for y in [set(b[p:q])]), default=0)
+
+
+def test_similar_stretch_around_changes_in_the_middle():
+    rng = random.Random(10)
+    for n in (50, 60, 70, 80, 90):
+        for changes in ((n // 2,), (n // 2, n // 2 + 2), (n // 3, 2 * n // 3), (n // 2 - 1, n // 2)):
+            one = words(rng, n)
+            other = [f"new{i}" if i in changes else w for i, w in enumerate(one)]
+            a, b = (P.shingles(" ".join(t)) for t in (other, one))
+            whole = len(set(a) & set(b)) / len(set(a) | set(b))
+            got = P._alike(a, b, 46, 0.8)
+            assert got == (0, n - 4) if whole >= 0.8 else got is None or got[1] - got[0] >= 46
+
+
+def test_similar_stretch_against_all_stretches():
+    rng = random.Random(11)
+    seen = set()
+    for _ in range(60):
+        one = words(rng, 18)
+        other = list(one)
+        for _ in range(rng.randint(1, 2)):
+            at = rng.randrange(len(other))
+            other[at:at + rng.randint(0, 1)] = words(rng, rng.randint(0, 2))
+        other = words(rng, rng.randint(0, 3)) + other + words(rng, rng.randint(0, 3))
+        a, b = (P.shingles(" ".join(t), 2) for t in (other, one))
+        got = P._alike(a, b, 12, 0.8)
+        assert (got is not None) == (most_alike(a.tolist(), b.tolist(), 12) >= 0.8)
+        seen.add(got is not None)
+    assert seen == {True, False}
+
+
+def test_changed_word_in_the_middle_of_a_short_passage(spark):
+    rng = random.Random(12)
+    rows, want = [], {}
+    for d in range(40):
+        n = rng.choice((60, 70, 80, 90))
+        one = words(rng, n)
+        other = [*one[:n // 2], "changed", *one[n // 2 + 1:]]
+        rows += [(d, " ".join(words(rng, 30) + one + words(rng, 30))), (100 + d, " ".join(words(rng, 20) + other + words(rng, 20)))]
+        want[100 + d] = set(range(20, 20 + n))
+    got = covered(P.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert set(got) <= set(want) and len(got) >= 34  # candidates come from hashes
+    assert all(len(want[d] & got[d]) >= 50 and len(got[d] - want[d]) <= 5 for d in got)
