@@ -10,8 +10,9 @@ functions give two such signatures, and passages that agree on either meet.
 Windows of one signature are checked against the earliest one only, so a passage that
 a third of the corpus shares costs one check each and no pairs. Where the whole
 stretches are equal a hash of them tells; else the shingles of both are compared.
-Those that fail go round again under finer signatures (where they leave the earliest one, to the left and
-to the right); two texts with a common passage always share one of these.
+Those that differ, further windows of the earliest text too, go round again under
+finer signatures (where they leave the earliest one, to the left and to the right);
+two texts with a common passage always share one of these.
 """
 
 from __future__ import annotations
@@ -164,9 +165,11 @@ def _windows(docs: DataFrame, width: int, shingle: int) -> DataFrame:
 _LED = "kind int, doc long, other long, key long, place long, place2 long, body int, equal boolean"
 
 
-def _led(windows: DataFrame, bodies: bool) -> DataFrame:
+def _led(windows: DataFrame, bodies: bool, within: bool = False) -> DataFrame:
     """doc, other, key, place, place2, equal: windows whose signature an earlier document has, with its earliest window.
 
+    With `within`, also the further windows of that document itself, unless they are equal to its earliest one.
+
     One range partitioning by signature, document and place brings the earliest window
     of a signature to the front of its rows. As the sort key goes beyond the signature,
     rows of a frequent one fill several partitions; each then takes the front row of its
@@ -203,8 +206,10 @@ def _led(windows: DataFrame, bodies: bool) -> DataFrame:
                 yield front((first, doc2[0], place2[0], body2[0]))
             lead = (key[-1], doc2[-1], place2[-1], body2[-1])
             edge = key == first
-            out = (doc != doc2) | edge
             equal = (body == body2) & (place & 16383 == place2 & 16383) if bodies else np.zeros(len(key), bool)
+            out = (doc != doc2) | edge
+            if within:
+                out |= (place != place2) & ~equal
             yield batch(edge[out].astype(np.int32), *(c[out] for c in (doc, doc2, key, place, place2, body, equal)))
         if lead is not None:
             yield front(lead)
@@ -217,7 +222,8 @@ def _led(windows: DataFrame, bodies: bool) -> DataFrame:
     # two front rows a partition at most are broadcast
     edges = out.where("kind = 1").select("doc", "key", "place", "body").join(F.broadcast(fronts), "key").select(
         "doc", F.col("lead.doc").alias("other"), "key", "place", F.col("lead.place").alias("place2"), same.alias("equal"))
-    return out.where("kind = 0").select(columns).unionByName(edges.where("doc != other"))
+    return out.where("kind = 0").select(columns).unionByName(
+        edges.where("doc != other or place != place2 and not equal" if within else "doc != other"))
 
 
 _REACH = 96  # shingles that a window may reach beyond its chunk, on either side
@@ -300,7 +306,9 @@ def _alike(a: np.ndarray, b: np.ndarray, least: int, similarity: float) -> tuple
 
 def check_piece(a: np.ndarray, b: np.ndarray, a0: int, b0: int, windows: list[tuple[int, int, int]], width: int,
                 similarity: float) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Passages of one piece that occur in another; finer signatures of windows without one.
+    """Passages of one piece that occur in another; finer signatures of windows that differ from theirs.
+
+    Those with a passage have finer ones too: a later text may share with them what the other piece lacks.
 
     `a`, `b`: shingles of the pieces; a0, b0: positions of their first ones;
     windows: (key, place in a, place in b). Passages are (first, last + 1) shingle.
@@ -312,13 +320,11 @@ def check_piece(a: np.ndarray, b: np.ndarray, a0: int, b0: int, windows: list[tu
         if shift not in runs:
             runs[shift] = _equal_runs(a, b, shift, width)
             spans += [(x + a0, y + a0) for x, y in runs[shift]]
-        if any(x <= at < y for x, y in runs[shift]):
-            continue
         lo, hi = max(0, at - (place >> 7 & 127)), at + (place & 127) + 1
-        near = _alike(a[lo:hi], b[max(0, bt - (other >> 7 & 127)):bt + (other & 127) + 1], width, similarity)
-        if near:
-            spans.append((near[0] + lo + a0, near[1] + lo + a0))
-            continue
+        if not any(x <= at < y for x, y in runs[shift]):
+            near = _alike(a[lo:hi], b[max(0, bt - (other >> 7 & 127)):bt + (other & 127) + 1], width, similarity)
+            if near:
+                spans.append((near[0] + lo + a0, near[1] + lo + a0))
         for sign in (-1, 1):  # how far both agree from the minimum on, and the shingle of `a` where they part
             x, y = at, bt
             while 0 <= x < len(a) and 0 <= y < len(b) and a[x] == b[y] and abs(x - at) < width:
@@ -340,7 +346,8 @@ def _checked(units: DataFrame, width: int, similarity: float, chunk: int) -> Dat
                 spans, finer = check_piece(
                     np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), max(0, piece * chunk - _REACH),
                     max(0, piece2 * chunk - _REACH), [(w["key"], w["place"], w["place2"]) for w in windows], width, similarity)
-                rows += [(doc, other, s, e, None, None) for s, e in spans]
+                if doc != other:
+                    rows += [(doc, other, s, e, None, None) for s, e in spans]
                 rows += [(doc, None, None, None, k, p) for k, p in finer]
             cols = list(zip(*rows)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols],
@@ -368,7 +375,7 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, similarity: float
     windows, bodies = stored(_windows(plain, width, shingle), "windows"), True
     found, content = None, None
     while True:
-        pair = _led(windows, bodies)
+        pair = _led(windows, bodies, True)
         whole = pair.where("equal").select("doc", "other", F.expr("(place >> 14) - (place >> 7 & 127)").alias("first"),
                                            F.expr("(place >> 14) + (place & 127) + 1").alias("last"))
         units = stored(pair.where("not equal").groupBy(

@@ -179,3 +179,21 @@ def test_changed_word_in_the_middle_of_a_short_passage(spark):
     got = covered(P.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect())
     assert set(got) <= set(want) and len(got) >= 34  # candidates come from hashes
     assert all(len(want[d] & got[d]) >= 50 and len(got[d] - want[d]) <= 5 for d in got)
+
+
+@pytest.mark.parametrize("first", ["same", "other"])
+def test_fragment_twice_before_the_copy(spark, first):
+    """The copied passage begins with a fragment that its document, or an earlier one with part of it, holds elsewhere too."""
+    rng = random.Random(13)
+    rows = []
+    for d in range(30):
+        before, fragment, after = words(rng, 45), words(rng, 44), words(rng, 6)
+        front = before + fragment + words(rng, 30)
+        middle = words(rng, 30) + (before if first == "other" else []) + fragment + after + words(rng, 30)
+        copy = words(rng, 30) + fragment + after + words(rng, 30)
+        texts = [front + middle, copy] if first == "same" else [front, middle, copy]
+        rows += [(100 * k + d, " ".join(t)) for k, t in enumerate(texts)]
+    got = covered(P.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect())
+    want = exact_repeats(dict(rows))
+    assert set(got) == set(want) and len(got) == (30 if first == "same" else 60)
+    assert all(want[d] <= got[d] for d in want)
