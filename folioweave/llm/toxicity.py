@@ -244,7 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 7)
     """Train on a bounded sample of labelled rows outside the held-out fold.
 
     The sample is at most `sample` rows, in the order of a hash of the id, and at
-    most SAMPLE_CHARS characters; whole texts. A fifth of it is kept back for the
+    most SAMPLE_CHARS characters; whole texts, those that no longer fit are passed over. A fifth of it is kept back for the
     thresholds. Null labels and rows without a text take no part. Without rows of
     both labels every score is the share of label 1 (0 if there are none).
     """
@@ -257,16 +257,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 7)
     # at most `sample` ids are broadcast
     rows = have.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").dropDuplicates(["doc_id"])
     rows = checkpointed(rows.withColumn("place", order))
-    total, last = 0, None
+    total, taken = 0, []
     for r in rows.select("place", "doc_id", F.length("text").alias("n")).orderBy("place", "doc_id").collect():
-        total += r["n"]
-        if total > SAMPLE_CHARS:
-            break
-        last = r
-    got = []
-    if last is not None:
-        got = rows.where((F.col("place") < last["place"]) | (F.col("place") == last["place"]) & (F.col("doc_id") <= last["doc_id"])).collect()
-        got.sort(key=lambda r: (r["place"], r["doc_id"]))
+        if total + r["n"] <= SAMPLE_CHARS:
+            total += r["n"]
+            taken.append(r["doc_id"])
+    got = rows.where(F.col("doc_id").isin(taken)).collect() if taken else []  # at most `sample` ids
+    got.sort(key=lambda r: (r["place"], r["doc_id"]))
     y = np.array([r["toxic"] for r in got], np.float32)
     if not len(y) or y.min() == y.max():
         net = Network.fresh(seed)

@@ -87,3 +87,16 @@ def test_edges(spark):
     assert X.score(docs, X.fit(docs, none)).where("tox_reject").count() == 0
     empty = spark.createDataFrame([], DOCS)
     assert Q.ranked(empty, labels).count() == 0 and X.drop_toxic(empty, labels).count() == 0
+
+
+def test_long_text_ends_no_sample(spark, monkeypatch):
+    """A labelled text beyond the character bound, first in the order of the sample, is passed over alone."""
+    from pyspark.sql import functions as F
+
+    ids = [r["id"] for r in spark.range(80).orderBy(F.xxhash64("id", F.lit(7))).collect() if fold(r["id"], X.FOLDS) != X.HELD_OUT]
+    monkeypatch.setattr(X, "SAMPLE_CHARS", 5000)
+    rows = [(i, "word " * 2000 if i == ids[0] else f"{'vile' if i % 2 else 'kind'} text {i}", "en", 1, "x") for i in range(80)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(80)], LABELS)
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r["doc_id"]: r["tox_reject"] for r in X.score(docs, X.fit(docs, labels)).collect()}
+    assert sum(got[i] == bool(i % 2) for i in ids[1:]) >= 0.9 * len(ids[1:])
