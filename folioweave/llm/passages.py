@@ -4,8 +4,8 @@ A text is a sequence of five-word shingles. For one hash function, the Cartesian
 over the shingles' hashes gives for each shingle the widest stretch in which it is the
 minimum: all passages inside that stretch and across that shingle share the min-hash,
 so one window stands for all of them. Windows of two functions whose stretches
-overlap in at least the passage length make a window with a joint signature; four
-functions give two such signatures, and passages that agree on either meet.
+overlap in at least the passage length make a window with a joint signature; eight
+functions give four such signatures, and passages that agree on any meet.
 
 Windows of one signature are checked against the earliest one only, so a passage that
 a third of the corpus shares costs one check each and no pairs. Where the whole
@@ -32,7 +32,7 @@ WORDS = 5                     # words of a shingle
 PASSAGE = 50                  # words of the shortest passage
 SIMILARITY = 0.8
 CHUNK = 512                   # shingles of a piece of text that travels to a check
-_BANDS = 2
+_BANDS = 4
 _WORD = re.compile(rb"[^ \t-\r]+")
 _U = np.uint64
 
@@ -362,7 +362,7 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, similarity: float
 
     A passage has at least `passage` words in a row and at least `similarity` of its
     `shingle`-word shingles in common with one of the document with the smaller
-    doc_id. Exactly repeated passages are always found, similar ones if one of two
+    doc_id. Exactly repeated passages are always found, similar ones if one of four
     joint min-hash signatures agrees. Overlapping passages from the same document are
     merged. Texts that are null, empty or shorter than a passage have none; rows with a
     null doc_id take no part; rows repeated under one doc_id are one document and not

@@ -197,3 +197,14 @@ def test_fragment_twice_before_the_copy(spark, first):
     want = exact_repeats(dict(rows))
     assert set(got) == set(want) and len(got) == (30 if first == "same" else 60)
     assert all(want[d] <= got[d] for d in want)
+
+
+def test_short_passages_at_the_limit_meet():
+    rng = np.random.default_rng(14)
+    met = 0
+    for _ in range(1000):
+        one = rng.integers(0, 2**63, 46).astype(np.uint64)
+        other = one.copy()
+        other[rng.choice(46, 5, False)] = rng.integers(0, 2**63, 5).astype(np.uint64)  # 41 / 51 = 0.804
+        met += bool(set(P.signatures([one], 46)[1].tolist()) & set(P.signatures([other], 46)[1].tolist()))
+    assert met >= 970
