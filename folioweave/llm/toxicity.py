@@ -31,7 +31,8 @@ SAMPLE = 4000           # labelled rows that are fitted, half of each label wher
 SAMPLE_CHARS = 16_000_000  # characters of whole texts that are fitted
 FOLDS = 5
 HELD_OUT = 0
-LEAST_PER_LANG = 40     # validation rows of each label that a language needs for a threshold of its own
+_CUTS = np.linspace(0.3, 0.7, 41)
+LEAST_PER_LANG = 40     # labelled rows of each label that a language needs for a threshold of its own
 _WORD = re.compile(r"\w+")
 _CACHE = 200_000        # distinct words whose filter responses a task keeps
 
@@ -220,11 +221,13 @@ class Scorer:
         return best
 
 
-def _threshold(scores: np.ndarray, labels: np.ndarray) -> float:
-    """Middle of the cut range with the most right answers, within 0.3 to 0.7."""
-    cuts = np.linspace(0.3, 0.7, 41)
-    right = np.array([((scores >= c) == (labels == 1)).mean() for c in cuts])
-    return float(cuts[right == right.max()].mean())
+def _threshold(counts: np.ndarray) -> float:
+    """Middle of the cut range with the most right answers, within 0.3 to 0.7.
+
+    `counts`: rows of each label (two lines) that reach 0, 1, .. all of the cuts.
+    """
+    right = counts[0].cumsum()[:-1] + counts[1][::-1].cumsum()[::-1][1:]
+    return float(_CUTS[right == right.max()].mean())
 
 
 def _shifted(scores: np.ndarray, cut: float) -> np.ndarray:
@@ -244,8 +247,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 7)
     """Train on a bounded sample of labelled rows outside the held-out fold.
 
     The sample is at most `sample` rows, in the order of a hash of the id, and at
-    most SAMPLE_CHARS characters; whole texts, those that no longer fit are passed over. A fifth of it is kept back for the
-    thresholds. Null labels and rows without a text take no part. Without rows of
+    most SAMPLE_CHARS characters; whole texts, those that no longer fit are passed over. The
+    thresholds come from all labelled rows outside the fold: from those that were not
+    fitted, and for a language with too few of them from the fitted ones too. A fifth
+    of the sample is not fitted. Null labels and rows without a text take no part. Without rows of
     both labels every score is the share of label 1 (0 if there are none).
     """
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(
@@ -276,17 +281,50 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 7)
     if len(set(y[fit_on])) < 2:
         fit_on = check = np.arange(len(got))
     net = train([got[i]["text"] for i in fit_on], y[fit_on], seed)
-    raw = Scorer(net)([got[i]["text"] for i in check])
-    cut = _threshold(raw, y[check])
-    scores, langs = _shifted(raw, cut), np.array([got[i]["lang"] or "" for i in check])
-    own = {}
-    for lang in sorted(set(langs) - {""}):
-        mine = langs == lang
-        if min((y[check][mine] == v).sum() for v in (0, 1)) >= LEAST_PER_LANG:
-            own[lang] = _threshold(scores[mine], y[check][mine])
+    fitted = [got[i]["doc_id"] for i in fit_on] if check is not fit_on else []
+    scored = checkpointed(_raw_scores(have.join(known, "doc_id"), net))
+    fresh = ~F.col("doc_id").isin(fitted) if fitted else F.lit(True)  # at most `sample` ids
+
+    def counted(cut: float) -> dict[tuple[str | None, bool], np.ndarray]:
+        """Per language and whether the rows are fresh: rows by label and number of cuts reached."""
+        odds = F.col("raw") / (1 - F.col("raw")) * ((1 - cut) / cut)
+        reached = sum(((odds / (1 + odds)) >= float(c)).cast("int") for c in _CUTS)
+        out: dict[tuple[str | None, bool], np.ndarray] = {}
+        for r in scored.groupBy("lang", fresh.alias("fresh"), "toxic", reached.alias("reached")).count().collect():
+            out.setdefault((r["lang"], r["fresh"]), np.zeros((2, len(_CUTS) + 1), np.int64))[r["toxic"], r["reached"]] += r["count"]
+        return out
+
+    cut = _threshold(sum(c for (_, new), c in counted(0.5).items() if new))
+    tables, own = counted(cut), {}
+    for lang in sorted({lang for lang, _ in tables if lang}):
+        some = [tables[lang, new] for new in (True, False) if (lang, new) in tables]
+        for mine in ([tables[lang, True]] if (lang, True) in tables else []) + [sum(some)]:
+            if mine.sum(axis=1).min() >= LEAST_PER_LANG:
+                own[lang] = _threshold(mine)
+                break
     return Model(net, cut, own)
 
 
+def _raw_scores(rows: DataFrame, net: Network) -> DataFrame:
+    """doc_id, lang, toxic, raw: one row per doc_id, its text scored whole."""
+    bound_batches(rows.sparkSession)
+    held = rows.sparkSession.sparkContext.broadcast(net)  # 12.6 MB, whatever the input
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(held.value)
+        for b in batches:
+            texts, raw = b.column(3), np.empty(b.num_rows)
+            for lo in range(0, len(texts), 256):
+                part = texts.slice(lo, 256).to_pylist()
+                for x, y in text_slices(part):
+                    raw[lo + x:lo + y] = scorer(part[x:y])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array(np.clip(raw, 1e-9, 1 - 1e-9))],
+                                             names=["doc_id", "lang", "toxic", "raw"])
+
+    out = rows.select("doc_id", "lang", "toxic", "text").mapInArrow(run, "doc_id long, lang string, toxic int, raw double")
+    return out.groupBy("doc_id").agg(F.min(F.struct("raw", "lang", "toxic")).alias("r")).select("doc_id", "r.lang", "r.toxic", "r.raw")
+
+
 def score(docs: DataFrame, model: Model, names: tuple[str, str] = ("tox_score", "tox_reject")) -> DataFrame:
     """`docs` with a score (0 to 1) and a rejection added; one pass, nothing is shuffled.
 

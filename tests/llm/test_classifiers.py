@@ -100,3 +100,13 @@ def test_long_text_ends_no_sample(spark, monkeypatch):
     docs = spark.createDataFrame(rows, DOCS)
     got = {r["doc_id"]: r["tox_reject"] for r in X.score(docs, X.fit(docs, labels)).collect()}
     assert sum(got[i] == bool(i % 2) for i in ids[1:]) >= 0.9 * len(ids[1:])
+
+
+def test_thresholds_from_all_labelled_rows(spark):
+    """A language with few rows in the fitting sample and many labelled ones has a threshold of its own; a rare one has none."""
+    rows = [(i, f"{'vile' if i % 2 else 'kind'} text {i}", "es" if i % 8 < 2 else "xx" if i % 100 == 4 else "en", 1, "x") for i in range(1200)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(1200)], LABELS)
+    model = X.fit(spark.createDataFrame(rows, DOCS), labels, sample=200)
+    assert set(model.thresholds) == {"en", "es"}
+    # all rows of both labels fitted or kept back: the fitted ones count where the others are too few
+    assert set(X.fit(spark.createDataFrame(rows, DOCS), labels).thresholds) == {"en", "es"}
