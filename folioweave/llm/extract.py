@@ -241,16 +241,19 @@ def _mass(e: list, fixed: bool) -> int:
 
 
 def region(e: list) -> list[str]:
-    """The way to the smallest container with nearly all of the changing text: labels, each with those of its members."""
+    """The way to the smallest container with all of the changing text: labels, each with those of its members.
+
+    An article or main element need only have nearly all of it.
+    """
     fixed = not _mass(e, False)
     path = []
     while True:
         groups = [m for m in e[1] if m[0] != "#"]
         tags = [m[0].split(".")[0] for m in groups]
-        best = [m for m, t in zip(groups, tags) if t in ("article", "main") and _mass(m, fixed)]
-        whole = _mass(e, fixed)
+        whole = max(1, _mass(e, fixed))
+        best = [m for m, t in zip(groups, tags) if t in ("article", "main") and _mass(m, fixed) >= 0.8 * whole]
         best = best or [m for m, t in zip(groups, tags) if t in ("html", "body", "div", "section", "article", "main", "center")
-                        and _mass(m, fixed) >= 0.8 * max(1, whole)]
+                        and _mass(m, fixed) >= whole]
         if not best:
             return path
         e = max(best, key=lambda m: _mass(m, fixed))

@@ -76,3 +76,20 @@ def test_sites(spark):
     assert [text[(i, p[1])] for i, p in enumerate(pages[:len(rows)])] == [t for _, _, t in rows]
     assert text[(None, None)] == "" and text[(900, "nonsense")] == "" and text[(901, None)] == "alone"
     assert X.extract_main_text(spark.createDataFrame([], PAGES)).count() == 0
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<body><h1>Title</h1><p>lead</p><div>%s</div></body>", "Title\nlead\n%s"),
+    ("<body><article class=teaser>short</article><div>%s</div></body>", "short\n%s"),
+    ("<body><article class=one>first text</article><article class=two>%s</article><article class=three>third text</article></body>", None),
+    ("<body><div><a href=/>Home</a></div><div><div>%s</div></div></body>", "%s"),
+])
+def test_text_beside_the_main_container_stays(page, want):
+    long = "word " * 15 + "end"
+    got = X.main_text(page % long, X.region(wrapper(page % long)), frozenset())
+    assert got == (want or "first text\n%s\nthird text") % long
+    few = [page.replace("Title", f"Title {i}").replace("lead", f"lead {i}").replace("short", f"short {i}") % f"{long} {i}" for i in range(12)]
+    path = X.region(wrapper(*few))
+    for i, p in enumerate(few):
+        assert f"{long} {i}" in X.main_text(p, path, frozenset())
+        assert not want or ("Title" not in page or X.main_text(p, path, frozenset()).startswith(f"Title {i}\nlead {i}\n"))
