@@ -68,3 +68,21 @@ def fold_of(c: str, parts: int) -> Column:
 def as_document(docs: DataFrame) -> DataFrame:
     """doc_id and text alone: other columns cannot clash with those the operators add."""
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def free_names(columns: Sequence[str], *wanted: str) -> list[str]:
+    """The wanted names, lengthened until none is that of a column (Spark does not tell upper from lower case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def forget(spark: SparkSession, *paths: str) -> None:
+    """Delete intermediate tables whose readers have written their results."""
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

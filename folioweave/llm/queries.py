@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioweave.llm import chats, decontam, extract, mixing, passages, quality, simhash, topk, toxicity, warc
-from folioweave.llm.common import fold_of, table
+from folioweave.llm import chats, decontam, extract, mixing, passages, quality, resharding, simhash, topk, toxicity, warc
+from folioweave.llm.common import fold_of, table, text_of
 from folioweave.session import shared_dir
 
 
@@ -64,6 +64,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op13_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents laid out by source and dealt anew to eight shards of equal bytes; read back from the files."""
+    layout = resharding.resharded(table(spark, sf_dir, "documents"), shared_dir(spark, "layout"))
+    rows = layout.slots(F.col("doc_id").cast("bigint").alias("doc_id"), F.crc32(text_of().cast("binary")).alias("text_crc32"))
+    return rows.select("doc.doc_id", "size", "doc.text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("bigint").alias("slot"),
+                       F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {
     "op1_quality": (op1_quality, None),
     "op2_mixing": (op2_mixing, mixing.mix_sql(mixing.PRODUCTION)),
@@ -75,4 +83,5 @@ QUERIES = {
     "op8_toxicity": (op8_toxicity, None),
     "op9_decontam": (op9_decontam, None),
     "op10_simhash": (op10_simhash, None),
+    "op13_resharding": (op13_resharding, None),
 }
