@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioweave.llm import chats, decontam, extract, mixing, passages, quality, resharding, simhash, topk, toxicity, warc
+from folioweave.llm import chats, decontam, extract, mixing, passages, quality, resharding, simhash, topk, toxicity, warc, whitening
 from folioweave.llm.common import fold_of, table, text_of
 from folioweave.session import shared_dir
 
@@ -64,6 +64,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the 32 largest components of all vectors."""
+    rows = whitening.integer_rows(table(spark, sf_dir, "embeddings"))
+    model = whitening.fit(rows)
+    return whitening.whitened(rows, model).withColumn("identity_error", F.lit(whitening.identity_error(rows, model)))
+
+
 def op13_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents laid out by source and dealt anew to eight shards of equal bytes; read back from the files."""
     layout = resharding.resharded(table(spark, sf_dir, "documents"), shared_dir(spark, "layout"))
@@ -83,5 +90,6 @@ QUERIES = {
     "op8_toxicity": (op8_toxicity, None),
     "op9_decontam": (op9_decontam, None),
     "op10_simhash": (op10_simhash, None),
+    "op12_whitening": (op12_whitening, None),
     "op13_resharding": (op13_resharding, None),
 }
