@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioweave.llm import chats, decontam, extract, mixing, passages, quality, resharding, simhash, topk, toxicity, warc, whitening
+from folioweave.llm import alignment, chats, decontam, extract, mixing, passages, quality, resharding, simhash, topk, toxicity, warc, whitening
 from folioweave.llm.common import fold_of, table, text_of
 from folioweave.session import shared_dir
 
@@ -64,6 +64,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document under the byte-level and the piece tokenizer."""
+    return alignment.aligned(table(spark, sf_dir, "documents"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector on the 32 largest components of all vectors."""
     rows = whitening.integer_rows(table(spark, sf_dir, "embeddings"))
@@ -90,6 +95,7 @@ QUERIES = {
     "op8_toxicity": (op8_toxicity, None),
     "op9_decontam": (op9_decontam, None),
     "op10_simhash": (op10_simhash, None),
+    "op11_alignment": (op11_alignment, None),
     "op12_whitening": (op12_whitening, None),
     "op13_resharding": (op13_resharding, None),
 }
