@@ -48,8 +48,7 @@ def op7_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    found = toxicity.score(docs, toxicity.fit(docs, labels))
+    found = toxicity.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
     return found.select(
         "doc_id", (fold_of("doc_id", toxicity.FOLDS) == toxicity.HELD_OUT).alias("held_out"),
         F.col("tox_score").alias("score"), (F.col("tox_score") >= 0.5).cast("int").alias("predicted"), "tox_reject")

@@ -17,11 +17,11 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioweave.llm.common import bound_batches, checkpointed, fold_of, text_slices
+from folioweave.llm.common import bound_batches, checkpointed, fold_of, free_names, stored, text_slices
 
 ROWS = 1 << 16          # embedding rows of each of the three tables
 DIM = 16
@@ -230,12 +230,6 @@ def _threshold(counts: np.ndarray) -> float:
     return float(_CUTS[right == right.max()].mean())
 
 
-def _shifted(scores: np.ndarray, cut: float) -> np.ndarray:
-    """The monotone map on 0..1 that takes `cut` to a half."""
-    s = np.clip(scores, 1e-9, 1 - 1e-9)
-    return 1 / (1 + (1 - s) / s * cut / (1 - cut))
-
-
 @dataclass
 class Model:
     net: Network
@@ -243,25 +237,28 @@ class Model:
     thresholds: dict[str, float]  # of the final score, by language
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 7) -> Model:
-    """Train on a bounded sample of labelled rows outside the held-out fold.
-
-    The sample is at most `sample` rows, in the order of a hash of the id, and at
-    most SAMPLE_CHARS characters; whole texts, those that no longer fit are passed over. The
-    thresholds come from all labelled rows outside the fold: from those that were not
-    fitted, and for a language with too few of them from the fitted ones too. A fifth
-    of the sample is not fitted. Null labels and rows without a text take no part. Without rows of
-    both labels every score is the share of label 1 (0 if there are none).
-    """
-    known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(
+def _known(labels: DataFrame) -> DataFrame:
+    """doc_id, toxic of the labelled rows outside the held-out fold; of contradicting ones the toxic one holds."""
+    return labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(
         "toxic in (0, 1)").where(fold_of("doc_id", FOLDS) != HELD_OUT).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
+def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 7) -> tuple[Network, list[int] | None]:
+    """The network, and the ids whose texts it was fitted to (None: all of a sample too small to hold any back).
+
+    The sample is at most `sample` labelled rows outside the held-out fold, in the order
+    of a hash of the id, and at most SAMPLE_CHARS characters; whole texts, those that no
+    longer fit are passed over. A fifth of it is not fitted. Of rows repeated under one
+    id with different texts the one whose text has the smallest hash counts.
+    """
+    known = _known(labels)
     order = F.xxhash64("doc_id", F.lit(seed))
     picked = [known.where(f"toxic = {v}").orderBy(order, "doc_id").limit(sample // 2) for v in (0, 1)]
-    have = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
-                       F.col("lang").cast("string").alias("lang")).where("text is not null")
+    have = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     # at most `sample` ids are broadcast
-    rows = have.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").dropDuplicates(["doc_id"])
-    rows = checkpointed(rows.withColumn("place", order))
+    rows = have.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").groupBy("doc_id", "toxic").agg(
+        F.min(F.struct(F.xxhash64("text").alias("hash"), F.col("text").alias("text"))).alias("r"))
+    rows = checkpointed(rows.select("doc_id", "toxic", "r.text").withColumn("place", order))
     total, taken = 0, []
     for r in rows.select("place", "doc_id", F.length("text").alias("n")).orderBy("place", "doc_id").collect():
         if total + r["n"] <= SAMPLE_CHARS:
@@ -275,14 +272,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 7)
         net.out[:] = 0
         share = float(y.mean()) if len(y) else 0.0
         net.base = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
-        return Model(net, 0.5, {})
-    back = np.arange(len(got)) % 5 == 0
-    fit_on, check = np.flatnonzero(~back), np.flatnonzero(back)
+        return net, []
+    fit_on = np.flatnonzero(np.arange(len(got)) % 5 != 0)
     if len(set(y[fit_on])) < 2:
-        fit_on = check = np.arange(len(got))
-    net = train([got[i]["text"] for i in fit_on], y[fit_on], seed)
-    fitted = [got[i]["doc_id"] for i in fit_on] if check is not fit_on else []
-    scored = checkpointed(_raw_scores(have.join(known, "doc_id"), net))
+        return train([r["text"] for r in got], y, seed), None
+    return train([got[i]["text"] for i in fit_on], y[fit_on], seed), [got[i]["doc_id"] for i in fit_on]
+
+
+def calibrated(net: Network, fitted: list[int] | None, raw: DataFrame, labels: DataFrame) -> Model:
+    """Cut and thresholds from all labelled rows outside the fold that were not fitted.
+
+    `raw`: doc_id, lang, raw (the network's score) of all rows; only these narrow rows
+    are joined with the labels. A language with too few rows of a label takes the fitted
+    ones too. Without rows of both labels there is nothing to calibrate.
+    """
+    if not net.out.any():
+        return Model(net, 0.5, {})
+    scored = checkpointed(raw.groupBy("doc_id").agg(F.min(F.struct("raw", "lang")).alias("r")).select(
+        "doc_id", "r.lang", "r.raw").join(_known(labels), "doc_id"))
     fresh = ~F.col("doc_id").isin(fitted) if fitted else F.lit(True)  # at most `sample` ids
 
     def counted(cut: float) -> dict[tuple[str | None, bool], np.ndarray]:
@@ -294,7 +301,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 7)
             out.setdefault((r["lang"], r["fresh"]), np.zeros((2, len(_CUTS) + 1), np.int64))[r["toxic"], r["reached"]] += r["count"]
         return out
 
-    cut = _threshold(sum(c for (_, new), c in counted(0.5).items() if new))
+    every = [c for (_, new), c in counted(0.5).items() if new]
+    if not every:
+        return Model(net, 0.5, {})
+    cut = _threshold(sum(every))
     tables, own = counted(cut), {}
     for lang in sorted({lang for lang, _ in tables if lang}):
         some = [tables[lang, new] for new in (True, False) if (lang, new) in tables]
@@ -305,60 +315,81 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 7)
     return Model(net, cut, own)
 
 
-def _raw_scores(rows: DataFrame, net: Network) -> DataFrame:
-    """doc_id, lang, toxic, raw: one row per doc_id, its text scored whole."""
-    bound_batches(rows.sparkSession)
-    held = rows.sparkSession.sparkContext.broadcast(net)  # 12.6 MB, whatever the input
+def _with_raw(docs: DataFrame, net: Network, keep: list[str], name: str, lang: str) -> DataFrame:
+    """The columns `keep` of `docs`, the score of the network, and the language; texts are scored whole, nothing is shuffled."""
+    spark = docs.sparkSession
+    bound_batches(spark)
+    held = spark.sparkContext.broadcast(net)  # ROWS * DIM * 3 floats, 12.6 MB, whatever the input
+    plain = [f"c{i}" for i in range(len(keep))]  # names with dots cannot travel
+    wanted = docs.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(keep, plain)], F.col("text").cast("string").alias("text"),
+                         (F.col("lang") if "lang" in docs.columns else F.lit(None)).cast("string").alias("lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(held.value)
         for b in batches:
-            texts, raw = b.column(3), np.empty(b.num_rows)
+            texts, raw = b.column(len(keep)), np.empty(b.num_rows)
             for lo in range(0, len(texts), 256):
                 part = texts.slice(lo, 256).to_pylist()
                 for x, y in text_slices(part):
                     raw[lo + x:lo + y] = scorer(part[x:y])
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array(np.clip(raw, 1e-9, 1 - 1e-9))],
-                                             names=["doc_id", "lang", "toxic", "raw"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], pa.array(np.clip(raw, 1e-9, 1 - 1e-9)), b.column(len(keep) + 1)],
+                                             names=[*plain, "raw", "lang"])
 
-    out = rows.select("doc_id", "lang", "toxic", "text").mapInArrow(run, "doc_id long, lang string, toxic int, raw double")
-    return out.groupBy("doc_id").agg(F.min(F.struct("raw", "lang", "toxic")).alias("r")).select("doc_id", "r.lang", "r.toxic", "r.raw")
+    schema = T.StructType([*[T.StructField(p, docs.schema[c].dataType) for c, p in zip(keep, plain)],
+                           T.StructField("raw", T.DoubleType()), T.StructField("lang", T.StringType())])
+    return wanted.mapInArrow(run, schema).toDF(*keep, name, lang)
 
 
-def score(docs: DataFrame, model: Model, names: tuple[str, str] = ("tox_score", "tox_reject")) -> DataFrame:
-    """`docs` with a score (0 to 1) and a rejection added; one pass, nothing is shuffled.
+def _judged(model: Model, raw: str, lang: str) -> tuple[Column, Column]:
+    """Final score and rejection as column expressions over the network's score."""
+    odds = (1 - F.col(raw)) / F.col(raw) * (model.cut / (1 - model.cut))
+    score = 1 / (1 + odds)
+    cut = F.lit(0.5)
+    if model.thresholds:
+        by = F.create_map(*[F.lit(v) for pair in model.thresholds.items() for v in pair])
+        cut = F.coalesce(F.try_element_at(by, F.col(lang)), cut)
+    return score, score >= cut
+
+
+def classified(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, names: tuple[str, str] = ("tox_score", "tox_reject"),
+               sample: int = SAMPLE) -> DataFrame:
+    """The columns `keep` of `docs` (all) with a score and a rejection; every text is scored once.
 
-    Every row is scored whole, a null text as an empty one. A row is rejected at the
-    threshold of its language, 0.5 where the language is null or had too few labels.
-    Columns of those names are replaced.
+    What the network says is written beside the kept columns; the thresholds and the
+    results are taken from there. A null text counts as empty. A row is rejected at the
+    threshold of its language, 0.5 where that is null or had too few labels. Kept columns
+    of those names are replaced.
     """
-    spark = docs.sparkSession
-    bound_batches(spark)
-    held = spark.sparkContext.broadcast(model)  # ROWS * DIM * 3 floats, 12.6 MB, whatever the input
-    plain = docs.drop(*names)
-    text_at, lang_at = plain.columns.index("text"), plain.columns.index("lang") if "lang" in plain.columns else None
-    every = [*plain.columns, *names]
+    keep = [c for c in (keep or docs.columns) if c not in names]
+    raw, lang, doc = free_names([*keep, *names], "tox_raw", "tox_lang", "tox_doc")
+    net, fitted = trained(docs, labels, sample)
+    table = stored(_with_raw(docs.withColumn(doc, F.col("doc_id").cast("bigint")), net, [*keep, doc], raw, lang), "toxicity")
+    model = calibrated(net, fitted, table.select(F.col(doc).alias("doc_id"), F.col(lang).alias("lang"), F.col(raw).alias("raw")), labels)
+    score, reject = _judged(model, raw, lang)
+    return table.select(*[F.col(f"`{c}`") for c in keep], score.alias(names[0]), reject.alias(names[1]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
-        scorer = Scorer(m.net)
-        for b in batches:
-            texts = b.column(text_at)
-            raw = np.empty(len(texts))
-            for lo in range(0, len(texts), 256):
-                part = texts.slice(lo, 256).to_pylist()
-                for x, y in text_slices(part):
-                    raw[lo + x:lo + y] = scorer(part[x:y])
-            s = _shifted(raw, m.cut)
-            langs = b.column(lang_at).to_pylist() if lang_at is not None else [None] * len(s)
-            cuts = np.array([m.thresholds.get(x, 0.5) for x in langs])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array(s >= cuts)], names=every)
 
-    schema = T.StructType([*plain.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.BooleanType())])
-    return plain.mapInArrow(run, schema)
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 7) -> Model:
+    """A model for other tables: trained on a bounded sample, calibrated on all labelled rows outside the held-out fold.
+
+    Null labels and rows without a text take no part. Without rows of both labels every
+    score is the share of label 1 (0 if there are none).
+    """
+    net, fitted = trained(docs, labels, sample, seed)
+    narrow = stored(_with_raw(docs.withColumn("doc_id", F.col("doc_id").cast("bigint")), net, ["doc_id"], "raw", "lang"), "toxicity")
+    return calibrated(net, fitted, narrow, labels)
+
+
+def score(docs: DataFrame, model: Model, names: tuple[str, str] = ("tox_score", "tox_reject")) -> DataFrame:
+    """`docs` with a score (0 to 1) and a rejection added; one pass, nothing is shuffled. Columns of those names are replaced."""
+    keep = [c for c in docs.columns if c not in names]
+    raw, lang = free_names([*keep, *names], "tox_raw", "tox_lang")
+    found = _with_raw(docs, model.net, keep, raw, lang)
+    score_, reject = _judged(model, raw, lang)
+    return found.select(*[F.col(f"`{c}`") for c in keep], score_.alias(names[0]), reject.alias(names[1]))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs` that the classifier does not reject, all their columns."""
-    found = score(docs, fit(docs, labels), ("_tox_score", "_tox_reject"))
-    return found.where("not _tox_reject").select(*docs.columns)
+    """The rows of `docs` that the classifier does not reject, all their columns, whatever these are called."""
+    names = free_names(docs.columns, "tox_score", "tox_reject")
+    return classified(docs, labels, names=tuple(names)).where(~F.col(names[1])).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from folioweave.llm import quality as Q
 from folioweave.llm import queries
@@ -91,8 +92,6 @@ def test_edges(spark):
 
 def test_long_text_ends_no_sample(spark, monkeypatch):
     """A labelled text beyond the character bound, first in the order of the sample, is passed over alone."""
-    from pyspark.sql import functions as F
-
     ids = [r["id"] for r in spark.range(80).orderBy(F.xxhash64("id", F.lit(7))).collect() if fold(r["id"], X.FOLDS) != X.HELD_OUT]
     monkeypatch.setattr(X, "SAMPLE_CHARS", 5000)
     rows = [(i, "word " * 2000 if i == ids[0] else f"{'vile' if i % 2 else 'kind'} text {i}", "en", 1, "x") for i in range(80)]
@@ -110,3 +109,45 @@ def test_thresholds_from_all_labelled_rows(spark):
     assert set(model.thresholds) == {"en", "es"}
     # all rows of both labels fitted or kept back: the fitted ones count where the others are too few
     assert set(X.fit(spark.createDataFrame(rows, DOCS), labels).thresholds) == {"en", "es"}
+
+
+def naive_scores(net, texts):
+    """The network as a loop over all positions of a text, one filter at a time."""
+    out = []
+    for text in texts:
+        words = X._WORD.findall((text or "").lower())
+        vectors = [sum(net.tables[t][r] for t, r in enumerate(X.word_rows(w))) for w in words] or [np.zeros(X.DIM, np.float32)]
+        blank = [np.zeros(X.DIM, np.float32)] * (max(X.WIDTHS) - 1)
+        line, z, k = [*blank, *vectors, *blank], net.base, 0
+        for f in net.filters:
+            for j in range(f.shape[2]):
+                most = max(sum(float(line[p + i] @ f[i, :, j]) for i in range(len(f))) for p in range(len(line) - len(f) + 1))
+                z += max(0.0, most + float(net.bias[k])) * float(net.out[k])
+                k += 1
+        out.append(1 / (1 + np.exp(-z)))
+    return np.array(out)
+
+
+def test_scores_against_a_loop_over_positions():
+    rng = np.random.default_rng(4)
+    net = X.Network.fresh(5)
+    net.bias[:] = rng.normal(size=len(net.bias))
+    net.base = 0.3
+    texts = ["", None, "one", "two words", " ".join(f"w{rng.integers(50)}" for _ in range(400)), "Ünï cödé, x_1 - y!"]
+    got = X.Scorer(net)(texts)
+    want = naive_scores(net, texts)
+    # a window of blanks alone stands before and after a text of one word, and in a text of none
+    assert np.allclose(got, want, atol=1e-5)
+
+
+def test_one_pass_is_fit_and_score(spark):
+    rows = [(i, f"{'vile' if i % 2 else 'kind'} text {i}", "en" if i % 3 else "fr", 1, "x") for i in range(600)] + [(3, "vile other", "en", 1, "x"), (None, None, None, 2, "y")]
+    docs = spark.createDataFrame(rows, DOCS).repartition(4)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(600)], LABELS)
+    once = X.classified(docs, labels, ["doc_id", "x"])
+    assert once.columns == ["doc_id", "x", "tox_score", "tox_reject"]
+    twice = X.score(docs, X.fit(docs, labels)).select("doc_id", "x", "tox_score", "tox_reject")
+    assert sorted(map(tuple, once.collect()), key=str) == sorted(map(tuple, twice.collect()), key=str)
+    odd = docs.select("*", *[F.lit("mine").alias(c) for c in ("tox_raw", "tox_reject", "tox_lang", "tox_doc", "scored_text", "scored_lang", "raw", "a.b")])
+    kept = X.drop_toxic(odd, labels)
+    assert kept.columns == odd.columns and 0 < kept.count() < 602 and kept.where("tox_raw = 'mine' and tox_reject = 'mine' and `a.b` = 'mine'").count() == kept.count()
