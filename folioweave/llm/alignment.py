@@ -34,17 +34,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioweave.llm.common import as_document, bound_batches, stored, text_slices
+from folioweave.llm.common import as_document, bound_batches, stored
 
 FOLDER = "/opt/tokenizers"
 FILES = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 LONG = 1 << 16        # bytes of a text that one task aligns as a whole; also of the pieces that longer ones travel in
 RANGE = 1 << 13       # bytes of a fragment of a longer text
 FAN = 16              # fragments that a step of the tree composes
-BLOCK_CHARS = 3_000_000  # characters of the texts of a block, about
-_KEPT = 150_000       # words whose fragments a task keeps
-_WORD_CHARS = 48      # longer words are not kept
+BLOCK_CHARS = 2_000_000  # characters of the texts of a block, about
+BLOCK_TEXTS = 20_000  # texts of a block at most
+_KEPT = 200_000       # words whose fragments a task keeps from block to block
+LATIN = 0x250         # characters below this one have a faster encoder
+_BEYOND = chr(LATIN)
+LINE = 512            # words whose tokens are made at a time
 _BORDER = re.compile(r"(?<=\S) (?=\S)")
+# fixed values: the words of the byte-level tokenizer
+_WORDS = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -117,13 +122,40 @@ class Word(NamedTuple):
     text: str
     n_a: int
     n_b: int
-    links: list[int]  # first id << 32 | second id
+    links: bytes  # first id << 32 | second id, as 64-bit integers
+
+
+_CHANGED = Word(False, "", 0, 0, b"")
 
 
 def packed(links: Iterable[tuple[int, int]]) -> list[int]:
     return [a << 32 | b for a, b in links]
 
 
+class Words(dict):
+    """Word -> number, in the order of arrival, and what is known of the words by number."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+        self.texts: list[str] = []
+        self.links: list[bytes] = []
+        self.facts = np.empty((0, 4), np.int64)  # whether it is unchanged, tokens of both, links
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+    def add(self, made: list[Word]) -> None:
+        self.texts += [w.text for w in made]
+        self.links += [w.links for w in made]
+        self.facts = np.concatenate([self.facts, np.array([(w.ok, w.n_a, w.n_b, len(w.links) // 8) for w in made], np.int64).reshape(-1, 4)])
+        self.new = []
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
 class Pair:
     """The two tokenizers and the fragments of words seen so far. `folder` holds both files."""
 
@@ -139,12 +171,37 @@ class Pair:
         self.bytes_a = {i: t.encode() if t in added else byte_level(t) for t, i in self.first.get_vocab().items()}
         pieces = [self.second.id_to_piece(i) for i in range(self.second.get_piece_size())]
         self.bytes_b = [bytes([int(m[1], 16)]) if (m := _BYTE_PIECE.fullmatch(p)) else p.replace("\u2581", " ").encode() for p in pieces]
+        self.size_a = np.zeros(max(self.bytes_a) + 1, np.int64)
+        for i, t in self.bytes_a.items():
+            self.size_a[i] = len(t)
+        self.size_b = np.array([len(t) for t in self.bytes_b], np.int64)
+        self.marks = [np.array([[f"{i},", f"{i}{last}"] for i in range(n)], object) for n, last in ((len(self.size_a), "|"), (len(self.size_b), ";"))]
         # Before a single blank that follows what is no white space, the first one's pattern of words always begins a
         # new word, and the second one ends a piece if none of its pieces holds a blank behind something else.
         with open(os.path.join(folder, FILES[0]), encoding="utf-8") as file:
-            words = json.load(file).get("pre_tokenizer") or {}
+            rules = json.load(file)
+        words = rules.get("pre_tokenizer") or {}
         self.cuts = words.get("type") == "ByteLevel" and words.get("use_regex", True) and not any(b" " in t.lstrip(b" ") for t in self.bytes_b)
-        self.words: dict[str, Word] = {}
+        self.quick = self._ranked(rules) if self.cuts else None
+        self.words = Words()
+
+    def _ranked(self, rules: dict):
+        """A faster encoder of Latin words from the same vocabulary, if its numbers are the order of its merges.
+
+        It is tried on every character it will be used for.
+        """
+        import tiktoken
+
+        merges = [m.split(" ") if isinstance(m, str) else m for m in rules["model"]["merges"]]
+        vocabulary = rules["model"]["vocab"]
+        if any(vocabulary.get(x + y) != 256 + i for i, (x, y) in enumerate(merges)) or len(vocabulary) != 256 + len(merges):
+            return None
+        quick = tiktoken.Encoding("words", pat_str=_WORDS, mergeable_ranks={byte_level(t): i for t, i in vocabulary.items()}, special_tokens={})
+        for c in map(chr, range(LATIN)):
+            sample = f" x{c}y {c} {c}{c}1 '{c} 9{c}{c} z\t{c}"
+            if quick.encode_ordinary(sample) != self.first.encode(sample, add_special_tokens=False).ids:
+                return None
+        return quick
 
     def streams(self, texts: list[str]) -> list[tuple[bool, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Of a blank and each text: whether the tokens give its bytes, ids and ends (in bytes) of both tokenizers."""
@@ -167,22 +224,59 @@ class Pair:
         found = _BORDER.search(text, start) if self.cuts else None
         return found.start() if found else len(text)
 
-    def learned(self, words: set[str]) -> dict[str, Word]:
-        """Fragments of the given words; tokens of those that were not kept are made in one batch."""
-        if len(self.words) > _KEPT:
-            self.words = {}
-        new = [w for w in words if w not in self.words]
-        got = {w: self.words[w] for w in words if w in self.words}
-        for w, (ok, a, ends_a, b, ends_b) in zip(new, self.streams(new)) if new else ():
-            if ok:
-                f = fragments(a, ends_a, b, ends_b, [int(ends_a[-1])])[0]
-                text, link = group(f.a, f.b)  # both streams begin here: the prefix is a group
-                got[w] = Word(True, ";".join([text, *f.closed]), len(a), len(b), packed([link, *f.links]))
-            else:
-                got[w] = Word(False, "", 0, 0, [])
-            if len(w) <= _WORD_CHARS:
-                self.words[w] = got[w]
-        return got
+    def learn(self) -> None:
+        """Makes the fragments of all words that have been numbered since the last time."""
+        new = self.words.new
+        if not new:
+            return
+        plain = [bool(self.quick) and (w.isascii() or max(w) < _BEYOND) for w in new]
+        made: list[Word | None] = [None] * len(new)
+        for quick, encode in ((True, self._quickly), (False, self._slowly)):
+            some = [i for i, p in enumerate(plain) if p is quick]
+            inner = [i for i in some if not (new[i][0].isspace() or new[i][-1].isspace())]
+            lines = [inner[lo:lo + LINE] for lo in range(0, len(inner), LINE)]
+            # what begins or ends with white space does not stand between single blanks, nor in a line with others
+            lines += [[i] for i in some if new[i][0].isspace() or new[i][-1].isspace()]
+            for part in lines:
+                for i, word in zip(part, self._line([new[i] for i in part], encode)):
+                    made[i] = word
+        self.words.add(made)
+
+    def _quickly(self, text: str) -> list[int]:
+        return self.quick.encode_ordinary(text)
+
+    def _slowly(self, text: str) -> list[int]:
+        return self.first.encode(text, add_special_tokens=False).ids
+
+    def _line(self, words: list[str], encode) -> list[Word]:
+        """Fragments of words written behind one another with single blanks, which changes none of them."""
+        line = " ".join(words)
+        a, b = encode(" " + line), self.second.encode(line)
+        whole = b" " + line.encode("utf-8", "surrogatepass")
+        if b"".join([self.bytes_a[i] for i in a]) != whole or b"".join([self.bytes_b[i] for i in b]) != whole:
+            if len(words) == 1:
+                return [_CHANGED]
+            half = len(words) // 2
+            return self._line(words[:half], encode) + self._line(words[half:], encode)
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        upto_a, upto_b = np.searchsorted(ends_a, common, "right"), np.searchsorted(ends_b, common, "right")
+        # the text of a group: ids of the one with commas, a bar, ids of the other with commas, a semicolon
+        marks = np.empty(len(a) + len(b), object)
+        of_a, of_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+        marks[np.arange(len(a)) + np.concatenate([[0], upto_b])[of_a]] = self.marks[0][a, (ends_a == common[of_a]).astype(int)]
+        marks[np.arange(len(b)) + upto_a[of_b]] = self.marks[1][b, (ends_b == common[of_b]).astype(int)]
+        marks = marks.tolist()
+        links = (a[upto_a - 1] << 32 | b[upto_b - 1]).tobytes()
+        sizes = np.cumsum([len(w) + 1 for w in words] if line.isascii() else [len(w.encode("utf-8", "surrogatepass")) + 1 for w in words])
+        groups = np.searchsorted(common, sizes, "right").tolist()
+        in_a, in_b = np.searchsorted(ends_a, sizes, "right").tolist(), np.searchsorted(ends_b, sizes, "right").tolist()
+        out, g, x, y = [], 0, 0, 0
+        for g2, x2, y2 in zip(groups, in_a, in_b):
+            out.append(Word(True, "".join(marks[x + y:x2 + y2])[:-1], x2 - x, y2 - y, links[8 * g:8 * g2]))
+            g, x, y = g2, x2, y2
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -195,17 +289,41 @@ _BLOCK = ("block long, doc_id array<long>, n_a array<long>, n_b array<long>, sha
           "a array<int>, b array<int>, n array<long>")
 
 
-def _block(number: int, items: list[tuple[int | None, int, int, str]], links: list[list[int]]) -> pa.RecordBatch:
-    """A row of the block table: items (id, tokens, tokens, digest), their links as places in the block's table of pairs."""
-    flat = np.fromiter(chain.from_iterable(links), np.int64)
-    pairs, at, n = np.unique(flat, return_inverse=True, return_counts=True)
-    ids, n_a, n_b, sha = zip(*items)
-    lists = [
-        pa.array([list(ids)], pa.list_(pa.int64())), pa.array([list(n_a)], pa.list_(pa.int64())), pa.array([list(n_b)], pa.list_(pa.int64())),
-        pa.array([list(sha)], pa.list_(pa.string())), pa.array([np.cumsum([len(x) for x in links])], pa.list_(pa.int64())),
-        pa.array([at.astype(np.int32)], pa.list_(pa.int32())), pa.array([(pairs >> 32).astype(np.int32)], pa.list_(pa.int32())),
-        pa.array([(pairs & 0xFFFFFFFF).astype(np.int32)], pa.list_(pa.int32())), pa.array([n], pa.list_(pa.int64()))]
-    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *lists], names=[c.split()[0] for c in _BLOCK.split(", ")])
+def _block(number: int, items: list[tuple[int | None, int, int, str]], upto: np.ndarray, at: np.ndarray, pairs: np.ndarray) -> pa.RecordBatch:
+    """A row of the block table: items (id, tokens, tokens, digest), where each one's links end, and all links as places in `pairs`."""
+    def one(values, kind) -> pa.Array:
+        return pa.array([values], pa.list_(kind))
+
+    ids, n_a, n_b, sha = map(list, zip(*items))
+    n = np.bincount(at, minlength=len(pairs)).astype(np.int64)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([number], pa.int64()), one(ids, pa.int64()), one(n_a, pa.int64()), one(n_b, pa.int64()), one(sha, pa.string()),
+         one(upto, pa.int64()), one(at.astype(np.int32), pa.int32()), one((pairs >> 32).astype(np.int32), pa.int32()),
+         one((pairs & 0xFFFFFFFF).astype(np.int32), pa.int32()), one(n, pa.int64())], names=[c.split()[0] for c in _BLOCK.split(", ")])
+
+
+def _block_of_texts(number: int, ids: list[int | None], texts: list[np.ndarray], words: Words) -> pa.RecordBatch:
+    """The block of texts given as numbers of words: the words' fragments put together, by arrays over the whole block."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    starts = np.cumsum(sizes) - sizes
+    used, at = np.unique(np.concatenate(texts), return_inverse=True)
+    facts = words.facts[used]
+    distinct = used.tolist()
+    pairs, local = np.unique(np.frombuffer(b"".join([words.links[i] for i in distinct]), np.int64), return_inverse=True)
+    first = np.cumsum(facts[:, 3]) - facts[:, 3]
+    upto = np.concatenate([[0], np.cumsum(1 - facts[at, 0])])
+    fine = (upto[starts + sizes] == upto[starts]) & (sizes > 0)
+    at = at[np.repeat(fine, sizes)]
+    count = facts[at, 3]
+    ends = np.cumsum(count)
+    links = local[np.repeat(first[at] - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)]
+    bounds = np.cumsum(np.where(fine, sizes, 0))
+    sums = [np.concatenate([[0], np.cumsum(facts[at, c])]) for c in (1, 2, 3)]
+    n_a, n_b, n = (np.diff(np.concatenate([[0], s[bounds]])).tolist() for s in sums)
+    closed = words.texts
+    items = [(doc, a, b, hashlib.sha256(";".join([closed[i] for i in text.tolist()]).encode()).hexdigest() if ok else "")
+             for doc, a, b, text, ok in zip(ids, n_a, n_b, texts, fine.tolist())]
+    return _block(number, items, np.cumsum(n), links, pairs)
 
 
 def _numbers(sign: int) -> Iterator[int]:
@@ -223,29 +341,27 @@ def _short_blocks(docs: DataFrame, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizers, numbers = pair(folder), _numbers(1)
-        items, links, chars = [], [], 0
+        held, texts, chars = [], [], 0
+
+        def block() -> pa.RecordBatch:
+            tokenizers.learn()
+            return _block_of_texts(next(numbers), held, texts, tokenizers.words)
+
         for b in batches:
-            ids = b.column(0).to_pylist()
-            for lo in range(0, len(ids), 1024):
-                texts = b.column(1).slice(lo, 1024).to_pylist()
-                for x, y in text_slices(texts, BLOCK_CHARS):
-                    cut = [tokenizers.words_of(t) if t else [] for t in texts[x:y]]
-                    known = tokenizers.learned(set(chain.from_iterable(cut)))
-                    for doc, words in zip(ids[lo + x:lo + y], cut):
-                        made = [known[w] for w in words]
-                        if made and all(f.ok for f in made):
-                            digest = hashlib.sha256(";".join([f.text for f in made]).encode()).hexdigest()
-                            items.append((doc, sum(f.n_a for f in made), sum(f.n_b for f in made), digest))
-                            links.append(list(chain.from_iterable([f.links for f in made])))
-                        else:
-                            items.append((doc, 0, 0, ""))
-                            links.append([])
-                    chars += sum(len(t or "") for t in texts[x:y])
-                    if chars >= BLOCK_CHARS:
-                        yield _block(next(numbers), items, links)
-                        items, links, chars = [], [], 0
-        if items:
-            yield _block(next(numbers), items, links)
+            for doc, scalar in zip(b.column(0).to_pylist(), b.column(1)):
+                text = scalar.as_py() or ""
+                held.append(doc)
+                texts.append(tokenizers.words.numbers(tokenizers.words_of(text) if text else []))
+                chars += len(text)
+                if chars >= BLOCK_CHARS or len(held) >= BLOCK_TEXTS:
+                    yield block()
+                    held, texts, chars = [], [], 0
+                    if len(tokenizers.words) > _KEPT:
+                        tokenizers.words = Words()
+                    pa.default_memory_pool().release_unused()
+        if held:
+            yield block()
+        tokenizers.words = Words()
 
     return docs.mapInArrow(run, _BLOCK)
 
@@ -396,7 +512,8 @@ def _leaf_blocks(leaves: DataFrame) -> DataFrame:
             for lo in range(0, b.num_rows, 64):
                 part = b.slice(lo, 64)
                 links = part.column(1).to_pylist()
-                yield _block(next(numbers), [(k, 0, 0, "") for k in part.column(0).to_pylist()], links)
+                pairs, at = np.unique(np.fromiter(chain.from_iterable(links), np.int64), return_inverse=True)
+                yield _block(next(numbers), [(k, 0, 0, "") for k in part.column(0).to_pylist()], np.cumsum([len(x) for x in links]), at, pairs)
 
     return leaves.select("key", "links").mapInArrow(run, _BLOCK)
 

@@ -108,14 +108,17 @@ def test_blocks_and_kept_words_change_nothing(spark, monkeypatch):
     rows = list(enumerate(ODD + texts_of(rng, 50)))
     monkeypatch.setattr(A, "BLOCK_CHARS", 500)
     monkeypatch.setattr(A, "_KEPT", 5)
-    monkeypatch.setattr(A, "_WORD_CHARS", 4)
-    pair, seen = A.Pair(A.FOLDER), []
-    for _, t in rows:
-        known = pair.learned(set(pair.words_of(t))) if t else {}
-        seen.append([known[w] for w in pair.words_of(t)] if t else [])
-    for fs, (n_a, n_b, groups, links) in zip(seen, plain([t for _, t in rows])):
-        ok = bool(fs) and all(f.ok for f in fs)
-        assert (sum(f.n_a for f in fs) if ok else 0) == n_a and ([x for f in fs for x in f.links] if ok else []) == A.packed(links)
+    monkeypatch.setattr(A, "LINE", 3)
+    for quick in (True, False):
+        pair = A.Pair(A.FOLDER)
+        assert pair.quick is not None and pair.cuts
+        pair.quick = pair.quick if quick else None
+        numbers = [pair.words.numbers(pair.words_of(t)).tolist() if t else [] for _, t in rows]
+        pair.learn()
+        for at, (n_a, n_b, groups, links) in zip(numbers, plain([t for _, t in rows])):
+            ok = bool(at) and all(pair.words.facts[i, 0] for i in at)
+            found = [x for i in at for x in np.frombuffer(pair.words.links[i], np.int64).tolist()] if ok else []
+            assert (sum(pair.words.facts[i, 1] for i in at) if ok else 0) == n_a and found == A.packed(links)
     extra = spark.createDataFrame([(i, t, 1, "k") for i, t in rows], "doc_id long, text string, block int, key string")
     assert got(A.aligned(extra)) == expected(rows)
 
