@@ -34,9 +34,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage through a compressed table in the shared folder, for wide or long intermediate results."""
+    return kept(df, label)[0]
+
+
+def kept(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """As `stored`, and the path, for `forget` once the readers have written what they make of it."""
     path = shared_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def bound_batches(spark: SparkSession) -> None:

@@ -18,6 +18,7 @@ two texts with a common passage always share one of these.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioweave.llm.common import as_document, bound_batches, stored, text_slices
+from folioweave.llm.common import as_document, bound_batches, forget, free_names, kept, stored, text_slices
 
 WORDS = 5                     # words of a shingle
 PASSAGE = 50                  # words of the shortest passage
@@ -35,6 +36,7 @@ CHUNK = 512                   # shingles of a piece of text that travels to a ch
 _BANDS = 4
 _WORD = re.compile(rb"[^ \t-\r]+")
 _U = np.uint64
+_FACTORS = [pow(0xA0761D6478BD642F, 2 * k + 1, 1 << 64) for k in range(2 * _BANDS)]  # odd
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -60,13 +62,20 @@ def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
 
 def _argmin_of_stretches(v: np.ndarray, width: int) -> np.ndarray:
     """Position of the leftmost minimum of each `width` values in a row."""
-    at, low, have = np.arange(len(v), dtype=np.int64), v, 1
+    bits = max(1, int(len(v)).bit_length())
+    small = len(v) and int(v.max()) < 1 << (64 - bits)
+    # a value and its position in one number where there is room: its minimum tells both
+    at = np.arange(len(v), dtype=np.uint64 if small else np.int64)
+    low, have = (v << _U(bits)) | at if small else v, 1
     while have < width:
         step = min(have, width - have)
-        left = low[:-step] <= low[step:]
-        at, low = np.where(left, at[:-step], at[step:]), np.minimum(low[:-step], low[step:])
+        if small:
+            low = np.minimum(low[:-step], low[step:])
+        else:
+            left = low[:-step] <= low[step:]
+            at, low = np.where(left, at[:-step], at[step:]), np.minimum(low[:-step], low[step:])
         have += step
-    return at
+    return (low & _U((1 << bits) - 1)).astype(np.int64) if small else at
 
 
 def compact_windows(v: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -117,7 +126,8 @@ def signatures(texts: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndar
     for band in range(_BANDS):
         sides = []
         for side in range(2):
-            v = _mix(flat + _U((2 * band + side + 1) * 0xA0761D6478BD642F % 2**64)) | _U(1)
+            # shingles are well mixed already: an odd factor orders them anew
+            v = (flat * _U(_FACTORS[2 * band + side]) >> _U(22)) | _U(1)
             v[walls] = 0  # below every hash: no window crosses from one text to the next
             at, nodes, first, last = compact_windows(v, width)
             sides.append((v, at, nodes, first, last))
@@ -130,7 +140,7 @@ def signatures(texts: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndar
         low, high = np.minimum(c1, c2), np.maximum(c1, c2)
         left = np.maximum(np.maximum(f1[i1], f2[i2]), high - width + 1)
         right = np.minimum(np.minimum(l1[i1], l2[i2]), low + width - 1)
-        key = _mix(v1[c1] * _U(0x9E3779B97F4A7C15) + v2[c2] + _U(band))
+        key = _mix(flat[c1] * _U(0x9E3779B97F4A7C15) + flat[c2] + _U(band))
         which = np.searchsorted(walls, low) - 1
         own = low - (walls[which] + 1)
         body = _mix(upto[right + 1] - upto[left]).astype(np.uint32).view(np.int32)
@@ -139,8 +149,15 @@ def signatures(texts: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndar
     return np.array(owner, np.int64)[which] if len(owner) else which, key, place, body
 
 
+def _edition(s: np.ndarray) -> int:
+    """Tells texts of one doc_id apart."""
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(s.tobytes()) >> 33
+
+
 def _windows(docs: DataFrame, width: int, shingle: int) -> DataFrame:
-    """key, doc, place, body of all joint windows of all texts."""
+    """key, doc, place, body of all joint windows of all texts; the upper half of `body` is the text's edition."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,6 +169,8 @@ def _windows(docs: DataFrame, width: int, shingle: int) -> DataFrame:
                 if not long:
                     continue
                 which, key, place, body = signatures([cut[i] for i in long], width)
+                editions = np.array([_edition(cut[i]) for i in long], np.int64)
+                body = editions[which] << 32 | body.astype(np.int64) & 0xFFFFFFFF
                 doc = ids[lo:hi][np.array(long)][which]
                 for at in range(0, len(key), 200_000):
                     part = slice(at, at + 200_000)
@@ -159,16 +178,18 @@ def _windows(docs: DataFrame, width: int, shingle: int) -> DataFrame:
                         [pa.array(key[part].view(np.int64)), pa.array(doc[part].astype(np.int64)), pa.array(place[part]), pa.array(body[part])],
                         names=["key", "doc", "place", "body"])
 
-    return docs.mapInArrow(run, "key long, doc long, place long, body int")
+    return docs.mapInArrow(run, "key long, doc long, place long, body long")
 
 
-_LED = "kind int, doc long, other long, key long, place long, place2 long, body int, equal boolean"
+_LED = "kind int, doc long, other long, key long, place long, place2 long, body long, body2 long, equal boolean"
+_LOW = 0xFFFFFFFF
 
 
-def _led(windows: DataFrame, bodies: bool, within: bool = False) -> DataFrame:
-    """doc, other, key, place, place2, equal: windows whose signature an earlier document has, with its earliest window.
+def _led(windows: DataFrame, bodies: bool, within: bool = False) -> tuple[DataFrame, str]:
+    """doc, other, key, place, place2, body, body2, equal: windows whose signature an earlier document has, with its earliest window.
 
     With `within`, also the further windows of that document itself, unless they are equal to its earliest one.
+    Second comes the path of the table it reads.
 
     One range partitioning by signature, document and place brings the earliest window
     of a signature to the front of its rows. As the sort key goes beyond the signature,
@@ -178,13 +199,13 @@ def _led(windows: DataFrame, bodies: bool, within: bool = False) -> DataFrame:
     names = [part.split()[0] for part in _LED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch(kind, doc, other, key, place, place2, body, equal):
+        def batch(kind, doc, other, key, place, place2, body, body2, equal):
             kinds = np.broadcast_to(np.asarray(kind, np.int32), len(doc))
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in (kinds, doc, other, key, place, place2, body, equal)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (kinds, doc, other, key, place, place2, body, body2, equal)], names=names)
 
         def front(lead):
-            key, doc, place, body = (np.array([v], t) for v, t in zip(lead, (np.int64, np.int64, np.int64, np.int32)))
-            return batch(2, doc, doc, key, place, place, body, np.array([False]))
+            key, doc, place, body = (np.array([v], np.int64) for v in lead)
+            return batch(2, doc, doc, key, place, place, body, body, np.array([False]))
 
         lead, first = None, None
         for b in batches:
@@ -206,53 +227,51 @@ def _led(windows: DataFrame, bodies: bool, within: bool = False) -> DataFrame:
                 yield front((first, doc2[0], place2[0], body2[0]))
             lead = (key[-1], doc2[-1], place2[-1], body2[-1])
             edge = key == first
-            equal = (body == body2) & (place & 16383 == place2 & 16383) if bodies else np.zeros(len(key), bool)
+            equal = (body & _LOW == body2 & _LOW) & (place & 16383 == place2 & 16383) if bodies else np.zeros(len(key), bool)
             out = (doc != doc2) | edge
             if within:
                 out |= (place != place2) & ~equal
-            yield batch(edge[out].astype(np.int32), *(c[out] for c in (doc, doc2, key, place, place2, body, equal)))
+            yield batch(edge[out].astype(np.int32), *(c[out] for c in (doc, doc2, key, place, place2, body, body2, equal)))
         if lead is not None:
             yield front(lead)
 
     dealt = windows.select("key", "doc", "place", "body").repartitionByRange("key", "doc", "place").sortWithinPartitions("key", "doc", "place")
-    out = stored(dealt.mapInArrow(run, _LED), "led")
-    columns = ["doc", "other", "key", "place", "place2", "equal"]
+    out, path = kept(dealt.mapInArrow(run, _LED), "led")
+    columns = ["doc", "other", "key", "place", "place2", "body", "body2", "equal"]
     fronts = out.where("kind = 2").groupBy("key").agg(F.min(F.struct("doc", "place", "body")).alias("lead"))
-    same = F.expr("body = lead.body and place & 16383 = lead.place & 16383") if bodies else F.lit(False)
+    same = F.expr(f"body & {_LOW} = lead.body & {_LOW} and place & 16383 = lead.place & 16383") if bodies else F.lit(False)
     # two front rows a partition at most are broadcast
     edges = out.where("kind = 1").select("doc", "key", "place", "body").join(F.broadcast(fronts), "key").select(
-        "doc", F.col("lead.doc").alias("other"), "key", "place", F.col("lead.place").alias("place2"), same.alias("equal"))
+        "doc", F.col("lead.doc").alias("other"), "key", "place", F.col("lead.place").alias("place2"), "body",
+        F.col("lead.body").alias("body2"), same.alias("equal"))
     return out.where("kind = 0").select(columns).unionByName(
-        edges.where("doc != other or place != place2 and not equal" if within else "doc != other"))
+        edges.where("doc != other or place != place2 and not equal" if within else "doc != other")), path
 
 
 _REACH = 96  # shingles that a window may reach beyond its chunk, on either side
 
 
 def _pieces(docs: DataFrame, needed: DataFrame, shingle: int, chunk: int) -> DataFrame:
-    """doc, piece, content: the needed pieces of texts as 32-bit shingle hashes."""
+    """doc, edition, piece, content: the needed pieces of texts as 32-bit shingle hashes, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for doc, text, pieces in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
-                s = shingles(text.as_py(), shingle).astype(np.uint32)
-                got = [s[max(0, p * chunk - _REACH):(p + 1) * chunk + _REACH].tobytes() for p in pieces]
+                s = shingles(text.as_py(), shingle)
+                edition = _edition(s)
+                s = s.astype(np.uint32)
+                mine = [p["piece"] for p in pieces if p["edition"] == edition]
+                got = [s[max(0, p * chunk - _REACH):(p + 1) * chunk + _REACH].tobytes() for p in mine]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc] * len(got), pa.int64()), pa.array(pieces, pa.int64()), pa.array(got, pa.binary())],
-                    names=["doc", "piece", "content"])
+                    [pa.array([doc] * len(got), pa.int64()), pa.array([edition] * len(got), pa.int64()), pa.array(mine, pa.int64()),
+                     pa.array(got, pa.binary())], names=["doc", "edition", "piece", "content"])
 
-    one = docs.join(needed.groupBy("doc").agg(F.collect_set("piece").alias("pieces")), docs["doc_id"] == F.col("doc"))
-    return one.select("doc_id", "text", "pieces").mapInArrow(run, "doc long, piece long, content binary")
-
-
-def _equal_runs(a: np.ndarray, b: np.ndarray, shift: int, least: int) -> list[tuple[int, int]]:
-    """Runs [x, y) of at least `least` positions of `a` at which a[x] == b[x - shift]."""
-    lo, hi = max(0, shift), min(len(a), len(b) + shift)
-    if hi - lo < least:
-        return []
-    same = np.concatenate([[0], (a[lo:hi] == b[lo - shift:hi - shift]).astype(np.int8), [0]])
-    edge = np.flatnonzero(np.diff(same))
-    return [(int(x) + lo, int(y) + lo) for x, y in edge.reshape(-1, 2) if y - x >= least]
+    one = docs.join(needed.groupBy("doc").agg(F.collect_set(F.struct("edition", "piece")).alias("pieces")), docs["doc_id"] == F.col("doc"))
+    found = stored(one.select("doc_id", "text", "pieces").mapInArrow(run, "doc long, edition long, piece long, content binary"), "pieces")
+    keys = ["doc", "edition", "piece"]
+    if found.groupBy(*keys).count().where("count > 1").limit(1).count():  # repeated rows
+        found = stored(found.groupBy(*keys).agg(F.min("content").alias("content")), "pieces")
+    return found
 
 
 def _paired(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -272,6 +291,51 @@ def _paired(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i, j
 
 
+def _longest_rise(j: np.ndarray) -> np.ndarray:
+    """Places of a longest rising subsequence."""
+    if (np.diff(j) > 0).all():
+        return np.arange(len(j))
+    tails, at, before = [], [], []
+    for n, x in enumerate(j.tolist()):
+        k = bisect_left(tails, x)
+        tails[k:k + 1] = [x]
+        at[k:k + 1] = [n]
+        before.append(at[k - 1] if k else -1)
+    out, n = [], at[-1]
+    while n >= 0:
+        out.append(n)
+        n = before[n]
+    return np.array(out[::-1])
+
+
+def _similar_in_order(a: np.ndarray, b: np.ndarray, width: int, similarity: float) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Stretches of `a` that are similar to one of `b`, and the positions of the common shingles in order that were looked at.
+
+    Common shingles that come in the same order in both make a chain. All stretches of
+    `width` to 2 * width - 1 shingles from the begin of a run of it to the end of one are
+    tried (and those of the greatest length that begin or end within a run); growing by
+    a pair of equal shingles never makes two stretches less similar. Of those with one
+    begin the longest is returned.
+    """
+    i, j = _paired(a, b)
+    rise = _longest_rise(j)
+    i, j = i[rise], j[rise]
+    step = (np.diff(i) == 1) & (np.diff(j) == 1)
+    begins, ends = np.flatnonzero(np.append(True, ~step)), np.flatnonzero(np.append(~step, True))
+    reach = 2 * width - 1
+
+    def on_chain(x: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(i, x), len(i) - 1)
+        return at[i[at] == x]
+
+    s, e = np.unique(np.append(begins, on_chain(i[ends] + 1 - reach))), np.unique(np.append(ends, on_chain(i[begins] + reach - 1)))
+    size, size2 = i[e][None, :] + 1 - i[s][:, None], j[e][None, :] + 1 - j[s][:, None]
+    both = e[None, :] + 1 - s[:, None]
+    fits = (size >= width) & (size <= reach) & (both * (1 + similarity) >= similarity * (size + size2) - 1e-9)
+    longest = np.where(fits, i[e][None, :] + 1, 0).max(axis=1)
+    return [(int(x), int(y)) for x, y in zip(i[s], longest) if y], i
+
+
 def _alike(a: np.ndarray, b: np.ndarray, least: int, similarity: float) -> tuple[int, int] | None:
     """The stretch of `a` that is long and similar enough to one of `b` and has the most shingles in common with it.
 
@@ -304,57 +368,98 @@ def _alike(a: np.ndarray, b: np.ndarray, least: int, similarity: float) -> tuple
     return int(x[best]), int(y[best])
 
 
-def check_piece(a: np.ndarray, b: np.ndarray, a0: int, b0: int, windows: list[tuple[int, int, int]], width: int,
-                similarity: float) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Passages of one piece that occur in another; finer signatures of windows that differ from theirs.
+def check_piece(a: np.ndarray, b: np.ndarray, a0: int, b0: int, key: np.ndarray, place: np.ndarray, other: np.ndarray, width: int,
+                similarity: float) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
+    """Passages of one piece that occur in another; finer signatures of windows that differ from theirs, and these windows' places.
 
     Those with a passage have finer ones too: a later text may share with them what the other piece lacks.
 
-    `a`, `b`: shingles of the pieces; a0, b0: positions of their first ones;
-    windows: (key, place in a, place in b). Passages are (first, last + 1) shingle.
+    `a`, `b`: shingles of the pieces; a0, b0: positions of their first ones; key, place,
+    other: signature, place in a and place in b of each window. Passages are (first,
+    last + 1) shingle. The pieces are laid beside one another once for each distance
+    of two places, and their common shingles in order are searched once; windows with
+    common shingles in another order are searched one by one.
     """
-    spans, finer, runs = [], [], {}
-    for key, place, other in windows:
-        at, bt = (place >> 14) - a0, (other >> 14) - b0
-        shift = at - bt
-        if shift not in runs:
-            runs[shift] = _equal_runs(a, b, shift, width)
-            spans += [(x + a0, y + a0) for x, y in runs[shift]]
-        lo, hi = max(0, at - (place >> 7 & 127)), at + (place & 127) + 1
-        if not any(x <= at < y for x, y in runs[shift]):
-            near = _alike(a[lo:hi], b[max(0, bt - (other >> 7 & 127)):bt + (other & 127) + 1], width, similarity)
-            if near:
-                spans.append((near[0] + lo + a0, near[1] + lo + a0))
-        for sign in (-1, 1):  # how far both agree from the minimum on, and the shingle of `a` where they part
-            x, y = at, bt
-            while 0 <= x < len(a) and 0 <= y < len(b) and a[x] == b[y] and abs(x - at) < width:
-                x, y = x + sign, y + sign
-            if lo <= x < hi:
-                mark = (int(a[x]) << 9 | (x - at) & 511) + key * 0x9E3779B97F4A7C15
-                fine = _mix(np.array([mark % 2**64], np.uint64))
-                finer.append((int(fine.view(np.int64)[0]), place))
-    return spans, finer
+    at, bt = (place >> 14) - a0, (other >> 14) - b0
+    lo, hi = np.maximum(at - (place >> 7 & 127), 0), np.minimum(at + (place & 127) + 1, len(a))
+    lo2, hi2 = np.maximum(bt - (other >> 7 & 127), 0), np.minimum(bt + (other & 127) + 1, len(b))
+    first, last = at.copy(), at.copy()  # the run of equal shingles around the place; empty if these differ
+    spans = []
+    shifts, which = np.unique(at - bt, return_inverse=True)
+    for n, shift in enumerate(shifts.tolist()):
+        x0, x1 = max(0, shift), min(len(a), len(b) + shift)
+        differ = np.concatenate([[x0 - 1], np.flatnonzero(a[x0:x1] != b[x0 - shift:x1 - shift]) + x0, [x1]])
+        spans += [(int(x) + a0, int(y) + a0) for x, y in zip(differ[:-1] + 1, differ[1:]) if y - x >= width]
+        mine = np.flatnonzero(which == n)
+        nth = np.searchsorted(differ, at[mine])
+        same = differ[nth] != at[mine]
+        first[mine[same]], last[mine[same]] = differ[nth[same] - 1] + 1, differ[nth[same]]
+    finer, places = [], []
+    for sign, x in ((-1, np.where(last > first, first - 1, at)), (1, np.where(last > first, last, at))):
+        out = np.flatnonzero((lo <= x) & (x < hi))  # where the two part within the window
+        mark = (a[x[out]].astype(np.uint64) << _U(9) | ((x[out] - at[out]) & 511).astype(np.uint64)) + key[out].view(np.uint64) * _U(0x9E3779B97F4A7C15)
+        finer.append(_mix(mark).view(np.int64))
+        places.append(place[out])
+
+    left = np.flatnonzero(last - first < width)
+    if len(left):
+        least = int(np.ceil(width * similarity - 1e-9))
+        common, common2 = np.isin(a, b), np.isin(b, a)
+        have, have2 = (np.concatenate([[0], np.cumsum(x)]) for x in (common, common2))
+        left = left[(have[hi[left]] - have[lo[left]] >= least) & (have2[hi2[left]] - have2[lo2[left]] >= least)]
+    if len(left):
+        some, settled = _similar_in_order(a, b, width, similarity)
+        for x, y in some:
+            spans.append((x + a0, y + a0))
+            common[x:y] = False
+        # shingles in the same order in both are settled; others may be common to stretches in another order
+        other_order = common.copy()
+        other_order[settled] = False
+    while len(left):
+        new = np.concatenate([[0], np.cumsum(other_order)])
+        gain = new[hi[left]] - new[lo[left]]
+        left, gain = left[gain > 0], gain[gain > 0]
+        if not len(left):
+            break
+        best = int(gain.argmax())
+        i, left = left[best], np.delete(left, best)
+        near = _alike(a[lo[i]:hi[i]], b[lo2[i]:hi2[i]], width, similarity)
+        if near:
+            x, y = near[0] + int(lo[i]), near[1] + int(lo[i])
+            spans.append((x + a0, y + a0))
+            other_order[x:y] = False  # found
+    return spans, np.concatenate(finer), np.concatenate(places)
 
 
 def _checked(units: DataFrame, width: int, similarity: float, chunk: int) -> DataFrame:
-    """doc, other, first, last of found passages; doc, key, place of windows that go round again."""
+    """doc, other, first, last of found passages; doc, key, place, body of windows that go round again."""
+    names = ["doc", "other", "first", "last", "key", "place", "body"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for doc, piece, other, piece2, windows, x, y in zip(*(c.to_pylist() for c in b.columns)):
-                spans, finer = check_piece(
-                    np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), max(0, piece * chunk - _REACH),
-                    max(0, piece2 * chunk - _REACH), [(w["key"], w["place"], w["place2"]) for w in windows], width, similarity)
-                if doc != other:
-                    rows += [(doc, other, s, e, None, None) for s, e in spans]
-                rows += [(doc, None, None, None, k, p) for k, p in finer]
-            cols = list(zip(*rows)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols],
-                                             names=["doc", "other", "first", "last", "key", "place"])
-
-    return units.select("doc", "piece", "other", "piece2", "windows", "content", "content2").mapInArrow(
-        run, "doc long, other long, first long, last long, key long, place long")
+            doc, edition, piece, other, piece2 = (b.column(i).to_pylist() for i in range(5))
+            windows, x, y = b.column(5), b.column(6), b.column(7)
+            ends, fields = windows.offsets.to_numpy(), windows.values
+            key, place, place2 = (fields.field(n).to_numpy() for n in ("key", "place", "place2"))
+            found, again = [], []
+            for r in range(b.num_rows):
+                part = slice(ends[r], ends[r + 1])
+                spans, finer, places = check_piece(
+                    np.frombuffer(x[r].as_buffer(), np.uint32), np.frombuffer(y[r].as_buffer(), np.uint32), max(0, piece[r] * chunk - _REACH),
+                    max(0, piece2[r] * chunk - _REACH), key[part], place[part], place2[part], width, similarity)
+                if doc[r] != other[r]:
+                    found += [(doc[r], other[r], s, e) for s, e in spans]
+                again.append((np.full(len(finer), doc[r]), finer, places, np.full(len(finer), edition[r] << 32)))
+            cols = [pa.array(c, pa.int64()) for c in list(zip(*found)) or [()] * 4]
+            none = pa.nulls(len(found), pa.int64())
+            yield pa.RecordBatch.from_arrays([*cols, none, none, none], names=names)
+            if again:
+                doc_, key_, place_, body_ = (pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*again))
+                none = pa.nulls(len(doc_), pa.int64())
+                yield pa.RecordBatch.from_arrays([doc_, none, none, none, key_, place_, body_], names=names)
+
+    return units.select("doc", "edition", "piece", "other", "piece2", "windows", "content", "content2").mapInArrow(
+        run, "doc long, other long, first long, last long, key long, place long, body long")
 
 
 def repeated_passages(docs: DataFrame, passage: int = PASSAGE, similarity: float = SIMILARITY, shingle: int = WORDS) -> DataFrame:
@@ -368,31 +473,36 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, similarity: float
     null doc_id take no part; rows repeated under one doc_id are one document and not
     compared with each other. An empty table gives no rows.
     """
+    spark = docs.sparkSession
     width = passage - shingle + 1
     if not 8 <= width <= 64:
         raise ValueError("a passage has 7 to 63 words more than a shingle")
     plain = as_document(docs).where("doc_id is not null and text is not null")
-    windows, bodies = stored(_windows(plain, width, shingle), "windows"), True
-    found, content = None, None
+    windows, path = kept(_windows(plain, width, shingle), "windows")
+    bodies, found, content = True, None, None
     while True:
-        pair = _led(windows, bodies, True)
+        pair, led = _led(windows, bodies, True)
+        forget(spark, path)
         whole = pair.where("equal").select("doc", "other", F.expr("(place >> 14) - (place >> 7 & 127)").alias("first"),
                                            F.expr("(place >> 14) + (place & 127) + 1").alias("last"))
-        units = stored(pair.where("not equal").groupBy(
-            "doc", F.expr(f"(place >> 14) div {CHUNK}").alias("piece"), "other", F.expr(f"(place2 >> 14) div {CHUNK}").alias("piece2")).agg(
+        units, unit_path = kept(pair.where("not equal").groupBy(
+            "doc", F.expr("body >> 32").alias("edition"), F.expr(f"(place >> 14) div {CHUNK}").alias("piece"),
+            "other", F.expr("body2 >> 32").alias("edition2"), F.expr(f"(place2 >> 14) div {CHUNK}").alias("piece2")).agg(
             F.collect_set(F.struct("key", "place", "place2")).alias("windows")), "units")
         if content is None:
-            needed = units.select("doc", "piece").unionByName(
-                units.select(F.col("other").alias("doc"), F.col("piece2").alias("piece"))).distinct()
-            content = stored(_pieces(plain, needed, shingle, CHUNK), "pieces")
-        theirs = content.select(F.col("doc").alias("other"), F.col("piece").alias("piece2"), F.col("content").alias("content2"))
-        checked = stored(_checked(
-            units.join(content, ["doc", "piece"]).join(theirs, ["other", "piece2"]), width, similarity, CHUNK), "checked")
-        spans = whole.unionByName(checked.where("first is not null").select("doc", "other", "first", "last"))
+            needed = units.select("doc", "edition", "piece").unionByName(
+                units.select(F.col("other").alias("doc"), F.col("edition2").alias("edition"), F.col("piece2").alias("piece"))).distinct()
+            content = _pieces(plain, needed, shingle, CHUNK)
+        theirs = content.toDF("other", "edition2", "piece2", "content2")
+        checked, path = kept(_checked(
+            units.join(content, ["doc", "edition", "piece"]).join(theirs, ["other", "edition2", "piece2"]), width, similarity, CHUNK), "checked")
+        spans = stored(whole.unionByName(checked.where("first is not null").select("doc", "other", "first", "last")), "spans")
+        forget(spark, led, unit_path)
         found = spans if found is None else found.unionByName(spans)
-        windows, bodies = checked.where("key is not null").select("key", "doc", "place", F.lit(0).alias("body")).distinct(), False
+        windows, bodies = checked.where("key is not null").select("key", "doc", "place", "body"), False
         if not windows.limit(1).count():
             break
+    forget(spark, path)
     return _merged(found, shingle)
 
 
@@ -428,10 +538,12 @@ def cut_repeats(docs: DataFrame, passage: int = PASSAGE, similarity: float = SIM
     passage, and rows with a null doc_id or text, stay as they are.
     """
     bound_batches(docs.sparkSession)
-    spans = repeated_passages(docs, passage, similarity).groupBy(F.col("doc_id").alias("_doc")).agg(
-        F.collect_set(F.struct("start_word", "end_word")).alias("_spans"))
-    joined = docs.join(spans, docs["doc_id"].cast("bigint") == spans["_doc"], "left").drop(spans["_doc"])
     names, fields = docs.columns, docs.schema.fields
+    of, cuts = free_names(names, "of_doc", "cuts")
+    spans = repeated_passages(docs, passage, similarity).groupBy(F.col("doc_id").alias(of)).agg(
+        F.collect_set(F.struct("start_word", "end_word")).alias(cuts))
+    joined = docs.join(spans, docs["doc_id"].cast("bigint") == spans[of], "left").drop(of)
+    plain = [f"c{i}" for i in range(len(names))]  # names with dots cannot travel
     text_at = names.index("text")
     size_at = names.index("n_chars") if "n_chars" in names else None
     size_type = {"bigint": pa.int64(), "int": pa.int32()}.get(dict(docs.dtypes).get("n_chars"))
@@ -453,8 +565,9 @@ def cut_repeats(docs: DataFrame, passage: int = PASSAGE, similarity: float = SIM
                 cols[text_at] = pa.array(texts, cols[text_at].type)
                 stay = np.ones(len(texts), bool)
                 stay[[i for i in touched if not texts[i]]] = False
-                yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(stay))
+                yield pa.RecordBatch.from_arrays(cols, names=plain).filter(pa.array(stay))
             else:
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+                yield pa.RecordBatch.from_arrays(cols, names=plain)
 
-    return joined.mapInArrow(run, T.StructType(fields))
+    schema = T.StructType([T.StructField(c, f.dataType) for c, f in zip(plain, fields)])
+    return joined.toDF(*plain, "cuts").mapInArrow(run, schema).toDF(*names)

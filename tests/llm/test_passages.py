@@ -96,7 +96,8 @@ def test_leads_across_partitions(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     spark.conf.set("spark.sql.shuffle.partitions", "61")
     try:
-        got = P._led(spark.createDataFrame(rows, "key long, doc long, place long, body int"), True).collect()
+        got = P._led(spark.createDataFrame(rows, "key long, doc long, place long, body long"), True)[0].select(
+            "doc", "other", "key", "place", "place2", "equal").collect()
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
         spark.conf.set("spark.sql.shuffle.partitions", "8")
@@ -208,3 +209,89 @@ def test_short_passages_at_the_limit_meet():
         other[rng.choice(46, 5, False)] = rng.integers(0, 2**63, 5).astype(np.uint64)  # 41 / 51 = 0.804
         met += bool(set(P.signatures([one], 46)[1].tolist()) & set(P.signatures([other], 46)[1].tolist()))
     assert met >= 970
+
+
+def test_stretches_in_order_against_all_stretches():
+    rng = random.Random(15)
+    seen = set()
+    for _ in range(80):
+        one = words(rng, 18)
+        other = list(one)
+        for _ in range(rng.randint(1, 2)):
+            at = rng.randrange(len(other))
+            other[at:at + rng.randint(0, 1)] = words(rng, rng.randint(0, 2))
+        other = words(rng, rng.randint(0, 3)) + other + words(rng, rng.randint(0, 3))
+        a, b = (P.shingles(" ".join(t), 2) for t in (other, one))
+        if len(set(a) & set(b)) < 1:
+            continue
+        got, _ = P._similar_in_order(a, b, 12, 0.8)
+        assert bool(got) == (most_alike(a.tolist(), b.tolist(), 12) >= 0.8)
+        assert all(12 <= y - x <= 23 and a[x] in b and a[y - 1] in b for x, y in got)
+        seen.add(bool(got))
+    assert seen == {True, False}
+
+
+def test_longest_rise():
+    rng = random.Random(16)
+    for _ in range(100):
+        j = rng.sample(range(12), rng.randint(1, 8))
+        got = [j[k] for k in P._longest_rise(np.array(j))]
+        some = ([x for k, x in enumerate(j) if m >> k & 1] for m in range(1, 1 << len(j)))
+        best = max(len(c) for c in some if c == sorted(c))
+        assert len(got) == best and got == sorted(got)
+
+
+def test_recall_of_similar_passages(spark):
+    """Passages of 50 to 120 words with changed, lost and added words, against the similarity of the planted pair."""
+    rng = random.Random(17)
+    rows, want = [], {}
+    for d in range(300):
+        n = rng.choice((50, 60, 80, 120))
+        one = words(rng, n)
+        other = list(one)
+        for _ in range(rng.randint(1, 1 + n // 60)):
+            at = rng.randrange(len(other))
+            other[at:at + rng.randint(0, 1)] = words(rng, rng.randint(0, 1))
+        rows += [(d, " ".join(words(rng, 25) + one + words(rng, 25))), (1000 + d, " ".join(words(rng, 25) + other + words(rng, 25)))]
+        a, b = (set(P.shingles(" ".join(t)).tolist()) for t in (one, other))
+        if min(len(a), len(b)) >= 46 and len(a & b) / len(a | b) >= 0.8:
+            want[1000 + d] = set(range(25, 25 + len(other)))
+    got = covered(P.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect())
+    hit = [len(got.get(d, set()) & w) >= 45 for d, w in want.items()]
+    assert len(want) > 200 and sum(hit) >= 0.95 * len(hit)
+    assert all(len(p - want.get(d, p)) <= 8 for d, p in got.items())
+
+
+def test_repeated_ids_grow_in_proportion(spark):
+    """Rows under one doc_id, equal or not, are checked once each."""
+    rng = random.Random(18)
+    part, own = words(rng, 60), words(rng, 60)
+    first = " ".join(words(rng, 30) + part + words(rng, 30))
+    second = [" ".join(words(rng, 20) + part + own), " ".join(own + words(rng, 90))]
+    checked = []
+    keep = P._checked
+    sizes = {}
+    for n in (10, 200):
+        rows = [(1, first)] * n + [(2, second[i % 2]) for i in range(n)] + [(3, second[1])]
+
+        def counted(units, *args):
+            checked.append(units.count())
+            return keep(units, *args)
+
+        P._checked = counted
+        try:
+            got = covered(P.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect())
+        finally:
+            P._checked = keep
+        assert set(range(20, 80)) <= got[2] and set(range(0, 150)) <= got[3]
+        sizes[n] = sum(checked)
+        checked.clear()
+    assert sizes[200] == sizes[10]
+
+
+def test_columns_named_like_those_added(spark):
+    rng = random.Random(19)
+    p = " ".join(words(rng, 60))
+    docs = spark.createDataFrame([(1, p, "x", "y", "z"), (2, f"own {p}", "x", "y", "z")], "doc_id long, text string, cuts string, of_doc string, `a.b` string")
+    got = P.cut_repeats(docs)
+    assert got.columns == docs.columns and sorted(tuple(r) for r in got.collect()) == [(1, p, "x", "y", "z"), (2, "own", "x", "y", "z")]
