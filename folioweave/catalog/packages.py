@@ -51,11 +51,32 @@ def _workbook(rows: list[tuple], n: int) -> dict[str, str]:
     }
 
 
-def _document(rows: list[tuple], n: int) -> dict[str, bytes | str]:
+def _par(text: str) -> str:
+    return f"<w:p><w:r><w:t>{text}</w:t></w:r></w:p>"
+
+
+def _nested(n: int) -> str:
+    """A tracked change, a text box with its older version, a note, a table within a cell, a style by its name."""
+    box = f"<w:txbxContent>{_par(f'boxed {n}')}</w:txbxContent>"
+    inner = f"<w:tbl><w:tr><w:tc>{_par('in')}</w:tc><w:tc>{_par('ner')}</w:tc></w:tr></w:tbl>"
+    return (
+        '<w:p><w:r><w:t xml:space="preserve">before </w:t></w:r><w:ins><w:r><w:t xml:space="preserve">new </w:t></w:r></w:ins>'
+        f"<w:del><w:r><w:delText>old</w:delText></w:r></w:del><w:r><mc:AlternateContent><mc:Choice>{box}</mc:Choice><mc:Fallback>{box}</mc:Fallback>"
+        '</mc:AlternateContent></w:r><w:r><w:t>tail</w:t></w:r><w:r><w:footnoteReference w:id="2"/></w:r></w:p>'
+        f'<w:tbl><w:tr><w:tc><w:tcPr><w:gridSpan w:val="2"/></w:tcPr>{_par("Wide")}</w:tc></w:tr><w:tr><w:tc>{_par(f"c{n}")}</w:tc>'
+        f"<w:tc>{_par('out')}{inner}<w:p/></w:tc></w:tr></w:tbl>"
+        '<w:p><w:pPr><w:pStyle w:val="Kop3"/></w:pPr><w:sdt><w:sdtContent><w:r><w:t>Last</w:t></w:r></w:sdtContent></w:sdt></w:p>')
+
+
+def _document(rows: list[tuple], n: int, nested: bool = False) -> dict[str, bytes | str]:
     paras = f'<w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>Part {n}</w:t></w:r></w:p>' + "".join(
         f'<w:p><w:r><w:t xml:space="preserve">{escape(r[1])} </w:t></w:r><w:r><w:t>{escape(r[2])}</w:t></w:r></w:p>' for r in rows)
-    return {"word/document.xml": f'<w:document xmlns:w="{WORD}"><w:body>{paras}</w:body></w:document>',
-            "word/media/image1.png": PNG, "docProps/core.xml": CORE.format(title=f"Doc {n}", n=n, day=n % 9 + 1)}
+    space = f'xmlns:w="{WORD}" xmlns:mc="urn:mc"'
+    more = {} if not nested else {
+        "word/footnotes.xml": f'<w:footnotes {space}><w:footnote w:type="separator" w:id="0">{_par("-")}</w:footnote><w:footnote w:id="2">{_par(f"foot {n}")}</w:footnote></w:footnotes>',
+        "word/styles.xml": f'<w:styles {space}><w:style w:type="paragraph" w:styleId="Kop3"><w:name w:val="heading 3"/></w:style></w:styles>'}
+    return more | {"word/document.xml": f'<w:document {space}><w:body>{paras}{_nested(n) if nested else ""}</w:body></w:document>',
+                   "word/media/image1.png": PNG, "docProps/core.xml": CORE.format(title=f"Doc {n}", n=n, day=n % 9 + 1)}
 
 
 def _package(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -65,7 +86,7 @@ def _package(pdf: pd.DataFrame) -> pd.DataFrame:
     if kind == "xlsx":
         body = _zip(_workbook(rows, n))
     elif kind == "docx":
-        body = _zip(_document(rows, n))
+        body = _zip(_document(rows, n, nested=True))
     elif kind == "epub":
         body = _zip({"mimetype": "application/epub+zip", "OEBPS/a.xhtml": "<p>x</p>"})
     else:
@@ -97,7 +118,7 @@ UNION ALL SELECT DISTINCT path, 'mimetype', 20, 'application/epub+zip', false FR
 UNION ALL SELECT DISTINCT path, 'OEBPS/a.xhtml', 8, '<p>x</p>', false FROM g WHERE n % 4 = 2 AND NOT broken
 UNION ALL SELECT path, member, CASE WHEN member[1] = '[' THEN 28 END, CASE WHEN member[1] = '[' THEN '<Types>spreadsheetml</Types>' END, false
   FROM (SELECT DISTINCT path FROM g WHERE n % 4 = 0 AND NOT broken), (SELECT unnest(['[Content_Types].xml', 'xl/workbook.xml', 'xl/_rels/workbook.xml.rels', 'xl/sharedStrings.xml', 'xl/worksheets/sheet1.xml', 'xl/worksheets/sheet2.xml', 'docProps/core.xml']) AS member)
-UNION ALL SELECT path, member, NULL, NULL, false FROM (SELECT DISTINCT path FROM g WHERE n % 4 = 1 AND NOT broken), (SELECT unnest(['word/document.xml', 'word/media/image1.png', 'docProps/core.xml']) AS member)
+UNION ALL SELECT path, member, NULL, NULL, false FROM (SELECT DISTINCT path FROM g WHERE n % 4 = 1 AND NOT broken), (SELECT unnest(['word/document.xml', 'word/footnotes.xml', 'word/styles.xml', 'word/media/image1.png', 'docProps/core.xml']) AS member)
 UNION ALL SELECT DISTINCT path, NULL, NULL::BIGINT, NULL, true FROM g WHERE broken"""
 
 
@@ -126,12 +147,15 @@ SELECT c_custkey, coalesce(st.c_name, '') AS text FROM customer c LEFT JOIN st O
 
 
 def scan_docx_blocks(s, d):
-    return pk.scan_docx_blocks(pk.explode_archive(corpus(s, d).where("path like '%.docx'"), r"^word/document\.xml$"))
+    return pk.scan_docx_blocks(pk.explode_archive(corpus(s, d).where("path like '%.docx'"), pk.DOCX_PARTS))
 
 
 SQL_DOCX = f"""WITH {SQL_FILES}, x AS (SELECT * FROM g WHERE n % 4 = 1 AND NOT broken)
 SELECT path AS doc_id, i AS block_no, NULL AS style, NULL::INTEGER AS level, c_name || ' ' || c_mktsegment AS text FROM x
-UNION ALL SELECT DISTINCT path, 0, 'Heading2', 2, 'Part ' || n FROM x"""
+UNION ALL SELECT DISTINCT path, 0, 'Heading2', 2, 'Part ' || n FROM x
+UNION ALL SELECT path, k + unnest([1, 2, 3, 4, 5]), unnest([NULL, NULL, 'Table', 'Kop3', 'Footnote']), unnest([NULL, NULL, NULL, 3, NULL]),
+  unnest(['before new tail[^2]', 'boxed ' || n, '| Wide |  |' || chr(10) || '| --- | --- |' || chr(10) || '| c' || n || ' | out in ner |', 'Last', '[^2]: foot ' || n])
+  FROM (SELECT path, n, count(*) AS k FROM x GROUP BY ALL)"""
 
 
 def docx_media(s, d):
@@ -147,7 +171,7 @@ def package_metadata(s, d):
 
 SQL_PROPS = f"""WITH {SQL_FILES}, k AS (SELECT path, n, count(*) AS rows FROM g WHERE n % 4 < 2 AND NOT broken GROUP BY ALL)
 SELECT path, CASE WHEN n % 4 = 1 THEN 'Doc ' || n WHEN n % 8 = 4 THEN 'pack_' || n ELSE 'Book ' || n END AS title, 'author ' || n AS author, 's' || n AS subject, NULL::VARCHAR AS keywords,
-  '2024-01-0' || (n % 9 + 1) AS created, CASE WHEN n % 4 = 0 THEN 2 ELSE greatest(1, (rows + 1) // 25) END::BIGINT AS page_count FROM k"""
+  '2024-01-0' || (n % 9 + 1) AS created, CASE WHEN n % 4 = 0 THEN 2 ELSE greatest(1, (rows + 3) // 25) END::BIGINT AS page_count FROM k"""
 
 
 def scan_files(s, d):
@@ -171,7 +195,8 @@ def convert_packages(s, d):
 # cut-short packages keep the type their extension names, except that they cannot be read
 SQL_BATCH = f"""WITH {SQL_FILES}, k AS (SELECT path, n, broken, string_agg(c_name || ' ' || c_mktsegment, chr(10) || chr(10) ORDER BY i) AS body FROM g GROUP BY ALL)
 SELECT path, 0::BIGINT AS part, CASE n % 4 WHEN 0 THEN 'xlsx' WHEN 1 THEN 'docx' WHEN 2 THEN 'epub' ELSE 'zip' END AS file_type, broken OR n % 4 >= 2 AS failed,
-  CASE WHEN n % 4 = 1 AND NOT broken THEN '## Part ' || n || chr(10) || chr(10) || body END AS markdown FROM k
+  CASE WHEN n % 4 = 1 AND NOT broken THEN concat_ws(chr(10) || chr(10), '## Part ' || n, body, 'before new tail[^2]', 'boxed ' || n,
+    '| Wide |  |' || chr(10) || '| --- | --- |' || chr(10) || '| c' || n || ' | out in ner |', '### Last', '[^2]: foot ' || n) END AS markdown FROM k
 UNION ALL SELECT 'in/' || page_id || '.html', 0, 'html', false, NULL FROM pages
 UNION ALL SELECT 'in/c' || c_custkey || '.csv', 0, 'csv', false, '| name | segment |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || c_name || ' | ' || c_mktsegment || ' |' FROM customer WHERE c_mktsegment <> 'BUILDING'
 UNION ALL SELECT 'in/c' || c_custkey || '.bin', 0, 'unknown', true, NULL FROM customer WHERE c_mktsegment = 'BUILDING'"""

@@ -19,7 +19,7 @@ from folioweave.plans.pages import pages_to_results
 from folioweave.sources.files import csv_cells
 from folioweave.session import shared_dir
 from folioweave.sources.packages import (
-    broken_sheets, explode_archive, scan_docx_blocks, scan_xlsx_cells, with_package_type, workbook_sheets,
+    DOCX_PARTS, broken_sheets, explode_archive, scan_docx_blocks, scan_xlsx_cells, with_package_type, workbook_sheets,
 )
 
 BLOCKS_PER_PART = 4096
@@ -78,7 +78,7 @@ def convert_corpus(corpus: DataFrame, options: Options | None = None) -> DataFra
 
     cells = csv_cells(of("csv").select(F.col("path").alias("doc_id"), text.alias("content")))
     parts.append(_named(render_table(cells, opts.table_format), "csv"))
-    parts.append(_named(docx_markdown(explode_archive(of("docx"), r"^word/document\.xml$")), "docx"))
+    parts.append(_named(docx_markdown(explode_archive(of("docx"), DOCX_PARTS)), "docx"))
     parts.append(_named(xlsx_markdown(explode_archive(of("xlsx"), r"^xl/.*\.(xml|rels)$"), opts), "xlsx"))
     for kind in ("json", "xml", "text"):
         fence = text if kind == "text" else F.concat(F.lit(f"```{kind}\n"), text, F.lit("\n```"))

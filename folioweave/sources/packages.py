@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioweave.functions import docx_pages, html_unescape, image_dims
+from folioweave.functions import docx_pages, image_dims
+from folioweave.sources.word import DOCX_PARTS, scan_docx_blocks  # noqa: F401  part of this module's interface
 
 MEMBER_SCHEMA = "path string, member_no bigint, member string, size bigint, content binary, error string"
 _ARROW = pa.schema([("path", pa.string()), ("member_no", pa.int64()), ("member", pa.string()),
@@ -226,64 +227,6 @@ _WORD = ("body struct<p: array<struct<pPr: struct<pStyle: struct<_val:string>>,
          "r: array<struct<t: array<string>>>>>, tbl: array<string>>")
 
 
-_P = r"(?:[A-Za-z0-9]+:)?"  # a name's prefix
-_DOCX_BLOCK = rf"(?s)<{_P}tbl>.*?</{_P}tbl>|<{_P}p(?:\s[^>]*?)?/>|<{_P}p(?:\s[^>]*+)?>.*?</{_P}p>"
-_DOCX_RUN = rf"(?s)<{_P}r(?:\s[^>]*+)?>.*?</{_P}r>"
-_DOCX_TEXT = rf"<{_P}(?:t(?:\s[^>]*+)?>[^<]*+|tab\s*+/>|(?:br|cr)(?:\s[^>]*+)?/>)"
-
-
-def _run_text(run: Column) -> Column:
-    """Text of a run with its tabs and line breaks; bold and italic ones in Markdown marks."""
-    tokens = F.regexp_extract_all(run, F.lit(_DOCX_TEXT), F.lit(0))
-    text = F.array_join(F.transform(tokens, lambda t: F.when(t.rlike(rf"^<{_P}tab"), "\t").when(
-        t.rlike(rf"^<{_P}(?:br|cr)"), "\n").otherwise(F.regexp_replace(t, "^[^>]*+>", ""))), "")
-
-    def has(name: str) -> Column:
-        return run.rlike(rf'<{_P}{name}(?:\s*+/>|\s[^>]*+>)') & ~run.rlike(rf'<{_P}{name}\s[^>]*?val="(?:0|false|none)"')
-
-    def marked(text: Column, mark: str, name: str) -> Column:
-        return F.when(has(name) & text.rlike(r"\S"), F.regexp_replace(text, r"(?s)^(\s*+)(.*?)(\s*)$", f"$1{mark}$2{mark}$3")).otherwise(text)
-
-    return marked(marked(text, "*", "i"), "**", "b")
-
-
-def _paragraph_text(block: Column) -> Column:
-    runs = F.regexp_extract_all(block, F.lit(_DOCX_RUN), F.lit(0))
-    # marks of neighbouring runs meet
-    return html_unescape(F.replace(F.array_join(F.transform(runs, _run_text), ""), F.lit("****"), F.lit("")))
-
-
-def _table_text(block: Column) -> Column:
-    """A table as Markdown, its first row as the header."""
-    pieces = lambda x, tag: F.regexp_extract_all(x, F.lit(rf"(?s)<{_P}{tag}(?:\s[^>]*+)?>.*?</{_P}{tag}>"), F.lit(0))
-    cell = lambda c: F.replace(F.regexp_replace(F.array_join(F.transform(pieces(c, "p"), _paragraph_text), " "), r"\s++", " "), F.lit("|"), F.lit("\\|"))
-    lines = F.transform(pieces(block, "tr"), lambda r: F.concat(
-        F.lit("| "), F.array_join(F.transform(pieces(r, "tc"), lambda c: F.trim(cell(c))), " | "), F.lit(" |")))
-    width = F.size(pieces(F.get(pieces(block, "tr"), 0), "tc"))
-    rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), width))
-    return F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, 1_000_000)), "\n")
-
-
-def scan_docx_blocks(members: DataFrame) -> DataFrame:
-    """(doc_id, block_no, style, level, text): paragraphs and tables in order; level is null outside headings.
-
-    All text of a paragraph counts: runs, links, insertions, content controls. List
-    items begin with a dash, indented by level; a table is one block of style `Table`.
-    """
-    body = F.col("content").cast("string")
-    part = members.where(F.col("member").rlike(r"^word/document\.xml$"))
-    blocks = part.select(F.col("path").alias("doc_id"), F.posexplode(F.regexp_extract_all(body, F.lit(_DOCX_BLOCK), F.lit(0))).alias("no", "p"))
-    table = F.col("p").rlike(rf"^<{_P}tbl>")
-    style = F.nullif(F.regexp_extract("p", rf'<{_P}pStyle\s[^>]*?val="([^"]*+)"', 1), F.lit(""))
-    level = F.regexp_extract(F.col("style"), "(?i)^heading ?([1-6])$", 1).try_cast("int")
-    indent = F.coalesce(F.regexp_extract("p", rf'<{_P}ilvl\s[^>]*?val="([0-9])"', 1).try_cast("int"), F.lit(0))
-    item = F.col("p").rlike(rf"<{_P}numPr[\s/>]")
-    dash = F.when(item, F.concat(F.repeat(F.lit("  "), indent), F.lit("- "))).otherwise(F.lit(""))
-    return blocks.withColumn("style", F.when(table, "Table").otherwise(style)).select(
-        "doc_id", F.col("no").cast("bigint").alias("block_no"), "style", F.when(table, None).otherwise(level).alias("level"),
-        F.when(table, _table_text(F.col("p"))).otherwise(F.concat(dash, _paragraph_text(F.col("p")))).alias("text"))
-
-
 def docx_media(members: DataFrame) -> DataFrame:
     """Embedded pictures with format and size."""
     dims = image_dims("content")
