@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from folioweave.catalog.common import table
 from folioweave.operators import tables as tb
-from folioweave.sources.files import csv_cells
+from folioweave.session import shared_dir
+from folioweave.sources import files
 
 COLS = ["c_custkey", "c_name", "c_mktsegment"]
 LINE = ["l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipmode_no", "l_quantity"]
@@ -193,14 +194,20 @@ FROM u GROUP BY doc_id, mode, idx // 1024"""
 
 
 def scan_csv_cells(s, d):
-    """Customers written as CSV text, a hundred per file, and read back."""
-    q = F.concat(F.col("c_custkey").cast("string"), F.lit(',"'), F.col("c_name"), F.lit(', ""'), F.col("c_mktsegment"), F.lit('"""'))
-    c = table(s, d, "customer").select(F.floor(F.col("c_custkey") / 100).cast("bigint").alias("doc_id"), F.struct("c_custkey", q.alias("line")).alias("r"))
-    text = F.concat(F.lit("key,name\n"), F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["line"]), "\n"), F.lit("\n"))
-    return csv_cells(c.groupBy("doc_id").agg(text.alias("content"))).select("doc_id", "row_index", "col_index", "text", "is_header")
-
-
-SQL_CSV = """WITH r AS (SELECT c_custkey // 100 AS doc_id, row_number() OVER (PARTITION BY c_custkey // 100 ORDER BY c_custkey) AS row_index, c_custkey, c_name || ', "' || c_mktsegment || '"' AS n FROM customer)
+    """Customers written as CSV files, a hundred per file, every third file with line breaks in its fields, and scanned."""
+    out = shared_dir(s, "csv")
+    c = table(s, d, "customer").select(F.floor(F.col("c_custkey") / 100).cast("bigint").alias("file_no"), "c_custkey", "c_name", "c_mktsegment")
+    between = F.when(F.col("file_no") % 3 == 2, F.lit(',\n\n ""')).otherwise(F.lit(', ""'))
+    line = F.concat(F.col("c_custkey").cast("string"), F.lit(',"'), F.col("c_name"), between, F.col("c_mktsegment"), F.lit('"""'))
+    lines = c.select("file_no", F.col("c_custkey").alias("k"), line.alias("value")).unionByName(
+        c.select("file_no").distinct().select("file_no", F.lit(-1).cast("bigint").alias("k"), F.lit("key,name").alias("value")))
+    lines.repartition("file_no").sortWithinPartitions("file_no", "k").select("file_no", "value").write.partitionBy("file_no").text(out)
+    cells = files.scan_csv_cells(s, out, "*.txt")
+    return cells.select(F.regexp_extract("doc_id", "file_no=([0-9]+)", 1).cast("bigint").alias("doc_id"), "row_index", "col_index", "text", "is_header")
+
+
+SQL_CSV = """WITH r AS (SELECT c_custkey // 100 AS doc_id, row_number() OVER (PARTITION BY c_custkey // 100 ORDER BY c_custkey) AS row_index, c_custkey,
+  c_name || CASE c_custkey // 100 % 3 WHEN 2 THEN ',' || chr(10) || chr(10) || ' "' ELSE ', "' END || c_mktsegment || '"' AS n FROM customer)
 SELECT doc_id, row_index, 0::BIGINT AS col_index, CAST(c_custkey AS VARCHAR) AS text, false AS is_header FROM r UNION ALL SELECT doc_id, row_index, 1, n, false FROM r
 UNION ALL SELECT DISTINCT doc_id, 0, 0, 'key', true FROM r UNION ALL SELECT DISTINCT doc_id, 0, 1, 'name', true FROM r"""
 

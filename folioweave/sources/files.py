@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioweave.operators.grouping import block_of
+from folioweave.sources.delimited import csv_cells, scan_csv_cells  # noqa: F401  part of this module's interface
 
 CORPUS_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 CHILDREN_PER_PART = 4096
@@ -32,39 +33,6 @@ def scan_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-_FIELD = r'''(?:"(?:[^"]++|"")*+"[^,\n]*+|[^,\n]*+)'''
-
-
-def csv_cells(docs: DataFrame, content: str = "content") -> DataFrame:
-    """Delimited text (doc_id, content) to cells; quoted fields may hold commas and newlines.
-
-    A quote counts only at the start of a field and if it is closed. The patterns are
-    possessive: they need no stack, however many fields or quotes a record has.
-    """
-    body = F.replace(F.col(content), F.lit("\r\n"), F.lit("\n"))
-    records = F.regexp_extract_all(body, F.lit(f"{_FIELD}(?:,{_FIELD})*+"), F.lit(0))
-    records = F.filter(records, lambda r: r != "")
-    fields = F.regexp_extract_all(F.concat(F.lit(","), F.col("rec")), F.lit(f",({_FIELD})"), F.lit(1))
-
-    def plain(f):
-        inner = F.replace(F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))
-        return F.when(f.startswith('"') & f.endswith('"') & (F.length(f) >= 2), inner).otherwise(f)
-
-    rows = docs.select("doc_id", F.posexplode(records).alias("row_index", "rec"))
-    cells = rows.select("doc_id", "row_index", F.posexplode(F.transform(fields, plain)).alias("col_index", "text"))
-    return cells.select(
-        "doc_id", F.lit(0).cast("bigint").alias("table_index"), F.col("row_index").cast("bigint").alias("row_index"),
-        F.col("col_index").cast("bigint").alias("col_index"), "text", (F.col("row_index") == 0).alias("is_header"))
-
-
-def scan_csv_cells(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
-    """CSV files to cells, one document per file."""
-    from folioweave.functions import decode_text
-
-    files = scan_corpus(spark, folder, pattern, recursive=True)
-    return csv_cells(files.select(F.col("path").alias("doc_id"), decode_text("content").alias("content")))
-
-
 def scan_corpus_stream(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """Files as they arrive; new ones are picked up by each micro-batch."""
     return (

@@ -1,12 +1,14 @@
 """Table jobs: round trips, formats, wide and empty sheets, parts of large tables."""
 
+import random
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from folioweave.operators import tables as tb
-from folioweave.sources.files import csv_cells
+from folioweave.sources.delimited import csv_cells, csv_records, scan_csv_cells
 
 RUNS = settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
 WORD = st.text(alphabet="ab|\\ é.-1", max_size=6).map(lambda t: " ".join(t.replace("\\", "").split()))
@@ -96,6 +98,43 @@ def test_csv_quotes(spark):
         ["a", "b", "c"], ["1", 'x, "y"', ""], ["multi\nline", "2", "3"], ["", "", ""]]
 
 
+@pytest.mark.parametrize("split", [7, 64, 1 << 20])
+def test_csv_files_in_splits(spark, tmp_path, split):
+    """Files cut anywhere give the cells of the whole text, whatever their quotes do."""
+    rng = random.Random(split)
+    texts = ["", "\n\n", "a,b\n1,2", 'a,"b\nc"\n"d\n\n""e"",",f\r\n\r\ng\r\n', 'open,"never\nclosed,x\n\n"",y\nlast', 'x"y"z,"q"w"e\nr,"', "é,ü\n", 'h\n"a\n\nb",c\n"u\nv\n']
+    for _ in range(25):
+        texts.append("".join(rng.choice(['"', '""', ",", "\n", "\n\n", "\r\n", "ab", "c", ' "']) for _ in range(rng.randint(1, 60))))
+    (tmp_path / "in").mkdir()
+    for i, t in enumerate(texts):
+        (tmp_path / "in" / f"{i}.csv").write_bytes(t.encode("latin-1") if i == 6 else t.encode())
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, content string")
+    want = sorted((r.doc_id, r.row_index, r.col_index, r.text, r.is_header) for r in csv_cells(docs).collect())
+    conf = {"spark.sql.files.maxPartitionBytes": str(split), "spark.sql.files.openCostInBytes": "1"}
+    kept = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = scan_csv_cells(spark, str(tmp_path / "in")).withColumn("n", F.regexp_extract("doc_id", "([0-9]+)[.]csv$", 1).cast("int"))
+        assert sorted((r.n, r.row_index, r.col_index, r.text, r.is_header) for r in got.collect()) == want
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_large_csv_file_is_many_tasks(spark, tmp_path):
+    (tmp_path / "big.csv").write_text("".join(f'{i},"two{chr(10) if i % 5 == 0 else " "}lines"\n' for i in range(20_000)))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 8
+        records = csv_records(spark, str(tmp_path))
+        assert records.agg(F.count("*"), F.min("row_index"), F.max("row_index"), F.countDistinct("row_index")).first()[:] == (20_000, 0, 19_999, 20_000)
+        assert records.where("row_index = 15005").first().rec == '15005,"two\nlines"'
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
 @pytest.mark.parametrize("mode, want", [
     ("combined", "# Excel Workbook: w.xlsx\n*Contains 2 sheet(s)*\n\n## Sheet: One\nA\n\n\n---\n\n## Sheet: Two\nB\n\n\n---\n\n"),
     ("separate", "# One\n\nA\n\n\n\n# Two\n\nB\n\n"),
