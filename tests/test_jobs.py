@@ -1,7 +1,9 @@
 """Packages, batch conversion, data formats, errors and streams."""
 
 import io
+import json
 import os
+import random
 import zipfile
 
 import pytest
@@ -15,7 +17,7 @@ from folioweave.plans.batch import convert_corpus
 from folioweave.plans.pages import pages_to_results
 from folioweave.session import shared_dir
 from folioweave.sources import files, packages as pk
-from folioweave.sources.markup_data import scan_json, scan_xml
+from folioweave.sources.markup_data import deep_json, scan_json, scan_xml
 from folioweave.streaming import jobs
 
 ROWS = [(1, "Ann & Co", "ONE"), (2, "Bob", "TWO")]
@@ -167,6 +169,76 @@ def test_json_and_xml(spark):
     assert [(r.id, r.text, r.error) for r in got] == [(1, "text", None), (2, None, "invalid XML")]
 
 
+def _flat(v, path=""):
+    """Leaves of a parsed document with their paths."""
+    if isinstance(v, dict) and v:
+        return [x for k, w in v.items() for x in _flat(w, f"{path}.{k}" if path else k)]
+    if isinstance(v, list) and v:
+        return [x for i, w in enumerate(v) for x in _flat(w, f"{path}[{i}]")]
+    return [(path, "{}" if v == {} else "[]" if v == [] else None if v is None else v if isinstance(v, str) else json.dumps(v))]
+
+
+def test_json_of_any_depth(spark):
+    rng = random.Random(1)
+
+    def made_up(depth):
+        kind = rng.random()
+        if depth == 0 or kind < 0.25:
+            return rng.choice([1, -20, True, None, "x", "a[b]", '"q" \\ é\n', "", {}, []])
+        some = [made_up(depth - 1) for _ in range(rng.randint(0, 3))]
+        return some if kind < 0.6 else {rng.choice("abcd") + str(i): v for i, v in enumerate(some)}
+
+    whole = [made_up(rng.randint(0, 9)) for _ in range(60)]
+    texts = {i: json.dumps(v, ensure_ascii=i % 2 == 0, indent=i % 3 or None) for i, v in enumerate(whole)}
+    want = sorted((i, p, v, None) for i, w in enumerate(whole) for p, v in _flat(w))
+    df = spark.createDataFrame(list(texts.items()), "id int, s string")
+    key = lambda r: (r[0], r[1], str(r[2]))
+    assert sorted(map(tuple, scan_json(df, "id", "s").collect()), key=key) == sorted(want, key=key)
+    direct = deep_json(df.selectExpr("id as key", "'' as path", "s as text"))
+    assert sorted(map(tuple, direct.collect()), key=key) == sorted(want, key=key)
+
+
+def test_json_validity(spark):
+    """Texts changed at random: valid where the standard parser says so, by either way."""
+    rng = random.Random(2)
+    seeds = ['{"a": [1, {"b": "x"}, []], "c": -1.5e3}', '[[1, 2], {"k": {"l": null}}, "s"]', '{"x": {"y": [true, false]}}']
+    texts = []
+    for _ in range(300):
+        t = list(rng.choice(seeds))
+        for _ in range(rng.randint(1, 2)):
+            t[rng.randrange(len(t))] = rng.choice(["", "[", "]", "{", "}", ",", ":", '"', "1", "0", " ", "e", "-", ".", "\\"])
+        texts.append("".join(t))
+
+    def valid(t):
+        def once(pairs):
+            if len({k for k, _ in pairs}) < len(pairs):
+                raise ValueError
+            return dict(pairs)
+
+        try:
+            json.loads(t, object_pairs_hook=once, parse_constant=lambda _: 1 / 0)
+            return True
+        except (ValueError, ZeroDivisionError):
+            return False
+
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, s string")
+    want = {i for i, t in enumerate(texts) if not valid(t)}
+    assert 50 < len(want) < 290
+    direct = deep_json(df.selectExpr("id as key", "'' as path", "s as text"))
+    assert {r["key"] for r in direct.where("error is not null").collect()} == want
+    assert {r["id"] for r in scan_json(df, "id", "s").where("error is not null").collect()} == want
+
+
+def test_json_plan_does_not_depend_on_the_documents(spark):
+    small = spark.createDataFrame([(1, "[1]")], "id int, s string")
+    deep = spark.createDataFrame([(1, "[" * 5000 + "]" * 5000), (2, "[" * 60), (3, "[" * 3000), (4, '{"a":' * 1200 + "1" + "}" * 1200)], "id int, s string")
+    lines = [len(scan_json(df, "id", "s")._jdf.queryExecution().optimizedPlan().toString().split("\n")) for df in (small, deep)]
+    assert lines[0] == lines[1]
+    got = {r["id"]: r for r in scan_json(deep, "id", "s").collect()}
+    assert got[1]["path"] == "[0]" * 4999 and got[1]["value"] == "[]" and got[2]["error"] == got[3]["error"] == "invalid JSON"
+    assert got[4]["path"] == ".".join(["a"] * 1200) and got[4]["value"] == "1"
+
+
 def test_fail_fast(spark):
     df = spark.createDataFrame([(1, "a"), (2, None)], "id int, v string")
     assert {r.id: r.status for r in outcome.guard(df, "v", F.lit("bad")).collect()} == {1: "ok", 2: "error"}
