@@ -43,7 +43,7 @@ RANGE = 1 << 13       # bytes of a fragment of a longer text
 FAN = 16              # fragments that a step of the tree composes
 BLOCK_CHARS = 2_000_000  # characters of the texts of a block, about
 BLOCK_TEXTS = 20_000  # texts of a block at most
-_KEPT = 200_000       # words whose fragments a task keeps from block to block
+_KEPT = 100_000       # words whose fragments a task keeps from block to block
 LATIN = 0x250         # characters below this one have a faster encoder
 _BEYOND = chr(LATIN)
 LINE = 512            # words whose tokens are made at a time

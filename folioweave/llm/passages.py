@@ -149,14 +149,14 @@ def signatures(texts: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndar
     return np.array(owner, np.int64)[which] if len(owner) else which, key, place, body
 
 
-def _edition(s: np.ndarray) -> int:
-    """Tells texts of one doc_id apart."""
+def _edition(s: np.ndarray, several: bool) -> int:
+    """Tells texts of one doc_id apart, where there are `several`."""
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(s.tobytes()) >> 33
+    return xxhash.xxh3_64_intdigest(s.tobytes()) >> 33 if several else 0
 
 
-def _windows(docs: DataFrame, width: int, shingle: int) -> DataFrame:
+def _windows(docs: DataFrame, width: int, shingle: int, several: bool) -> DataFrame:
     """key, doc, place, body of all joint windows of all texts; the upper half of `body` is the text's edition."""
     bound_batches(docs.sparkSession)
 
@@ -169,7 +169,7 @@ def _windows(docs: DataFrame, width: int, shingle: int) -> DataFrame:
                 if not long:
                     continue
                 which, key, place, body = signatures([cut[i] for i in long], width)
-                editions = np.array([_edition(cut[i]) for i in long], np.int64)
+                editions = np.array([_edition(cut[i], several) for i in long], np.int64)
                 body = editions[which] << 32 | body.astype(np.int64) & 0xFFFFFFFF
                 doc = ids[lo:hi][np.array(long)][which]
                 for at in range(0, len(key), 200_000):
@@ -191,10 +191,10 @@ def _led(windows: DataFrame, bodies: bool, within: bool = False) -> tuple[DataFr
     With `within`, also the further windows of that document itself, unless they are equal to its earliest one.
     Second comes the path of the table it reads.
 
-    One range partitioning by signature, document and place brings the earliest window
-    of a signature to the front of its rows. As the sort key goes beyond the signature,
-    rows of a frequent one fill several partitions; each then takes the front row of its
-    own rows first, and a join with those few front rows sets them right.
+    One range partitioning by signature, document and place brings the rows of a
+    signature together, those of a frequent one in several partitions; each then takes
+    the earliest window of its own rows first, and a join with those few front rows sets
+    them right.
     """
     names = [part.split()[0] for part in _LED.split(", ")]
 
@@ -207,58 +207,72 @@ def _led(windows: DataFrame, bodies: bool, within: bool = False) -> tuple[DataFr
             key, doc, place, body = (np.array([v], np.int64) for v in lead)
             return batch(2, doc, doc, key, place, place, body, body, np.array([False]))
 
-        lead, first = None, None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            key, doc, place, body = (b.column(i).to_numpy() for i in range(4))
-            if first is None:
-                first = key[0]
-            new = np.append(lead is None or key[0] != lead[0], key[1:] != key[:-1])
-            at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-            own = np.maximum(at, 0)
+        first = last = None  # the partition's first key; the lead of the group settled last
+
+        def settled(groups):
+            """Rows of whole groups of one key each: the earliest window of a group leads the others."""
+            nonlocal last
+            key, doc, place, body = (np.concatenate(c) for c in zip(*groups))
+            order = np.lexsort((place, doc, key))
+            key, doc, place, body = (c[order] for c in (key, doc, place, body))
+            own = np.maximum.accumulate(np.where(np.append(True, key[1:] != key[:-1]), np.arange(len(key)), 0))
             doc2, place2, body2 = doc[own], place[own], body[own]
-            carried = at < 0
-            if carried.any():
-                doc2[carried], place2[carried], body2[carried] = lead[1:]
-            if lead is not None and lead[0] == first and key[0] != first:
-                yield front(lead)
-            if key[0] == first and key[-1] != first:
-                yield front((first, doc2[0], place2[0], body2[0]))
-            lead = (key[-1], doc2[-1], place2[-1], body2[-1])
-            edge = key == first
+            edge = key == first  # an earlier partition may have an earlier window
+            if edge[0]:
+                yield front((key[0], doc[0], place[0], body[0]))
+            last = tuple(c[own[-1]] for c in (key, doc, place, body))
             equal = (body & _LOW == body2 & _LOW) & (place & 16383 == place2 & 16383) if bodies else np.zeros(len(key), bool)
             out = (doc != doc2) | edge
             if within:
                 out |= (place != place2) & ~equal
+            body, body2 = (np.where(equal & ~edge, 0, c) for c in (body, body2))  # not needed any more
             yield batch(edge[out].astype(np.int32), *(c[out] for c in (doc, doc2, key, place, place2, body, body2, equal)))
-        if lead is not None:
-            yield front(lead)
 
-    dealt = windows.select("key", "doc", "place", "body").repartitionByRange("key", "doc", "place").sortWithinPartitions("key", "doc", "place")
+        held = []  # the last group may go on in the next batch; no more is held than a partition has
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = [b.column(i).to_numpy() for i in range(4)]
+            key = rows[0]
+            first = key[0] if first is None else first
+            if held and held[-1][0][-1] != key[0]:
+                yield from settled(held)
+                held = []
+            cut = int(np.searchsorted(key, key[-1]))
+            if cut:
+                yield from settled([*held, [c[:cut] for c in rows]])
+                held = []
+            held.append([c[cut:] for c in rows])
+        if held:
+            yield from settled(held)
+        if last is not None and last[0] != first:
+            yield front(last)
+
+    dealt = windows.select("key", "doc", "place", "body").repartitionByRange("key", "doc", "place").sortWithinPartitions("key")
     out, path = kept(dealt.mapInArrow(run, _LED), "led")
-    columns = ["doc", "other", "key", "place", "place2", "body", "body2", "equal"]
     fronts = out.where("kind = 2").groupBy("key").agg(F.min(F.struct("doc", "place", "body")).alias("lead"))
-    same = F.expr(f"body & {_LOW} = lead.body & {_LOW} and place & 16383 = lead.place & 16383") if bodies else F.lit(False)
+    edge = F.col("kind") == 1
+    moved = F.expr(f"body & {_LOW} = lead.body & {_LOW} and place & 16383 = lead.place & 16383") if bodies else F.lit(False)
     # two front rows a partition at most are broadcast
-    edges = out.where("kind = 1").select("doc", "key", "place", "body").join(F.broadcast(fronts), "key").select(
-        "doc", F.col("lead.doc").alias("other"), "key", "place", F.col("lead.place").alias("place2"), "body",
-        F.col("lead.body").alias("body2"), same.alias("equal"))
-    return out.where("kind = 0").select(columns).unionByName(
-        edges.where("doc != other or place != place2 and not equal" if within else "doc != other")), path
+    found = out.where("kind < 2").join(F.broadcast(fronts), "key", "left").select(
+        "doc", "key", "place", "body", *[F.when(edge, new).otherwise(F.col(old)).alias(old) for old, new in (
+            ("other", F.col("lead.doc")), ("place2", F.col("lead.place")), ("body2", F.col("lead.body")), ("equal", moved))])
+    return found.where("doc != other or place != place2 and not equal" if within else "doc != other").select(
+        "doc", "other", "key", "place", "place2", "body", "body2", "equal"), path
 
 
+_BESIDE = 24  # shingles beside a window that are searched with it
 _REACH = 96  # shingles that a window may reach beyond its chunk, on either side
 
 
-def _pieces(docs: DataFrame, needed: DataFrame, shingle: int, chunk: int) -> DataFrame:
+def _pieces(docs: DataFrame, needed: DataFrame, shingle: int, chunk: int, several: bool) -> DataFrame:
     """doc, edition, piece, content: the needed pieces of texts as 32-bit shingle hashes, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for doc, text, pieces in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
                 s = shingles(text.as_py(), shingle)
-                edition = _edition(s)
+                edition = _edition(s, several)
                 s = s.astype(np.uint32)
                 mine = [p["piece"] for p in pieces if p["edition"] == edition]
                 got = [s[max(0, p * chunk - _REACH):(p + 1) * chunk + _REACH].tobytes() for p in mine]
@@ -269,7 +283,7 @@ def _pieces(docs: DataFrame, needed: DataFrame, shingle: int, chunk: int) -> Dat
     one = docs.join(needed.groupBy("doc").agg(F.collect_set(F.struct("edition", "piece")).alias("pieces")), docs["doc_id"] == F.col("doc"))
     found = stored(one.select("doc_id", "text", "pieces").mapInArrow(run, "doc long, edition long, piece long, content binary"), "pieces")
     keys = ["doc", "edition", "piece"]
-    if found.groupBy(*keys).count().where("count > 1").limit(1).count():  # repeated rows
+    if several:  # repeated rows
         found = stored(found.groupBy(*keys).agg(F.min("content").alias("content")), "pieces")
     return found
 
@@ -277,6 +291,11 @@ def _pieces(docs: DataFrame, needed: DataFrame, shingle: int, chunk: int) -> Dat
 def _paired(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions of equal values; of a value that either has several times the k-th ones belong together."""
 
+    if len(np.unique(a)) == len(a) and len(np.unique(b)) == len(b):
+        _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+        order = np.argsort(i)
+        return i[order], j[order]
+
     def numbered(v: np.ndarray) -> list[tuple[int, int]]:
         seen: dict[int, int] = {}
         out = []
@@ -368,53 +387,78 @@ def _alike(a: np.ndarray, b: np.ndarray, least: int, similarity: float) -> tuple
     return int(x[best]), int(y[best])
 
 
+def _agreement(a: np.ndarray, b: np.ndarray, at: np.ndarray, bt: np.ndarray, sign: int, most: int) -> np.ndarray:
+    """How many shingles of `a` from each place on, up to `most`, equal those of `b`, to the left or to the right."""
+    step = sign * np.arange(most)
+    x, y = at[:, None] + step, bt[:, None] + step
+    inside = (x >= 0) & (x < len(a)) & (y >= 0) & (y < len(b))
+    same = inside & (a[np.where(inside, x, 0)] == b[np.where(inside, y, 0)])
+    return np.where(same.all(axis=1), most, same.argmin(axis=1))
+
+
+def _dense(common: np.ndarray, lo: np.ndarray, hi: np.ndarray, width: int, share: float) -> np.ndarray:
+    """Whether each range has `width` or more positions in a row of which at least `share` are common; no similar stretch has less."""
+    excess = np.concatenate([[0], np.cumsum(common - share)])
+    at = lo[:, None] + np.arange(2 * width)
+    rows = np.where(at <= hi[:, None], excess[np.minimum(at, hi[:, None])], -np.inf)
+    return (rows[:, width:] - np.minimum.accumulate(np.where(np.isinf(rows), np.inf, rows), axis=1)[:, :width] >= -1e-9).any(axis=1)
+
+
+def _united(first: np.ndarray, last: np.ndarray) -> list[tuple[int, int]]:
+    """Overlapping and adjoining ranges as one."""
+    order = np.argsort(first, kind="stable")
+    first, last = first[order], last[order]
+    upto = np.maximum.accumulate(last)
+    new = np.append(True, first[1:] > upto[:-1]) if len(first) else np.empty(0, bool)
+    ends = np.append(new[1:], True) if len(first) else new
+    return list(zip(first[new].tolist(), upto[ends].tolist()))
+
+
 def check_piece(a: np.ndarray, b: np.ndarray, a0: int, b0: int, key: np.ndarray, place: np.ndarray, other: np.ndarray, width: int,
-                similarity: float) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
+                similarity: float, spans_too: bool = True) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
     """Passages of one piece that occur in another; finer signatures of windows that differ from theirs, and these windows' places.
 
     Those with a passage have finer ones too: a later text may share with them what the other piece lacks.
 
     `a`, `b`: shingles of the pieces; a0, b0: positions of their first ones; key, place,
     other: signature, place in a and place in b of each window. Passages are (first,
-    last + 1) shingle. The pieces are laid beside one another once for each distance
-    of two places, and their common shingles in order are searched once; windows with
-    common shingles in another order are searched one by one.
+    last + 1) shingle, without `spans_too` none. Equal shingles around all places are
+    counted at once, common shingles in order are searched once; windows with common
+    shingles in another order are searched one by one.
     """
     at, bt = (place >> 14) - a0, (other >> 14) - b0
     lo, hi = np.maximum(at - (place >> 7 & 127), 0), np.minimum(at + (place & 127) + 1, len(a))
     lo2, hi2 = np.maximum(bt - (other >> 7 & 127), 0), np.minimum(bt + (other & 127) + 1, len(b))
-    first, last = at.copy(), at.copy()  # the run of equal shingles around the place; empty if these differ
-    spans = []
-    shifts, which = np.unique(at - bt, return_inverse=True)
-    for n, shift in enumerate(shifts.tolist()):
-        x0, x1 = max(0, shift), min(len(a), len(b) + shift)
-        differ = np.concatenate([[x0 - 1], np.flatnonzero(a[x0:x1] != b[x0 - shift:x1 - shift]) + x0, [x1]])
-        spans += [(int(x) + a0, int(y) + a0) for x, y in zip(differ[:-1] + 1, differ[1:]) if y - x >= width]
-        mine = np.flatnonzero(which == n)
-        nth = np.searchsorted(differ, at[mine])
-        same = differ[nth] != at[mine]
-        first[mine[same]], last[mine[same]] = differ[nth[same] - 1] + 1, differ[nth[same]]
+    before, after = _agreement(a, b, at, bt, -1, width), _agreement(a, b, at, bt, 1, width)
+    first, last = at - np.maximum(before - 1, 0), at + after  # the equal shingles around the place; none if these differ
+    found = last - first >= width
+    spans = [(x + a0, y + a0) for x, y in _united(first[found], last[found])] if spans_too else []
     finer, places = [], []
-    for sign, x in ((-1, np.where(last > first, first - 1, at)), (1, np.where(last > first, last, at))):
+    for x in (np.where(after > 0, first - 1, at), np.where(after > 0, last, at)):
         out = np.flatnonzero((lo <= x) & (x < hi))  # where the two part within the window
         mark = (a[x[out]].astype(np.uint64) << _U(9) | ((x[out] - at[out]) & 511).astype(np.uint64)) + key[out].view(np.uint64) * _U(0x9E3779B97F4A7C15)
         finer.append(_mix(mark).view(np.int64))
         places.append(place[out])
+    if not spans_too:
+        return [], np.concatenate(finer), np.concatenate(places)
 
-    left = np.flatnonzero(last - first < width)
+    left = np.flatnonzero(~found)
     if len(left):
-        least = int(np.ceil(width * similarity - 1e-9))
         common, common2 = np.isin(a, b), np.isin(b, a)
-        have, have2 = (np.concatenate([[0], np.cumsum(x)]) for x in (common, common2))
-        left = left[(have[hi[left]] - have[lo[left]] >= least) & (have2[hi2[left]] - have2[lo2[left]] >= least)]
+        left = left[_dense(common, lo[left], hi[left], width, similarity)]
+        left = left[_dense(common2, lo2[left], hi2[left], width, similarity)]
     if len(left):
         some, settled = _similar_in_order(a, b, width, similarity)
         for x, y in some:
             spans.append((x + a0, y + a0))
             common[x:y] = False
-        # shingles in the same order in both are settled; others may be common to stretches in another order
-        other_order = common.copy()
+        # shingles in the same order in both are settled; others may be common to stretches in another order,
+        # of windows whose place lies in none of the passages found
+        other_order, free = common.copy(), np.ones(len(a), bool)
         other_order[settled] = False
+        for x, y in spans:
+            free[x - a0:y - a0] = False
+        left = left[free[at[left]]]
     while len(left):
         new = np.concatenate([[0], np.cumsum(other_order)])
         gain = new[hi[left]] - new[lo[left]]
@@ -423,11 +467,15 @@ def check_piece(a: np.ndarray, b: np.ndarray, a0: int, b0: int, key: np.ndarray,
             break
         best = int(gain.argmax())
         i, left = left[best], np.delete(left, best)
-        near = _alike(a[lo[i]:hi[i]], b[lo2[i]:hi2[i]], width, similarity)
+        # a little more than the window: what lies within is searched with it
+        x0, x1, y0, y1 = max(0, lo[i] - _BESIDE), min(len(a), hi[i] + _BESIDE), max(0, lo2[i] - _BESIDE), min(len(b), hi2[i] + _BESIDE)
+        near = _alike(a[x0:x1], b[y0:y1], width, similarity)
         if near:
-            x, y = near[0] + int(lo[i]), near[1] + int(lo[i])
+            x, y = near[0] + int(x0), near[1] + int(x0)
             spans.append((x + a0, y + a0))
             other_order[x:y] = False  # found
+        else:
+            left = left[(lo[left] < x0) | (hi[left] > x1) | (lo2[left] < y0) | (hi2[left] > y1)]
     return spans, np.concatenate(finer), np.concatenate(places)
 
 
@@ -446,9 +494,8 @@ def _checked(units: DataFrame, width: int, similarity: float, chunk: int) -> Dat
                 part = slice(ends[r], ends[r + 1])
                 spans, finer, places = check_piece(
                     np.frombuffer(x[r].as_buffer(), np.uint32), np.frombuffer(y[r].as_buffer(), np.uint32), max(0, piece[r] * chunk - _REACH),
-                    max(0, piece2[r] * chunk - _REACH), key[part], place[part], place2[part], width, similarity)
-                if doc[r] != other[r]:
-                    found += [(doc[r], other[r], s, e) for s, e in spans]
+                    max(0, piece2[r] * chunk - _REACH), key[part], place[part], place2[part], width, similarity, doc[r] != other[r])
+                found += [(doc[r], other[r], s, e) for s, e in spans]
                 again.append((np.full(len(finer), doc[r]), finer, places, np.full(len(finer), edition[r] << 32)))
             cols = [pa.array(c, pa.int64()) for c in list(zip(*found)) or [()] * 4]
             none = pa.nulls(len(found), pa.int64())
@@ -478,7 +525,8 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, similarity: float
     if not 8 <= width <= 64:
         raise ValueError("a passage has 7 to 63 words more than a shingle")
     plain = as_document(docs).where("doc_id is not null and text is not null")
-    windows, path = kept(_windows(plain, width, shingle), "windows")
+    several = bool(plain.groupBy("doc_id").count().where("count > 1").limit(1).count())
+    windows, path = kept(_windows(plain, width, shingle, several), "windows")
     bodies, found, content = True, None, None
     while True:
         pair, led = _led(windows, bodies, True)
@@ -492,7 +540,7 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, similarity: float
         if content is None:
             needed = units.select("doc", "edition", "piece").unionByName(
                 units.select(F.col("other").alias("doc"), F.col("edition2").alias("edition"), F.col("piece2").alias("piece"))).distinct()
-            content = _pieces(plain, needed, shingle, CHUNK)
+            content = _pieces(plain, needed, shingle, CHUNK, several)
         theirs = content.toDF("other", "edition2", "piece2", "content2")
         checked, path = kept(_checked(
             units.join(content, ["doc", "edition", "piece"]).join(theirs, ["other", "edition2", "piece2"]), width, similarity, CHUNK), "checked")
