@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioweave.llm.common import checkpointed
+from folioweave.llm.common import checkpointed, free_names
 from folioweave.session import shared_dir
 
 LEVELS = ("domain", "lang", "source")
@@ -92,16 +92,17 @@ def leaf_budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     return low.select(*LEVELS, "have", "given")
 
 
-def _placed(docs: DataFrame, domain: Column | None) -> DataFrame:
+def _placed(docs: DataFrame, domain: Column | None, leaf: str, tokens: str) -> DataFrame:
+    """`docs` with the leaf (a struct) and the number of tokens of each document, under names they do not have."""
     named = {c: F.coalesce(F.col(c).cast("string"), F.lit(NONE)) if c in docs.columns else F.lit(NONE) for c in ("lang", "source")}
     where = domain if domain is not None else domain_of_source(F.col("source") if "source" in docs.columns else F.lit(None))
     return docs.select("*", F.struct(F.coalesce(where, F.lit(NONE)).alias("domain"), named["lang"].alias("lang"),
-                                     named["source"].alias("source")).alias("_leaf"), token_count(F.col("text")).alias("_tokens"))
+                                     named["source"].alias("source")).alias(leaf), token_count(F.col("text")).alias(tokens))
 
 
-def _key(seed: int) -> Column:
+def _key(seed: int, full: str) -> Column:
     """Order of a leaf's documents in the epoch that is taken in part."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("full").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(NONE))).cast("binary"))
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(full).cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(NONE))).cast("binary"))
 
 
 def mixed(docs: DataFrame, mix: Mix = Mix(), domain: Column | None = None) -> DataFrame:
@@ -118,11 +119,12 @@ def mixed(docs: DataFrame, mix: Mix = Mix(), domain: Column | None = None) -> Da
     """
     spark = docs.sparkSession
     plain = docs.drop("mix_domain", "mix_tokens", "mix_copies")
-    placed = _placed(plain, domain).where("_tokens > 0")
-    narrow = checkpointed(placed.select(F.col("doc_id").cast("string").alias("doc_id"), "_leaf.*", F.col("_tokens").alias("tokens")))
+    leaf, tokens, of, full, end = free_names(plain.columns, "leaf", "tokens", "of", "full", "end")
+    placed = _placed(plain, domain, leaf, tokens).where(F.col(tokens) > 0)
+    narrow = checkpointed(placed.select(F.col("doc_id").cast("string").alias("doc_id"), f"{leaf}.*", F.col(tokens).alias("tokens")))
     leaves = leaf_budgets(narrow.groupBy(*LEVELS).agg(F.sum("tokens").alias("have")), mix)
     leaves = checkpointed(leaves.select(*LEVELS, F.expr("given div have").alias("full"), F.expr("given % have").alias("rest")))
-    keyed = narrow.join(leaves, list(LEVELS)).withColumn("key", _key(mix.seed)).withColumn("slice", F.substring("key", 1, BUCKETS))
+    keyed = narrow.join(leaves, list(LEVELS)).withColumn("key", _key(mix.seed, "full")).withColumn("slice", F.substring("key", 1, BUCKETS))
     before = Window.partitionBy(*LEVELS).orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
     cut = (
         keyed.groupBy(*LEVELS, "slice").agg(F.sum("tokens").alias("n"), F.first("rest").alias("rest"))
@@ -135,14 +137,14 @@ def mixed(docs: DataFrame, mix: Mix = Mix(), domain: Column | None = None) -> Da
         .groupBy(*LEVELS, "slice").agg(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("key"))).alias("key"))
     )
     ends = leaves.join(last, list(LEVELS), "left").select(
-        F.struct(*LEVELS).alias("_of"), F.col("full").alias("_full"), F.coalesce("key", "slice").alias("_end"))
+        F.struct(*LEVELS).alias(of), F.col("full").alias(full), F.coalesce("key", "slice").alias(end))
     path = shared_dir(spark, "leaf-ends")
     ends.write.parquet(path)  # one row per leaf; from its size the planner decides whether to broadcast it
     ends = spark.read.parquet(path)
-    here = placed.join(ends, F.col("_leaf") == F.col("_of")).withColumn("full", F.col("_full")).withColumn("_key", _key(mix.seed))
-    copies = F.col("_full") + F.when(F.col("_key") <= F.col("_end"), 1).otherwise(0)
-    return here.withColumn("mix_copies", copies.cast("bigint")).where("mix_copies > 0").select(
-        *plain.columns, F.col("_leaf.domain").alias("mix_domain"), F.col("_tokens").alias("mix_tokens"), "mix_copies")
+    here = placed.join(ends, F.col(leaf) == F.col(of))
+    copies = (F.col(full) + F.when(_key(mix.seed, full) <= F.col(end), 1).otherwise(0)).cast("bigint")
+    return here.withColumn("mix_copies", copies).where("mix_copies > 0").select(
+        *[F.col(f"`{c}`") for c in plain.columns], F.col(leaf)["domain"].alias("mix_domain"), F.col(tokens).alias("mix_tokens"), "mix_copies")
 
 
 def mix_sql(mix: Mix, docs: str = "documents") -> str:

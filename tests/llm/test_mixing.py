@@ -6,6 +6,7 @@ from collections import defaultdict
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from folioweave.llm import mixing as M
 from tests.oracle import compare, connect
@@ -81,3 +82,16 @@ def test_sql(spark):
     got = M.mixed(docs, M.PRODUCTION).selectExpr(
         "doc_id", "mix_domain AS domain", "lang", "source", "mix_tokens AS tokens", "mix_copies AS copies")
     assert compare(connect("/root/testdata/sf0.001"), got, M.mix_sql(M.PRODUCTION)) is None
+
+
+def test_columns_named_like_those_added(spark):
+    names = ["full", "_key", "_leaf", "_tokens", "_of", "_full", "_end", "leaf", "tokens", "of", "end", "key", "rest", "slice", "a.b"]
+    plain = spark.createDataFrame([(i, f"word {i} and more", "en", f"src{i % 3}") for i in range(40)], "doc_id long, text string, lang string, source string")
+    docs = plain.select("*", *[F.lit(777).alias(n) for n in names])
+    mix = M.Mix(budget=60)
+    got = M.mixed(docs, mix)
+    assert got.columns == [*docs.columns, "mix_domain", "mix_tokens", "mix_copies"]
+    rows = got.collect()
+    assert rows and all(r[n] == 777 for r in rows for n in names)
+    bare = {(r["doc_id"], r["mix_copies"]) for r in M.mixed(plain, mix).collect()}
+    assert {(r["doc_id"], r["mix_copies"]) for r in rows} == bare
