@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioweave.catalog.common import table
 from folioweave.catalog.documents import R_STATS, rounded
-from folioweave.catalog.markup import SQL_RESULTS
+from folioweave.catalog.markup import SQL_RESULTS, SQL_VISIBLE
+from folioweave.operators.markup import html_to_text
 from folioweave.plans.pages import pages_to_results
 from folioweave.session import shared_dir
 from folioweave.sources.files import scan_corpus_stream
+from folioweave.sources.files import write_observed as write_metrics
 from folioweave.streaming import jobs
 
 
@@ -57,6 +60,55 @@ SELECT job_id, status, progress, message FROM j
 QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY CASE status WHEN 'pending' THEN 0 WHEN 'processing' THEN 1 ELSE 2 END DESC, ts DESC, status DESC, progress DESC, message DESC) = 1"""
 
 
+def job_transitions(s, d):
+    """Events in three micro-batches, dealt so that many come late: each accepted or rejected by the state of its job."""
+    out = shared_dir(s, "machine")
+    e = job_events(table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))).withColumn(
+        "nth", F.row_number().over(Window.partitionBy("job_id").orderBy("ts", "status", "progress", "message")) % 3)
+    for batch in (1, 2, 0):  # files are taken in the order of their time
+        e.where(F.col("nth") == batch).drop("nth").coalesce(1).write.mode("append").parquet(f"{out}/in")
+    stream = jobs.stream_pages(s, f"{out}/in", 1)
+    q = jobs.job_transitions(stream, 400 * 24 * 3600 * 1000).writeStream.outputMode("update").foreachBatch(
+        lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/rows/batch={batch}")).option("checkpointLocation", f"{out}/checkpoint")
+    q.trigger(availableNow=True).start().awaitTermination()
+    return s.read.option("basePath", f"{out}/rows").parquet(f"{out}/rows").select("job_id", "status", "progress", "message", "rejected")
+
+
+SQL_MACHINE = """WITH RECURSIVE j AS (SELECT event_id // 4 AS job_id, CASE event_type WHEN 'view' THEN 'pending' WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed' ELSE 'processing' END AS status,
+  value AS progress, props AS message, ts FROM events),
+n AS (SELECT *, CASE status WHEN 'pending' THEN 0 WHEN 'processing' THEN 1 ELSE 2 END AS rank, (row_number() OVER (PARTITION BY job_id ORDER BY ts, status, progress, message) + 2) % 3 AS batch FROM j),
+o AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY batch, ts, rank, progress, message) AS nth FROM n),
+m AS (SELECT o.*, NULL::VARCHAR AS rejected, rank AS at_rank, ts AS at_ts FROM o WHERE nth = 1
+  UNION ALL SELECT o.*, CASE WHEN m.at_rank >= 2 THEN 'ended' WHEN o.rank < m.at_rank THEN 'backward' WHEN o.ts < m.at_ts THEN 'late' END,
+    CASE WHEN m.at_rank >= 2 OR o.rank < m.at_rank OR o.ts < m.at_ts THEN m.at_rank ELSE o.rank END, CASE WHEN m.at_rank >= 2 OR o.rank < m.at_rank OR o.ts < m.at_ts THEN m.at_ts ELSE o.ts END
+  FROM m JOIN o ON o.job_id = m.job_id AND o.nth = m.nth + 1)
+SELECT job_id, status, progress, message, rejected FROM m"""
+
+
+def convert_contents(s, d):
+    """Pages, then the same pages under other numbers, then changed versions of some, in three micro-batches; conversions that ran."""
+    out = shared_dir(s, "contents")
+    p = table(s, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("content"))
+    arrivals = (p, p.withColumn("doc_id", F.col("doc_id") + 1_000_000),
+                p.where("doc_id % 10 = 0").withColumn("content", F.concat("content", F.lit("<p>changed</p>"))))
+    for part in arrivals:  # files are taken in the order of their time
+        part.coalesce(1).write.mode("append").parquet(f"{out}/in")
+
+    def convert(df):
+        texts = html_to_text(df.select(F.col("content_hash").alias("page_id"), F.col("content").alias("html")))
+        return texts.select(F.col("page_id").alias("content_hash"), F.md5("text").alias("text_md5"))
+
+    for q in jobs.convert_contents(jobs.stream_pages(s, f"{out}/in", 1), out, convert):
+        q.awaitTermination()
+    ran = s.read.parquet(f"{out}/results").agg(F.count(F.lit(1)).alias("conversions"))
+    return jobs.current_results(s, out).select("doc_id", "text_md5").join(ran).select("doc_id", "text_md5", "conversions")
+
+
+SQL_CONTENTS = f"""WITH v AS (SELECT page_id AS doc_id, html, 0 AS n FROM pages UNION ALL SELECT page_id + 1000000, html, 1 FROM pages UNION ALL SELECT page_id, html || '<p>changed</p>', 2 FROM pages WHERE page_id % 10 = 0),
+w AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC) = 1), pages AS (SELECT doc_id AS page_id, html FROM w)
+SELECT page_id AS doc_id, md5(text) AS text_md5, (SELECT count(DISTINCT html) FROM v) AS conversions FROM (SELECT page_id, {SQL_VISIBLE} AS text FROM pages)"""
+
+
 def dedup_ttl(s, d):
     """Users seen in the stream, each once: the data arrives in one batch, so no state expires in between."""
     out = shared_dir(s, "dedup")
@@ -95,7 +147,28 @@ def expire_table(s, d):
     return s.read.parquet(f"{out}/kept").select("event_id")
 
 
+def expire_dated(s, d):
+    """The same by days: old ones dropped whole, the day of the limit written again."""
+    out = shared_dir(s, "dated")
+    jobs.write_dated(table(s, d, "events").select("event_id", F.col("ts").alias("converted_at")), out)
+    jobs.expire_dated(s, out, "2024-01-20 07:30:00", 240)
+    return s.read.parquet(out).select("event_id", F.date_format("day", "yyyy-MM-dd").alias("day"))
+
+
+def write_observed(s, d):
+    """Rows of three writes as the metrics table has them, counted on the way."""
+    out = shared_dir(s, "observed")
+    for kind in ("view", "click", "error"):
+        rows = table(s, d, "events").where(F.col("event_type") == kind)
+        write_metrics(rows, f"{out}/{kind}", f"{out}/metrics", "write", {"kind": kind})
+    return s.read.parquet(f"{out}/metrics").select("operation", F.col("attrs")["kind"].alias("kind"), F.col("attrs")["rows"].cast("bigint").alias("n"))
+
+
 QUERIES = {
+    "job_transitions": (job_transitions, SQL_MACHINE),
+    "convert_contents": (convert_contents, SQL_CONTENTS),
+    "expire_dated": (expire_dated, "SELECT event_id, strftime(ts, '%Y-%m-%d') AS day FROM events WHERE ts >= TIMESTAMP '2024-01-20 07:30:00' - INTERVAL 240 HOUR"),
+    "write_observed": (write_observed, "SELECT 'write' AS operation, event_type AS kind, count(*) AS n FROM events WHERE event_type IN ('view', 'click', 'error') GROUP BY event_type"),
     "convert_stream": (convert_stream, f"SELECT doc_id, title, total_links, total_words, md5(markdown) AS markdown_md5 FROM ({SQL_RESULTS})"),
     "job_status": (job_status, SQL_JOBS),
     "dedup_ttl": (dedup_ttl, "SELECT DISTINCT user_id FROM events"),

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from folioweave.operators.grouping import block_of
@@ -88,6 +89,18 @@ def record_metrics(rows: DataFrame, path: str) -> None:
     rows.select("operation", "duration", "ts", "attrs").write.mode("append").parquet(path)
 
 
+def write_observed(df: DataFrame, path: str, metrics_path: str, operation: str, attrs: dict[str, str] | None = None, mode: str = "overwrite") -> dict:
+    """Write a table and append what was written to the metrics table; the rows are counted while they are written."""
+    spark = df.sparkSession
+    seen = Observation()
+    began = time.time()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode).parquet(path)
+    facts = {**(attrs or {}), "rows": str(seen.get["rows"])}
+    row = spark.createDataFrame([(operation, time.time() - began, facts)], "operation string, duration double, attrs map<string,string>")
+    record_metrics(row.withColumn("ts", F.current_timestamp()), metrics_path)
+    return facts
+
+
 def export_json(results: DataFrame, images: DataFrame, tables: DataFrame, key: str = "doc_id") -> DataFrame:
     """(doc_id, part, json): markdown, metadata, images[] and tables[] of each document.
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from folioweave.operators.reuse import live_results
 
@@ -53,6 +57,64 @@ def read_results(spark: SparkSession, results_path: str) -> DataFrame:
     return spark.read.option("basePath", results_path).parquet(results_path).drop("batch")
 
 
+# ---------------------------------------------------------------- conversion by content
+
+
+def _keyed_states(spark: SparkSession) -> None:
+    """State on disk, key by key: a micro-batch touches the keys it has, however many there are."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def _first_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each hash among a task's rows, so that copies of one content do not all travel."""
+    seen: set[str] = set()
+    for b in batches:
+        stay = []
+        for h in b.column(0).to_pylist():
+            stay.append(h not in seen)
+            seen.add(h)
+        yield b.filter(pa.array(stay, pa.bool_()))
+
+
+def convert_contents(
+    stream: DataFrame, root: str, convert: Callable[[DataFrame], DataFrame], key: str = "doc_id", content: str = "content", config: str = "",
+) -> list[StreamingQuery]:
+    """Convert each distinct content once, whatever documents hold it; two streams below `root`.
+
+    `versions` gets (key, content_hash) of every row that arrives, `results` what
+    `convert` makes of (content_hash, <content>). Whether a content was converted before
+    is a look-up in the state store, so a micro-batch costs its own rows only; copies
+    within a task go before the shuffle. A changed document is a new content and is
+    converted; a known content under a new key is not. `config` tells settings apart.
+    A replayed micro-batch replaces its own rows. Rows without content make no version.
+    """
+    spark = stream.sparkSession
+    _keyed_states(spark)
+    keyed = stream.where(F.col(content).isNotNull()).select(
+        F.sha2(F.concat(F.lit(config), F.lit(":"), F.col(content)), 256).alias("content_hash"), key, content)
+
+    def put(name: str, make: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+        return lambda df, batch: make(df).write.mode("overwrite").parquet(f"{root}/{name}/batch={batch}")
+
+    rows = keyed.select("content_hash", content)
+    once = rows.mapInArrow(_first_in_task, rows.schema).dropDuplicates(["content_hash"])
+    parts = (("versions", keyed.select(key, "content_hash"), lambda df: df), ("results", once, convert))
+    return [df.writeStream.foreachBatch(put(name, make)).option("checkpointLocation", f"{root}/checkpoint-{name}").trigger(availableNow=True).start()
+            for name, df, make in parts]
+
+
+def current_results(spark: SparkSession, root: str, key: str = "doc_id") -> DataFrame:
+    """The result of every document's newest version."""
+    versions = spark.read.option("basePath", f"{root}/versions").parquet(f"{root}/versions")
+    newest = versions.groupBy(key).agg(F.max(F.struct("batch", "content_hash"))["content_hash"].alias("content_hash"))
+    results = spark.read.option("basePath", f"{root}/results").parquet(f"{root}/results").drop("batch")
+    return newest.join(results, "content_hash")
+
+
+# ---------------------------------------------------------------- job states
+
+
 def _ranked(status: Column) -> Column:
     chain = None
     for name, rank in STATUS_RANK.items():
@@ -71,6 +133,63 @@ def job_status(events: DataFrame) -> DataFrame:
         "job_id", "s.status", "s.progress", "s.message", "s.ts")
 
 
+def _judge(ttl_ms: int) -> Callable:
+    """The state machine of one job, as a function of its events and its state: the rank and time of the last accepted event."""
+
+    def run(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        # one job's events of one micro-batch
+        events = pd.concat(list(rows), ignore_index=True)
+        events["rank"] = events["status"].map(STATUS_RANK).fillna(-1).astype(int)
+        events = events.sort_values(["ts", "rank", "progress", "message"], kind="stable", ignore_index=True)
+        now = state.get if state.exists else None
+        verdicts = []
+        for rank, ts in zip(events["rank"].tolist(), (events["ts"].astype("int64")).tolist()):
+            if rank < 0:
+                verdicts.append("unknown")
+            elif now is not None and now[0] >= 2:
+                verdicts.append("ended")
+            elif now is not None and rank < now[0]:
+                verdicts.append("backward")
+            elif now is not None and ts < now[1]:
+                verdicts.append("late")
+            else:
+                verdicts.append(None)
+                now = (rank, ts)
+        if now is not None:
+            state.update(now)
+            state.setTimeoutTimestamp(int(events["ts"].max().timestamp() * 1000) + ttl_ms)
+        yield events[["job_id", "status", "progress", "message", "ts"]].assign(rejected=verdicts)
+
+    return run
+
+
+_VERDICTS = T.StructType([T.StructField("job_id", T.LongType()), T.StructField("status", T.StringType()), T.StructField("progress", T.DoubleType()),
+                          T.StructField("message", T.StringType()), T.StructField("ts", T.TimestampType()), T.StructField("rejected", T.StringType())])
+
+
+def job_transitions(events: DataFrame, ttl_ms: int = 30 * 24 * 3600 * 1000) -> DataFrame:
+    """(job_id, status, progress, message, ts, rejected): every event of the stream with why it was rejected, or null.
+
+    A job moves from pending to processing to completed or failed, or stays where it is.
+    Rejected are events of unknown status, of a job that has ended, of an earlier state,
+    and such as are older than the state. State lies in the state store, one small value
+    per job, and goes when events arrive that are more than twice `ttl_ms` later than the
+    job's own. Events more than `ttl_ms` behind the newest are dropped.
+    Events of a micro-batch are taken in order of their time; those of a job that earlier
+    batches have moved on are judged by its state. The current state of a job is its
+    last accepted event.
+    """
+    _keyed_states(events.sparkSession)
+    plain = events.select(F.col("job_id").cast("bigint").alias("job_id"), "status", F.col("progress").cast("double").alias("progress"), "message",
+                          F.col("ts").cast("timestamp").alias("ts")).where("job_id is not null and ts is not null").withWatermark(
+        "ts", f"{ttl_ms} milliseconds")
+    return plain.groupBy("job_id").applyInPandasWithState(
+        _judge(ttl_ms), _VERDICTS, "rank int, ts long", "update", GroupStateTimeout.EventTimeTimeout)
+
+
 def dedup_ttl(stream: DataFrame, key: list[str], ts: str, ttl: str = "24 hours") -> DataFrame:
     """Drop rows whose key was seen within the last `ttl` of event time."""
     return stream.withWatermark(ts, ttl).dropDuplicatesWithinWatermark(key)
@@ -92,6 +211,39 @@ def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append
         "checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def write_dated(results: DataFrame, path: str, ts: str = "converted_at", mode: str = "append") -> None:
+    """Results by day, so that old ones go folder by folder."""
+    results.withColumn("day", F.to_date(ts)).write.mode(mode).partitionBy("day").parquet(path)
+
+
+def expire_dated(spark: SparkSession, path: str, now: str, hours: int, ts: str = "converted_at") -> None:
+    """Expire entries of a table by day: whole days are dropped, the day of the limit is written again, others are not touched.
+
+    The rewritten day is staged beside the table, and replaces its folder alone. Run
+    again after a failure, it does what is left.
+    """
+    limit = spark.range(1).select((F.lit(now).cast("timestamp_ntz") - F.expr(f"INTERVAL {int(hours)} HOURS")).alias("t")).select(
+        F.to_date("t").alias("day"), F.date_format("t", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("t")).first()
+    table = spark.read.parquet(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    for name in names:
+        if name.startswith("day=") and name[4:] != "__HIVE_DEFAULT_PARTITION__" and name[4:] < str(limit["day"]):
+            fs.delete(hadoop.Path(root, name), True)
+    if f"day={limit['day']}" in names:
+        staged = f"{path.rstrip('/')}-staged"
+        edge = table.where(F.col("day") == F.lit(limit["day"])).where(F.col(ts) >= F.lit(limit["t"]).cast(dict(table.dtypes)[ts]))
+        edge.write.mode("overwrite").parquet(staged)
+        kept = spark.read.schema(edge.schema).parquet(staged)
+        if kept.limit(1).count():
+            kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+        else:
+            fs.delete(hadoop.Path(root, f"day={limit['day']}"), True)
+        fs.delete(hadoop.Path(staged), True)
+
+
 def expire_table(spark: SparkSession, path: str, target: str, now, hours: int, ts: str = "converted_at") -> None:
     """Write the entries of the results table that have not expired to `target`."""
     live_results(spark.read.parquet(path), now, hours, ts).write.mode("overwrite").parquet(target)

@@ -328,3 +328,72 @@ def test_dedup_ttl_forgets_after_the_ttl(spark, tmp_path):
         s = spark.readStream.schema("key string, t int, ts timestamp").parquet(src)
         jobs.run_available(jobs.dedup_ttl(s, ["key"], "ts", "24 hours"), f"{out}/r", f"{out}/c")
     assert sorted((r.key, r.t) for r in spark.read.parquet(f"{out}/r").collect()) == [("k", 5 * hour), ("k", 81 * hour), ("z", 80 * hour)]
+
+
+def test_job_machine_rejects_and_forgets(spark, tmp_path):
+    """Events of several micro-batches: backward, late and ended ones are reported, and state goes in the end."""
+    day = lambda d, h=0: f"2024-01-{d:02d} {h:02d}:00:00"
+    batches = [
+        [(1, "processing", day(1, 5)), (1, "pending", day(1, 4)), (2, "processing", day(1, 5)), (3, "odd", day(1))],
+        [(1, "pending", day(1, 6)), (1, "processing", day(1, 1)), (1, "completed", day(1, 7)), (2, "failed", day(1, 6))],
+        [(1, "processing", day(1, 8)), (9, "pending", day(9))], [(8, "pending", day(10))], [(2, "pending", day(10)), (1, "pending", day(10))]]
+    schema = "job_id long, status string, progress double, message string, ts timestamp"
+    for rows in batches:
+        spark.createDataFrame([(j, st, 0.5, "m", t) for j, st, t in rows], "job_id long, status string, progress double, message string, t string").selectExpr(
+            "job_id", "status", "progress", "message", "cast(t as timestamp) as ts").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    q = jobs.job_transitions(stream, 2 * 24 * 3600 * 1000).writeStream.outputMode("update").foreachBatch(
+        lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(240)
+    got = [(r.job_id, r.status, str(r.ts)[8:13], r.rejected) for r in spark.read.parquet(out).orderBy("batch", "job_id", "ts").collect()]
+    assert got == [
+        (1, "pending", "01 04", None), (1, "processing", "01 05", None), (2, "processing", "01 05", None), (3, "odd", "01 00", "unknown"),
+        (1, "processing", "01 01", "late"), (1, "pending", "01 06", "backward"), (1, "completed", "01 07", None), (2, "failed", "01 06", None),
+        (1, "processing", "01 08", "ended"), (9, "pending", "09 00", None), (8, "pending", "10 00", None), (1, "pending", "10 00", None), (2, "pending", "10 00", None)]
+
+
+def test_contents_are_converted_once(spark, tmp_path):
+    """Changed content of a known id is converted, known content of a new id is not, a second run adds what is new."""
+    root, ran = str(tmp_path / "r"), []
+
+    def convert(df):
+        ran.extend(r["content"] for r in df.select("content").collect())
+        return df.select("content_hash", F.upper("content").alias("text"))
+
+    def arrive(rows):
+        spark.createDataFrame(rows, "doc_id long, content string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run():
+        stream = spark.readStream.schema("doc_id long, content string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        for q in jobs.convert_contents(stream, root, convert):
+            assert q.awaitTermination(120)
+        return {r.doc_id: r.text for r in jobs.current_results(spark, root).collect()}
+
+    arrive([(1, "a"), (2, "a"), (3, "b"), (4, None)])
+    arrive([(5, "a"), (3, "c"), (6, "c")])
+    assert run() == {1: "A", 2: "A", 3: "C", 5: "A", 6: "C"} and sorted(ran) == ["a", "b", "c"]
+    arrive([(3, "b"), (7, "d")])
+    assert run() == {1: "A", 2: "A", 3: "B", 5: "A", 6: "C", 7: "D"} and sorted(ran) == ["a", "b", "c", "d"]
+
+
+def test_expiry_leaves_kept_days_alone(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.range(96).selectExpr("id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, id) as converted_at")
+    jobs.write_dated(rows, path)
+    files_of = lambda: {os.path.relpath(os.path.join(d, f), path) for d, _, fs in os.walk(path) for f in fs if f.endswith(".parquet")}
+    before = files_of()
+    for _ in range(2):  # again changes nothing
+        jobs.expire_dated(spark, path, "2024-01-04 12:00:00", 36)
+        assert sorted(r.id for r in spark.read.parquet(path).collect()) == list(range(48, 96))
+    jobs.expire_dated(spark, path, "2024-01-04 12:30:00", 24)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == list(range(61, 96))
+    after = files_of()
+    assert {f for f in before if "01-04" in f} <= after and not any("01-01" in f or "01-02" in f for f in after)
+
+
+def test_rows_counted_while_they_are_written(spark, tmp_path):
+    out = str(tmp_path)
+    assert files.write_observed(spark.range(37).toDF("id"), f"{out}/a", f"{out}/m", "write", {"kind": "x"})["rows"] == "37"
+    files.write_observed(spark.range(0).toDF("id"), f"{out}/b", f"{out}/m", "write")
+    assert sorted(r.attrs["rows"] for r in spark.read.parquet(f"{out}/m").collect()) == ["0", "37"]
