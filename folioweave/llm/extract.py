@@ -44,6 +44,8 @@ ASIDE_NAMES = frozenset("""ad ads advert adverts advertisement advertising banne
     copyright disclaimer disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification
     overlay pager pagination popup promo promotion recommended related reply replies respond search share sharing sidebar signup
     skip social sponsor sponsored subscribe toolbar topbar widget widgets""".split())
+CONTAINERS = frozenset("""area bar block body bottom box button buttons container content form group holder icon icons info inner items
+    left link links list main module outer page panel posts right row section site text title top unit wrap wrapper zone""".split())
 HEADERS = frozenset("header siteheader pageheader topheader".split())
 
 _TOKEN = re.compile(
@@ -59,21 +61,53 @@ def host_of(url: Column) -> Column:
 
 
 def _named_aside(names: str) -> bool:
+    """Whether a name says so: by its last word, or by its first one if the others only name a container (share-price does not)."""
     for name in names.split():
         parts = [p.lower() for p in _PART.findall(name)]
         if parts and parts[0] not in ("with", "has", "no", "without") and (
-                parts[0] in ASIDE_NAMES or parts[-1] in ASIDE_NAMES or "".join(parts) in HEADERS):
+                parts[-1] in ASIDE_NAMES or "".join(parts) in HEADERS
+                or parts[0] in ASIDE_NAMES and all(p in CONTAINERS or p in ASIDE_NAMES for p in parts[1:])):
             return True
     return False
 
 
+def _own_text(e: Element) -> int:
+    """Characters outside of links in an element and in what is not beside the main text below it."""
+    total, below = 0, [e]
+    while below:
+        for c in below.pop().children:
+            if isinstance(c, tuple):
+                total += len(c[0]) - c[1]
+            elif not c.aside:
+                below.append(c)
+    return total
+
+
+def _forms_around_the_page(root: Element) -> None:
+    """A form that holds more text than all that is outside of it is a container like any other."""
+    found, below = [], [root]
+    while below:
+        e = below.pop()
+        for c in e.children:
+            if isinstance(c, Element):
+                if c.tag == "form" and c.aside and not c.named:
+                    found.append(c)
+                elif not c.aside:
+                    below.append(c)
+    for form in found:
+        if _own_text(form) > _own_text(root):
+            form.aside = False
+            _forms_around_the_page(form)
+
+
 class Element:
     """A block element: label, children (elements and texts in order), whether it is beside the main text."""
 
-    __slots__ = ("tag", "label", "children", "aside")
+    __slots__ = ("tag", "label", "children", "aside", "named")
 
-    def __init__(self, tag: str, label: str, aside: bool) -> None:
+    def __init__(self, tag: str, label: str, aside: bool, named: bool) -> None:
         self.tag, self.label, self.aside, self.children = tag, label, aside, []
+        self.named = named  # its attributes say that it is beside the main text
 
 
 def _opened(tag: str, text: str, inside: set[str]) -> Element:
@@ -87,16 +121,17 @@ def _opened(tag: str, text: str, inside: set[str]) -> Element:
                 role = value.strip().lower()
             elif name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
                 hidden = True
-    aside = hidden or tag in ASIDE or role in ASIDE_ROLES or tag not in ("html", "body", "main") and _named_aside(names)
+    named = hidden or role in ASIDE_ROLES or tag not in ("html", "body", "main") and _named_aside(names)
+    aside = named or tag in ASIDE
     if tag == "header" and not inside & {"article", "main"}:
         aside = True
     first = names.split()
-    return Element(tag, tag + ("." + re.sub(r"\d{2,}", "00", first[0]) if first else ""), aside)
+    return Element(tag, tag + ("." + re.sub(r"\d{2,}", "00", first[0]) if first else ""), aside, named)
 
 
 def parse(text: str) -> Element:
     """The block structure of a page. Texts are (words, characters in links) pairs, one for each run between block tags."""
-    root = Element("#page", "#page", False)
+    root = Element("#page", "#page", False, False)
     open_, words, linked, in_link, at = [root], [], [0], False, 0
     lower = None
 
@@ -163,6 +198,7 @@ def parse(text: str) -> Element:
             flush()
             open_.pop()
     flush()
+    _forms_around_the_page(root)
     return root
 
 

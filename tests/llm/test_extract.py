@@ -93,3 +93,18 @@ def test_text_beside_the_main_container_stays(page, want):
     for i, p in enumerate(few):
         assert f"{long} {i}" in X.main_text(p, path, frozenset())
         assert not want or ("Title" not in page or X.main_text(p, path, frozenset()).startswith(f"Title {i}\nlead {i}\n"))
+
+
+def test_a_form_around_the_page_is_a_container():
+    text = "<html><body><form id='f'><nav><a href=x>Home</a></nav><article><h1>Title</h1><p>All the words of it.</p></article><input name=q></form></body></html>"
+    assert X.main_text(text, [], frozenset()) == "Title\nAll the words of it."
+    beside = "<html><body><article><h1>Title</h1><p>All the words of it, which are many.</p></article><form>Your name <input> <button>Send</button></form></body></html>"
+    assert X.main_text(beside, [], frozenset()) == "Title\nAll the words of it, which are many."
+    named = "<html><body><p>Short</p><form class=newsletter-form>Many words that ask for your address, again and again</form></body></html>"
+    assert X.main_text(named, [], frozenset()) == "Short"
+
+
+def test_names_that_only_begin_like_a_side_block():
+    text = ("<article><h1>T</h1><section class='related-work'><p>Others did this.</p></section><div class='share-price'><p>Up by two.</p></div>"
+            "<div class='share-buttons'>Share</div><div class='acme-footer'>Foot</div><div class='related-posts-list'>More</div></article>")
+    assert X.main_text(text, [], frozenset()) == "T\nOthers did this.\nUp by two."
