@@ -40,7 +40,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 def kept(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """As `stored`, and the path, for `forget` once the readers have written what they make of it."""
     path = shared_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

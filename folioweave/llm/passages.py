@@ -33,7 +33,7 @@ WORDS = 5                     # words of a shingle
 PASSAGE = 50                  # words of the shortest passage
 SIMILARITY = 0.8
 CHUNK = 512                   # shingles of a piece of text that travels to a check
-_BANDS = 4
+_BANDS = 4                    # a power of two: a signature ends with the number of its band
 _WORD = re.compile(rb"[^ \t-\r]+")
 _U = np.uint64
 _FACTORS = [pow(0xA0761D6478BD642F, 2 * k + 1, 1 << 64) for k in range(2 * _BANDS)]  # odd
@@ -104,6 +104,18 @@ def compact_windows(v: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray,
     return at, nodes, np.array(first), np.array(last)
 
 
+def clipped_windows(v: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As `compact_windows`, but with the intervals only as far as stretches of `width` that the position is the minimum of.
+
+    These are the stretches that have it as their minimum, from the first to the last:
+    they follow one another, as a node's interval is one piece.
+    """
+    at = _argmin_of_stretches(v, width)
+    new = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else at
+    ends = np.append(new[1:], len(at)) if len(at) else at
+    return at, at[new], new, ends + width - 2
+
+
 def signatures(texts: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of texts given as shingles: text number, signature, packed place and body of each joint window.
 
@@ -129,7 +141,7 @@ def signatures(texts: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndar
             # shingles are well mixed already: an odd factor orders them anew
             v = (flat * _U(_FACTORS[2 * band + side]) >> _U(22)) | _U(1)
             v[walls] = 0  # below every hash: no window crosses from one text to the next
-            at, nodes, first, last = compact_windows(v, width)
+            at, nodes, first, last = clipped_windows(v, width)
             sides.append((v, at, nodes, first, last))
         (v1, at1, n1, f1, l1), (v2, at2, n2, f2, l2) = sides
         runs = np.flatnonzero(np.append(True, (at1[1:] != at1[:-1]) | (at2[1:] != at2[:-1]))) if len(at1) else at1
@@ -140,7 +152,7 @@ def signatures(texts: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndar
         low, high = np.minimum(c1, c2), np.maximum(c1, c2)
         left = np.maximum(np.maximum(f1[i1], f2[i2]), high - width + 1)
         right = np.minimum(np.minimum(l1[i1], l2[i2]), low + width - 1)
-        key = _mix(flat[c1] * _U(0x9E3779B97F4A7C15) + flat[c2] + _U(band))
+        key = _mix(flat[c1] * _U(0x9E3779B97F4A7C15) + flat[c2] + _U(band)) & ~_U(_BANDS - 1) | _U(band)
         which = np.searchsorted(walls, low) - 1
         own = low - (walls[which] + 1)
         body = _mix(upto[right + 1] - upto[left]).astype(np.uint32).view(np.int32)
@@ -185,11 +197,13 @@ _LED = "kind int, doc long, other long, key long, place long, place2 long, body
 _LOW = 0xFFFFFFFF
 
 
-def _led(windows: DataFrame, bodies: bool, within: bool = False) -> tuple[DataFrame, str]:
+def _led(windows: DataFrame, bodies: bool, within: bool = False, lean: bool = False) -> tuple[DataFrame, str]:
     """doc, other, key, place, place2, body, body2, equal: windows whose signature an earlier document has, with its earliest window.
 
     With `within`, also the further windows of that document itself, unless they are equal to its earliest one.
-    Second comes the path of the table it reads.
+    Second comes the path of the table it reads. `lean` leaves out equal windows of all
+    bands but the first: windows of one band cover a text, and where those of the first
+    are not equal to their leads they are checked.
 
     One range partitioning by signature, document and place brings the rows of a
     signature together, those of a frequent one in several partitions; each then takes
@@ -225,6 +239,8 @@ def _led(windows: DataFrame, bodies: bool, within: bool = False) -> tuple[DataFr
             out = (doc != doc2) | edge
             if within:
                 out |= (place != place2) & ~equal
+            if lean:
+                out &= edge | ~equal | (key % _BANDS == 0)
             body, body2 = (np.where(equal & ~edge, 0, c) for c in (body, body2))  # not needed any more
             yield batch(edge[out].astype(np.int32), *(c[out] for c in (doc, doc2, key, place, place2, body, body2, equal)))
 
@@ -529,7 +545,7 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, similarity: float
     windows, path = kept(_windows(plain, width, shingle, several), "windows")
     bodies, found, content = True, None, None
     while True:
-        pair, led = _led(windows, bodies, True)
+        pair, led = _led(windows, bodies, True, bodies)
         forget(spark, path)
         whole = pair.where("equal").select("doc", "other", F.expr("(place >> 14) - (place >> 7 & 127)").alias("first"),
                                            F.expr("(place >> 14) + (place & 127) + 1").alias("last"))

@@ -295,3 +295,15 @@ def test_columns_named_like_those_added(spark):
     docs = spark.createDataFrame([(1, p, "x", "y", "z"), (2, f"own {p}", "x", "y", "z")], "doc_id long, text string, cuts string, of_doc string, `a.b` string")
     got = P.cut_repeats(docs)
     assert got.columns == docs.columns and sorted(tuple(r) for r in got.collect()) == [(1, p, "x", "y", "z"), (2, "own", "x", "y", "z")]
+
+
+def test_clipped_windows_are_those_of_the_tree():
+    rng = np.random.default_rng(20)
+    for n, width, top in ((3, 3, 9), (60, 7, 1000), (300, 8, 5), (500, 46, 1 << 40)):
+        v = rng.integers(1, top, n).astype(np.uint64)
+        at, nodes, first, last = P.compact_windows(v, width)
+        at2, nodes2, first2, last2 = P.clipped_windows(v, width)
+        assert at.tolist() == at2.tolist() and nodes.tolist() == nodes2.tolist()
+        assert np.maximum(first, nodes - width + 1).tolist() == first2.tolist()
+        assert np.minimum(last, nodes + width - 1).tolist() == last2.tolist()
+    assert all(len(x) == 0 for x in P.clipped_windows(np.empty(0, np.uint64), 5))
