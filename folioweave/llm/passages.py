@@ -227,13 +227,17 @@ def _led(windows: DataFrame, bodies: bool, within: bool = False, lean: bool = Fa
             """Rows of whole groups of one key each: the earliest window of a group leads the others."""
             nonlocal last
             key, doc, place, body = (np.concatenate(c) for c in zip(*groups))
-            order = np.lexsort((place, doc, key))
-            key, doc, place, body = (c[order] for c in (key, doc, place, body))
-            own = np.maximum.accumulate(np.where(np.append(True, key[1:] != key[:-1]), np.arange(len(key)), 0))
+            start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            size = np.diff(np.append(start, len(key)))
+            lead = np.repeat(np.minimum.reduceat(doc, start), size)
+            least = np.minimum.reduceat(np.where(doc == lead, place, np.iinfo(np.int64).max), start)
+            of_lead = np.flatnonzero((doc == lead) & (place == np.repeat(least, size)))
+            # the first row of each group that is its lead
+            own = np.repeat(of_lead[np.searchsorted(of_lead, start)], size)
             doc2, place2, body2 = doc[own], place[own], body[own]
             edge = key == first  # an earlier partition may have an earlier window
             if edge[0]:
-                yield front((key[0], doc[0], place[0], body[0]))
+                yield front((key[0], doc2[0], place2[0], body2[0]))
             last = tuple(c[own[-1]] for c in (key, doc, place, body))
             equal = (body & _LOW == body2 & _LOW) & (place & 16383 == place2 & 16383) if bodies else np.zeros(len(key), bool)
             out = (doc != doc2) | edge
@@ -304,13 +308,20 @@ def _pieces(docs: DataFrame, needed: DataFrame, shingle: int, chunk: int, severa
     return found
 
 
+def _found_in(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether each value of `a` is one of `b`, and where in `b` its first one is; whether neighbours in the order of `b` are equal."""
+    order = np.argsort(b, kind="stable")
+    low = b[order]
+    at = np.minimum(np.searchsorted(low, a), len(b) - 1)
+    return low[at] == a, order[at], low[1:] == low[:-1]
+
+
 def _paired(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions of equal values; of a value that either has several times the k-th ones belong together."""
-
-    if len(np.unique(a)) == len(a) and len(np.unique(b)) == len(b):
-        _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-        order = np.argsort(i)
-        return i[order], j[order]
+    common, at, twice = _found_in(a, b)
+    i, j = np.flatnonzero(common), at[common]
+    if not twice.any() and len(np.unique(j)) == len(j):  # none of the common ones is repeated
+        return i, j
 
     def numbered(v: np.ndarray) -> list[tuple[int, int]]:
         seen: dict[int, int] = {}
@@ -460,7 +471,7 @@ def check_piece(a: np.ndarray, b: np.ndarray, a0: int, b0: int, key: np.ndarray,
 
     left = np.flatnonzero(~found)
     if len(left):
-        common, common2 = np.isin(a, b), np.isin(b, a)
+        common, common2 = _found_in(a, b)[0], _found_in(b, a)[0]
         left = left[_dense(common, lo[left], hi[left], width, similarity)]
         left = left[_dense(common2, lo2[left], hi2[left], width, similarity)]
     if len(left):
