@@ -16,18 +16,19 @@ from folioweave.sources.files import write_observed as write_metrics
 from folioweave.streaming import jobs
 
 
+def _table_stream(s, d, name):
+    """A table as a stream, be it one file or a folder of files; a pattern, as the plain path of a stream has to be a folder."""
+    return s.readStream.schema(table(s, d, name).schema).parquet(f"{d}/{name}.parque[t]")
+
+
 def _events_stream(s, d):
     """The event table as a stream; ts becomes a zoned timestamp, as watermarks need."""
-    schema = table(s, d, "events").schema
-    e = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    return e.withColumn("ts", F.col("ts").cast("timestamp"))
+    return _table_stream(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def convert_stream(s, d):
     out = shared_dir(s, "converted")
-    schema = table(s, d, "pages").schema
-    stream = s.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(d)
-    keyed = stream.withColumn("doc_id", F.col("page_id"))
+    keyed = _table_stream(s, d, "pages").withColumn("doc_id", F.col("page_id"))
     q = jobs.convert_stream(keyed, f"{out}/results", f"{out}/checkpoint", lambda df: pages_to_results(df.drop("doc_id")))
     q.awaitTermination()
     return jobs.read_results(s, f"{out}/results").select("doc_id", "title", "total_links", "total_words", F.md5("markdown").alias("markdown_md5"))
