@@ -391,8 +391,9 @@ def md_table_cells(blocks: DataFrame, markdown: str = "markdown") -> DataFrame:
     """Cells of Markdown tables (doc_id, table_index, markdown); no shuffle."""
     lines = F.split(markdown, "\n")
     numbered = F.filter(lines, lambda s: ~s.rlike(_RULE_LINE))
-    rows = blocks.select(*TABLE, F.posexplode(numbered).alias("row_index", "line"),
-                         F.element_at(lines, 2).rlike(_RULE_LINE).alias("_has_head"))
+    # known before the explode: after it, every line would carry its whole table and cut it again
+    tables = blocks.select(*TABLE, numbered.alias("_lines"), F.element_at(lines, 2).rlike(_RULE_LINE).alias("_has_head"))
+    rows = tables.select(*TABLE, F.posexplode("_lines").alias("row_index", "line"), "_has_head")
     bare = F.regexp_replace(F.trim("line"), r"^\||\|$", "")
     pieces = F.split(F.replace(bare, F.lit("\\|"), F.lit("\u0001")), r"\|")
     texts = F.transform(pieces, lambda c: F.replace(F.trim(c), F.lit("\u0001"), F.lit("|")))

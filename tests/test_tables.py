@@ -153,3 +153,14 @@ def test_column_widths_hold_across_parts(spark, monkeypatch):
     df = spark.createDataFrame(cells, "doc_id int, table_index bigint, row_index bigint, col_index bigint, text string, is_header boolean")
     lines = "\n".join(r.markdown for r in tb.render_table(df, "pipe").orderBy("part").collect()).split("\n")
     assert len(lines) == 12 and len({len(x) for x in lines}) == 1 and lines[9] == "|  9 | a long one |"
+
+
+def test_md_table_cells_do_not_carry_the_table(spark):
+    """What holds for the whole table is found before its lines are rows: no line is joined with the text, or cuts it again."""
+    md = "| a | b |\n| --- | --- |\n" + "\n".join(f"| {i} | x |" for i in range(3000))
+    blocks = spark.createDataFrame([(1, 0, md), (1, 1, "| a |\n| b |"), (2, 0, None)], "doc_id long, table_index long, markdown string").repartition(2)
+    cells = tb.md_table_cells(blocks)
+    plan = cells._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("element_at(split(") <= 1 and plan.index("element_at(split(") > plan.rindex("Generate posexplode"), plan
+    got = cells.groupBy("doc_id", "table_index").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_header").alias("h")).collect()
+    assert sorted((r.doc_id, r.table_index, r.n, r.h) for r in got) == [(1, 0, 6002, 2), (1, 1, 2, 0)]
