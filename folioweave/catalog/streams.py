@@ -66,12 +66,13 @@ def job_transitions(s, d):
     out = shared_dir(s, "machine")
     e = job_events(table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))).withColumn(
         "nth", F.row_number().over(Window.partitionBy("job_id").orderBy("ts", "status", "progress", "message")) % 3)
-    for batch in (1, 2, 0):  # files are taken in the order of their time
-        e.where(F.col("nth") == batch).drop("nth").coalesce(1).write.mode("append").parquet(f"{out}/in")
-    stream = jobs.stream_pages(s, f"{out}/in", 1)
-    q = jobs.job_transitions(stream, 400 * 24 * 3600 * 1000).writeStream.outputMode("update").foreachBatch(
-        lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/rows/batch={batch}")).option("checkpointLocation", f"{out}/checkpoint")
-    q.trigger(availableNow=True).start().awaitTermination()
+    e.write.partitionBy("nth").parquet(f"{out}/dealt")
+    dealt = s.read.schema(e.schema).parquet(f"{out}/dealt")
+    for batch in (1, 2, 0):  # the stream goes on with the files that have come, however many, as one micro-batch
+        dealt.where(F.col("nth") == batch).drop("nth").write.mode("append").parquet(f"{out}/in")
+        q = jobs.job_transitions(jobs.stream_pages(s, f"{out}/in"), 400 * 24 * 3600 * 1000).writeStream.outputMode("update").foreachBatch(
+            lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/rows/batch={batch}")).option("checkpointLocation", f"{out}/checkpoint")
+        q.trigger(availableNow=True).start().awaitTermination()
     return s.read.option("basePath", f"{out}/rows").parquet(f"{out}/rows").select("job_id", "status", "progress", "message", "rejected")
 
 
