@@ -16,6 +16,8 @@ from folioweave.functions import html_unescape
 
 DOCX_PARTS = r"^word/(document|footnotes|endnotes|styles)\.xml$"  # members that `scan_docx_blocks` reads
 
+TASKS_PER_SHUFFLE = 4  # tokens take many times the room of their markup
+
 _TOKEN = r"""(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<(?:[^<>"']++|"[^"]*+"|'[^']*+')*+>|[^<]++|<"""
 _LEFT_OUT = ("Fallback", "del", "moveFrom")  # second versions of drawings, and what tracked changes took away
 _OFF = ("0", "false", "none", "off")
@@ -30,7 +32,9 @@ def _tokens(members: DataFrame) -> DataFrame:
     """(path, part, pos, raw, kind, name) of the text parts; `part` 0 is the document, 1 its footnotes, 2 its endnotes."""
     part = F.when(F.col("member") == "word/document.xml", 0).when(F.col("member") == "word/footnotes.xml", 1).when(
         F.col("member") == "word/endnotes.xml", 2)
-    texts = members.select("path", part.alias("part"), F.col("content").cast("string").alias("xml")).where("part is not null").repartition("path")
+    texts = members.select("path", part.alias("part"), F.col("content").cast("string").alias("xml")).where("part is not null")
+    # a fixed number: by the size of packed markup too few tasks would be left for the tokens and their windows
+    texts = texts.repartition(TASKS_PER_SHUFFLE * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
     raw = texts.select("path", "part", F.posexplode(F.regexp_extract_all("xml", F.lit(_TOKEN), F.lit(0))).alias("pos", "raw"))
     kind = (F.when(~F.col("raw").startswith("<") | F.col("raw").startswith("<!"), "text").when(F.col("raw").startswith("</"), "close")
             .when(F.col("raw").endswith("/>"), "void").otherwise("open"))

@@ -79,3 +79,13 @@ def test_copies_are_converted_once(spark):
     got = convert_once(df, "text", lambda d: d.mapInPandas(work, "content_hash string, n bigint")).collect()
     assert {r.doc_id: r.n for r in got} == {i: len(t) for i, t in rows}
     assert seen.value == 201
+
+
+def test_word_tokens_keep_their_tasks(spark):
+    """Small packed markup is many tokens: its shuffle is not merged into a few tasks."""
+    from folioweave.sources import word
+
+    xml = "<w:document><w:body><w:p><w:r><w:t>x</w:t></w:r></w:p></w:body></w:document>"
+    members = spark.createDataFrame([(f"f{i}.docx", "word/document.xml", xml.encode()) for i in range(400)], "path string, member string, content binary")
+    placed = word._placed(word._tokens(members)).groupBy(F.spark_partition_id()).count()
+    assert placed.count() > int(spark.conf.get("spark.sql.shuffle.partitions"))
