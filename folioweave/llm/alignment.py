@@ -285,20 +285,24 @@ def pair(folder: str) -> Pair:
     return Pair(folder)
 
 
-_BLOCK = ("block long, doc_id array<long>, n_a array<long>, n_b array<long>, sha array<string>, upto array<long>, links array<int>, "
+_BLOCK = ("block long, doc_id array<long>, n_a array<long>, n_b array<long>, sha array<string>, upto array<long>, links binary, "
           "a array<int>, b array<int>, n array<long>")
 
 
 def _block(number: int, items: list[tuple[int | None, int, int, str]], upto: np.ndarray, at: np.ndarray, pairs: np.ndarray) -> pa.RecordBatch:
-    """A row of the block table: items (id, tokens, tokens, digest), where each one's links end, and all links as places in `pairs`."""
+    """A row of the block table: items (id, tokens, tokens, digest), where each one's links end, and all links as places in `pairs`.
+
+    The links are most of a block, and Spark only carries them: they are compressed 32-bit integers, no array.
+    """
     def one(values, kind) -> pa.Array:
         return pa.array([values], pa.list_(kind))
 
     ids, n_a, n_b, sha = map(list, zip(*items))
     n = np.bincount(at, minlength=len(pairs)).astype(np.int64)
+    places = pa.compress(at.astype("<i4").tobytes(), codec="zstd", asbytes=True)
     return pa.RecordBatch.from_arrays(
         [pa.array([number], pa.int64()), one(ids, pa.int64()), one(n_a, pa.int64()), one(n_b, pa.int64()), one(sha, pa.string()),
-         one(upto, pa.int64()), one(at.astype(np.int32), pa.int32()), one((pairs >> 32).astype(np.int32), pa.int32()),
+         one(upto, pa.int64()), pa.array([places], pa.binary()), one((pairs >> 32).astype(np.int32), pa.int32()),
          one((pairs & 0xFFFFFFFF).astype(np.int32), pa.int32()), one(n, pa.int64())], names=[c.split()[0] for c in _BLOCK.split(", ")])
 
 
@@ -525,7 +529,8 @@ def _looked_up(blocks: DataFrame, answers: DataFrame) -> DataFrame:
         for b in batches:
             ids, n_a, n_b, sha, upto, links, found = (b.column(i) for i in range(7))
             for r in range(b.num_rows):
-                at = links[r].values.to_numpy() if links[r].values is not None else np.empty(0, np.int32)
+                ends = upto[r].values.to_numpy()
+                at = np.frombuffer(pa.decompress(links[r].as_buffer(), 4 * int(ends[-1]), codec="zstd"), "<i4")
                 entries = found[r].values
                 counts, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
                 if entries is not None and len(entries):
@@ -534,7 +539,6 @@ def _looked_up(blocks: DataFrame, answers: DataFrame) -> DataFrame:
                     counts[place] = entries.field("n").to_numpy()
                     best[place] = entries.field("best").to_numpy(zero_copy_only=False)
                 sums = [np.concatenate([[0], np.cumsum(x[at])]) for x in (counts, best)]
-                ends = upto[r].values.to_numpy()
                 starts = np.concatenate([[0], ends[:-1]])
                 yield pa.RecordBatch.from_arrays(
                     [ids[r].values, n_a[r].values, n_b[r].values, pa.array(ends - starts), pa.array(sums[1][ends] - sums[1][starts]),

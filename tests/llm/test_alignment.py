@@ -134,3 +134,13 @@ def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert got(queries.op11_alignment(spark, sf)) == expected(rows)
+
+
+def test_blocks_are_carried_as_few_bytes(spark):
+    """Spark sees one compressed value for the links of a block, not an array of them."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["the", "tokens", "of", "naïve", "texts", "been"]) for _ in range(2000))) for i in range(8)]
+    blocks = A._short_blocks(spark.createDataFrame(rows, SCHEMA).coalesce(1), A.FOLDER)
+    made = blocks.selectExpr("octet_length(links) AS size", "element_at(upto, -1) AS n").first()
+    assert made["n"] >= 16_000 and made["size"] < 1.5 * made["n"]
+    assert got(A.aligned(spark.createDataFrame(rows, SCHEMA))) == expected(rows)
